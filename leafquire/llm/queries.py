@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from leafquire.llm.bpe import op7_bpe
+from leafquire.llm.minhash import op2_minhash
 from leafquire.llm.mixing import op10_mixing
 from leafquire.llm.quality import op8_quality
 from leafquire.llm.sharding import op9_sharding
 
-QUERIES = {f.__name__: f for f in (op8_quality, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op7_bpe, op8_quality, op9_sharding, op10_mixing)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

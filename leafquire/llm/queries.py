@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from leafquire.llm.bpe import op7_bpe
 from leafquire.llm.embeddings import op4_embeddings
+from leafquire.llm.html import op5_html
 from leafquire.llm.minhash import op2_minhash
 from leafquire.llm.mixing import op10_mixing
 from leafquire.llm.quality import op8_quality
 from leafquire.llm.sharding import op9_sharding
 from leafquire.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op4_embeddings, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

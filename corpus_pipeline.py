@@ -2,14 +2,17 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, where ``docs`` is what the stage before
 kept, and returns a DataFrame; all but the last return the columns of ``documents``.
+Null texts fail the first stage; rows with a null ``doc_id`` are never linked or
+labelled and stay as long as their text passes; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafquire.llm import mixing, quality
-from leafquire.llm.shared import materialize, table
+from leafquire.llm import bpe, minhash, mixing, quality, toxicity
+from leafquire.llm.shared import fresh, materialize, table
 
 #: No SQL can express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -21,14 +24,45 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*docs.columns)
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the grammar is learned from this stage's labelled rows."""
+    (score,) = fresh(docs, "toxicity")
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, grammar, into=score, clauses=None)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8 or more."""
+    judged = minhash.near_duplicates(docs)
+    gone = materialize(judged.where(~F.col("kept")).select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti")
+    # Rows that repeat a key are one document; only they need to meet.
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    twice = materialize(twice)
+    if not twice.limit(1).count():
+        return left.select(*docs.columns)
+    once = left.join(twice, "doc_id", "left_anti")
+    return once.select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole."""
     return mixing.repeat(mixing.mix(docs, split=False)).select(*docs.columns)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with their count."""
+    ids, n = fresh(docs, "ids", "n_tokens")
+    return bpe.encode(docs, ids=ids).withColumn(n, F.size(ids).cast("long")).drop("text")
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("toxicity", without_toxic),
+    ("near duplicates", without_near_copies),
     ("mixing", mix_sources),
+    ("encoding", encode),
 ]
 
 

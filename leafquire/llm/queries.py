@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafquire.llm.bpe import op7_bpe
+from leafquire.llm.chat import op1_chat
 from leafquire.llm.embeddings import op4_embeddings
 from leafquire.llm.html import op5_html
 from leafquire.llm.minhash import op2_minhash
@@ -12,7 +13,7 @@ from leafquire.llm.sharding import op9_sharding
 from leafquire.llm.toxicity import op3_toxicity
 from leafquire.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -23,6 +24,27 @@ _CRC = "[" + ", ".join(str(x) for x in (
 )) + "]::BIGINT[]"
 
 ORACLES = {
+    "op1_chat": r"""
+WITH RECURSIVE t AS (SELECT *, coalesce(text, '') AS body FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, 'call-' || conv_id || '-' || (turn - 2) AS parent_id,
+    ['search', 'lookup', 'note'][length(body) % 3 + 1] AS name, min(body) AS body
+  FROM t WHERE role = 'user' GROUP BY ALL),
+c1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY name, body) = 1),
+r AS (SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, turn AS result_turn, min(text) AS content FROM t WHERE role = 'assistant' GROUP BY ALL),
+d(call_id, depth) AS (
+  SELECT call_id, 0::BIGINT FROM c1 WHERE parent_id NOT IN (SELECT call_id FROM c1)
+  UNION ALL SELECT c1.call_id, d.depth + 1 FROM c1 JOIN d ON c1.parent_id = d.call_id),
+o AS (SELECT c1.*, d.depth, row_number() OVER (PARTITION BY conv_id ORDER BY turn, d.depth, call_id) - 1 AS position FROM c1 JOIN d USING (call_id)),
+e AS (SELECT *, CASE
+    WHEN name = 'search' AND length(body) > 400 THEN '$.query: too long'
+    WHEN name = 'lookup' AND length(body) < 40 THEN '$.query: too short'
+    WHEN name = 'note' AND turn > 4 THEN '$.turn: out of range' ELSE '' END AS errors FROM o)
+SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, coalesce(e.turn, r.result_turn) AS turn,
+  e.name, e.depth, e.position, r.call_id IS NOT NULL AS has_result, CASE WHEN e.call_id IS NOT NULL THEN errors = '' END AS valid, errors,
+  '{"arguments":' || coalesce('{"query":' || to_json(body)::VARCHAR || ',"turn":' || e.turn || '}', 'null') || ',"call_id":"' || coalesce(e.call_id, r.call_id)
+    || '","conversation":' || coalesce(e.conv_id, r.conv_id) || ',"name":' || coalesce('"' || e.name || '"', 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
+FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id""",
     "op8_quality": rf"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws,

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from leafquire.llm.shared import components, discard, materialize, table
+from leafquire.llm.shared import components, discard, materialize, table, whole_groups
 
 SHINGLE = 5
 PERCENT = 80
@@ -24,7 +23,7 @@ MANTISSA = 10
 #: five standard deviations of an estimate from 160 registers at 0.8.
 MARGIN = 0.16
 #: Members of an open bucket are compared in tiles of about this many.
-TILE = 512
+TILE = 256
 #: Hashes that are combined at once; it bounds memory, not the sets.
 BLOCK = 1 << 15
 
@@ -112,25 +111,22 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-@lru_cache(4096)
-def _collisions(a: int, b: int) -> float:
-    """Chance that registers of two disjoint sets of 2**(a/2) and 2**(b/2) elements agree."""
-    n, m = 2 ** (a / 2), 2 ** (b / 2)
+@lru_cache(1)
+def _chances() -> np.ndarray:
+    """Chance that registers of disjoint sets agree, by the sets' sizes in half powers of two."""
     steps = np.arange(2**MANTISSA) / 2**MANTISSA
-    total = 0.0
-    for z in range(32):
-        lo = (1 + steps) * 2.0 ** -(z + 1)
-        hi = lo + 2.0 ** -(z + 1 + MANTISSA)
-        total += float((((1 - lo) ** n - (1 - hi) ** n) * ((1 - lo) ** m - (1 - hi) ** m)).sum())
-    return total
+    lo = np.concatenate([(1 + steps) * 2.0 ** -(z + 1) for z in range(32)])
+    wide = np.repeat([2.0 ** -(z + 1 + MANTISSA) for z in range(32)], len(steps))
+    sizes = 2.0 ** (np.arange(64) / 2)
+    cells = (1 - lo) ** sizes[:, None] - np.maximum(0, 1 - lo - wide) ** sizes[:, None]
+    return cells @ cells.T
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity from equal registers, corrected for those that agree by chance."""
-    same = (a == b).mean(-1)
-    by_size = lambda x: np.round(2 * np.log2(np.maximum(x, 1))).astype(int)
-    chance = np.array([_collisions(*p) for p in zip(by_size(n).tolist(), by_size(m).tolist())])
-    return (same - chance) / (1 - chance)
+    size = lambda x: np.minimum(63, np.round(2 * np.log2(np.maximum(x, 1)))).astype(np.int64)
+    chance = _chances()[size(n), size(m)]
+    return ((a == b).mean(-1) - chance) / (1 - chance)
 
 
 def sketch(df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
@@ -188,79 +184,141 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     Only the texts named in pairs are read again; each becomes its sorted set of
     64-bit shingle hashes, and a pair is decided where its two sets meet.
     """
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(named, "node", "left_semi")
     kind = docs.schema[key].dataType
-    sets_schema = T.StructType([T.StructField("node", kind), T.StructField("set", T.BinaryType())])
-
-    def make(batches):
-        for batch in batches:
-            out = [shingles((t or "").encode(), size).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "set"])
-
-    sets = materialize(texts.mapInArrow(make, sets_schema).dropDuplicates(["node"]))
+    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), key, text, size)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def check(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [
+                _together(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column("sa"), batch.column("sb"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = materialize(joined.mapInArrow(check, schema))
+    links = materialize(joined.mapInArrow(check, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
     discard(sets)
     return links
 
 
-def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components inside buckets that hold more than one.
+def _together(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+GROUP = ["bucket", "i", "j"]
 
-    ``members(bucket, node, part, comp, n, regs, main)``: rows with ``main`` belong to
-    the bucket's largest component. Every other member is held against every member,
-    tile by tile, by registers alone; only pairs in different components that the
-    estimate does not rule out leave a tile.
+
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """Which members of open buckets must meet: ``(bucket, i, j, node, comp, partners)``.
+
+    ``members(bucket, band, node, comp, n, regs, main, size)``: rows with ``main`` belong
+    to the bucket's largest component. Every other member is held against every member,
+    tile by tile, by registers alone; a pair counts in the first bucket that it shares.
+    A row names the partners that the estimate allows a node, so there is one row for
+    each node in a tile, however many pairs there are; partners come as rows of their own.
     """
     kind = members.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-
-    def run(pdf_iter):
-        import pandas as pd
+    fields = [T.StructField("bucket", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("node", kind),
+              T.StructField("comp", kind), T.StructField("partners", T.ArrayType(kind))]
 
-        for pdf in pdf_iter:
-            side = pdf["side"].to_numpy()
-            regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
-            n, comp, node = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["node"].to_numpy()
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            a, b = [], []
-            for i in left:
-                close = (np.minimum(n[i], n[right]) * 100 >= np.maximum(n[i], n[right]) * percent) & (comp[i] != comp[right])
-                at = right[close]
-                if len(at):
-                    est = estimate(regs[i], regs[at], np.full(len(at), n[i]), n[at])
-                    at = at[est >= percent / 100 - MARGIN]
-                    a += [node[i]] * len(at)
-                    b += node[at].tolist()
-            yield pd.DataFrame({"a": a, "b": b}).astype({"a": node.dtype, "b": node.dtype})
+    def run(batches):
+        for rows, starts in whole_groups(batches, GROUP):
+            out = {f.name: [] for f in fields}
+            col = {c: rows.column(c).to_numpy() for c in ("bucket", "i", "j", "band", "n", "comp", "node", "side")}
+            regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+                side, n, comp, node = (col[c][start:end] for c in ("side", "n", "comp", "node"))
+                r, band = regs[start:end], int(col["band"][start])
+                right = np.flatnonzero(side == 1)
+                needed: dict[int, list[int]] = {}
+                for x in np.flatnonzero(side == 0).tolist():
+                    at = right[(comp[right] != comp[x]) & (np.minimum(n[x], n[right]) * 100 >= np.maximum(n[x], n[right]) * percent)]
+                    if not len(at):
+                        continue
+                    same = r[at] == r[x]
+                    first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+                    at = at[(first == band) & (estimate(r[at], r[x], n[at], n[x]) >= percent / 100 - MARGIN)]
+                    if len(at):
+                        needed[x] = node[at].tolist()
+                        for y in at.tolist():
+                            needed.setdefault(y, [])
+                seen: dict = {}
+                for x, partners in needed.items():  # a stray stands on both sides: one row for it
+                    seen.setdefault(node[x], [x, []])[1].extend(partners)
+                for name, (x, partners) in seen.items():
+                    for key, value in zip(out, (col["bucket"][start], col["i"][start], col["j"][start], name, comp[x], partners)):
+                        out[key].append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["bucket"], pa.int64()), pa.array(out["i"], pa.int32()), pa.array(out["j"], pa.int32()), pa.array(out["node"], pa.int64()),
+                 pa.array(out["comp"], pa.int64()), pa.array(out["partners"], pa.list_(pa.int64()))], names=list(out))
 
     tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
-    strays = members.where(~F.col("main")).select(
-        "bucket", "node", "comp", "n", "regs", F.lit(0).alias("side"), F.pmod(F.xxhash64("node"), tiles).alias("i"),
-        F.explode(F.sequence(F.lit(0), tiles - 1)).alias("j"),
-    )
-    others = members.select(
-        "bucket", "node", "comp", "n", "regs", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("i"),
-        F.pmod(F.xxhash64("node"), tiles).cast("int").alias("j"),
-    ).select("bucket", "node", "comp", "n", "regs", "side", F.col("i").cast("long").alias("i"), "j")
-    tiled = strays.unionByName(others)
-    found = tiled.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: next(run([pdf])), schema)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    part = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    every = F.explode(F.sequence(F.lit(0), tiles - 1))
+    slim = ["bucket", "band", "node", "comp", "n", "regs"]
+    strays = members.where(~F.col("main")).select(*slim, F.lit(0).alias("side"), part.alias("i"), every.alias("j"))
+    others = members.select(*slim, F.lit(1).alias("side"), part.alias("j"), every.alias("i")).select(*slim, "side", "i", "j")
+    tiled = strays.unionByName(others).repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
+    return tiled.mapInArrow(run, T.StructType(fields))
+
+
+def _sets(docs: DataFrame, named: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``(node, set)``: the full sorted shingle sets of the documents in ``named(node)``."""
+    schema = T.StructType([T.StructField("node", docs.schema[key].dataType), T.StructField("set", T.BinaryType())])
+
+    def make(batches):
+        for batch in batches:
+            out = [shingles((t or "").encode(), size).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "set"])
+
+    texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(named, "node", "left_semi")
+    return materialize(texts.mapInArrow(make, schema).dropDuplicates(["node"]))
+
+
+def _confirm_in_tiles(possible: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` among the partners of each tile, decided on full sets.
+
+    A set comes once to each tile that needs it. Links that a tile has already implied
+    are not tested again, so what leaves a tile is fewer links than it has nodes.
+    """
+    kind = docs.schema[key].dataType
+    possible = materialize(possible)
+    sets = _sets(docs, possible.select("node").distinct(), key, text, size)
+    dealt = possible.join(sets, "node").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
+
+    def run(batches):
+        for rows, starts in whole_groups(batches, GROUP):
+            a, b = [], []
+            nodes, comps, partners, sets_ = (rows.column(c).to_pylist() for c in ("node", "comp", "partners", "set"))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+                at = {nodes[k]: k for k in range(start, end)}
+                parent = {comps[k]: comps[k] for k in range(start, end)}
+
+                def find(x):
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                for k in range(start, end):
+                    own = np.frombuffer(sets_[k], np.uint64)
+                    for other in partners[k]:
+                        x, y = find(comps[k]), find(comps[at[other]])
+                        if x != y and _together(own, np.frombuffer(sets_[at[other]], np.uint64), percent):
+                            parent[max(x, y)] = min(x, y)
+                            a.append(nodes[k])
+                            b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    links = materialize(dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+    discard(sets)
+    discard(possible)
+    return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -271,14 +329,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     the smallest, and of these pairs the one that shares most bands is estimated from
     the registers and then confirmed on full sets. Where a bucket still holds more than
     one component, all members outside its largest are held against all its members by
-    their registers, and what the estimate allows is confirmed too. So a group of copies
-    costs one pair each, no pair of a bucket stays undecided, and none is capped.
+    their registers, in tiles, and what the estimate allows is decided on full sets in
+    the same tiles. So a group of copies costs one pair each, no pair of a bucket stays
+    undecided, none is capped, and no list of all pairs is made. Keys are integers.
 
     A text without words has no shingles and is linked with nothing, also with another
     such text. Rows with a null key get a null component and are kept. A key that occurs
     more than once counts as one document (its rows should be equal). Extra columns are
     not read; an empty table gives no rows.
     """
+    docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
     sk = materialize(sketch(docs, key, text, size))
     whole = sk.where(F.col("key").isNotNull() & F.col("set_id").isNotNull())
     classes = whole.groupBy("set_id").agg(F.min("key").alias("node"))
@@ -286,7 +346,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         whole.withColumnRenamed("key", "node").join(classes, ["set_id", "node"], "left_semi")
         .select("node", "n", "regs", "bands").dropDuplicates(["node"])
     )
-    entries = reps.select("node", F.explode("bands").alias("bucket"))
+    entries = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     buckets = materialize(entries.join(heads, "bucket"))
     stars = buckets.where(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
@@ -294,14 +354,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first = confirm(materialize(estimated(best, reps, percent)), docs, key, text, size, percent)
     parts = components(first)
     labelled = materialize(
-        buckets.join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("comp"))
+        buckets.join(parts, "node", "left").select("bucket", "band", "node", "size", F.coalesce("component", "node").alias("comp"))
     )
     sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("members"))
     mains = sizes.groupBy("bucket").agg(F.max(F.struct("members", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
     members = labelled.join(mains.select("bucket", "main"), "bucket").withColumn("main", F.col("main") == F.col("comp"))
     members = members.join(reps.select("node", "n", "regs"), "node")
-    more = materialize(_open_pairs(members, percent))
-    second = confirm(more, docs, key, text, size, percent)
+    second = _confirm_in_tiles(_possible(members, percent), docs, key, text, size, percent)
     parts = components(first.unionByName(second))
     named = classes.join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = sk.select("key", "n", "set_id").join(named, "set_id", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,32 @@ def uniform(seed: str, *keys: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def whole_groups(batches, keys: list[str]):
+    """Arrow tables of complete groups from batches that are sorted by integer ``keys``.
+
+    Yields ``(rows, starts)``: the rows of one or more groups and where each begins. Only
+    the rows of a group that a batch's end cuts wait for the next batch.
+    """
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = (now if rest is None else pa.concat_tables([rest, now])).combine_chunks()
+        starts = _group_starts(now, keys)
+        last = int(starts[-1])
+        if last:
+            yield now.slice(0, last), starts[:-1]
+        rest = now.slice(last)
+    if rest is not None:
+        yield rest, _group_starts(rest, keys)
+
+
+def _group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    values = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in keys])
+    return np.flatnonzero(np.concatenate(([True], (values[:, 1:] != values[:, :-1]).any(0))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(node, component)``.
 

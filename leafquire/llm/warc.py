@@ -85,7 +85,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place in the archives where the magic stands: ``file, start, stop, piece, size``.
+    """Every place in the archives where the magic stands: ``path, file, block, at, piece, size``.
 
     The text reader splits files into tasks and lines at the magic, wherever it stands.
     A piece is what follows one magic up to the next; in file order, the running sum of
@@ -93,7 +93,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     magic. Text before a file's first magic is left out.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_path").alias("path"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("piece"),
     )
     return raw.withColumn("size", F.octet_length(F.col("piece").cast("binary")).cast("long"))
@@ -143,6 +143,28 @@ def reachable(edges: DataFrame) -> DataFrame:
         jump = doubled
 
 
+def reached(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``run`` and ``ok``: whether a record is on its file's chain.
+
+    Records that follow each other as stated form a run, and a run is left by its last
+    pointer alone. So pointers need to jump only between the places where runs are
+    entered: the file's start and where some run's last pointer lands. A record counts if its
+    run is entered at it or before it. What jumps is one row per false candidate or
+    broken record, not one per record.
+    """
+    order = W.partitionBy("file").orderBy("start")
+    broken = F.when(F.lag("next").over(order).eqNullSafe(F.col("start")), 0).otherwise(1)
+    rows = edges.withColumn("_b", broken).withColumn("run", F.sum("_b").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
+    rows = materialize(rows)
+    ends = rows.groupBy("file", "run").agg(F.max_by("next", "start").alias("out"))
+    landed = ends.where("out IS NOT NULL").select("file", F.col("out").alias("start")).union(rows.where("start = 0").select("file", "start")).distinct()
+    entries = rows.select("file", "run", "start").join(landed, ["file", "start"]).join(ends, ["file", "run"])
+    entries = materialize(entries.select("file", "run", "start", F.col("out").alias("next")))
+    entered = reachable(entries).join(entries.select("file", "start", "run"), ["file", "start"]).groupBy("file", "run").agg(F.min("start").alias("entry"))
+    marked = rows.join(entered, ["file", "run"], "left")
+    return marked.withColumn("ok", F.coalesce(F.col("start") >= F.col("entry"), F.lit(False))).drop("entry")
+
+
 HEAD = r"(?s)^(.*?)\r\n\r\n"
 
 
@@ -152,34 +174,36 @@ def _header(name: str) -> Column:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``file, start, record_type, record_id, target_uri, payload_digest, refers_to, payload``.
+    """``path, record_type, record_id, target_uri, payload_digest, refers_to, payload``.
 
     Magic inside a payload makes a candidate like any other, but nothing reaches it from
     the start of its file. The pieces from one reached record to the next are that
-    record, put together again. Files are assumed to begin with a record; an empty file has none.
+    record, put together again; they alone are shuffled, whole records stay where they
+    are read. Files are assumed to begin with a record; an empty file has none.
     """
     raw = candidates(spark, path)
     head_length = F.octet_length(F.regexp_extract("piece", HEAD, 1).cast("binary"))
     length = F.regexp_extract("piece", r"(?si)^(?:[^\r\n]+\r\n)*?content-length: *(\d{1,18})\r\n(?:[^\r\n]+\r\n)*?\r\n", 1)
     declared = F.when(length != "", len(MAGIC) + head_length + 4 + length.cast("long") + len(END))
     thin = materialize(raw.select("file", "block", "at", "size", declared.alias("declared")))
-    edges = materialize(chains(thin).where("start >= 0"))
-    good = reachable(edges).withColumn("reached", F.lit(True))
-    marks = edges.join(good, ["file", "start"], "left").select("file", "block", "at", "start", F.coalesce("reached", F.lit(False)).alias("reached"))
+    marks = reached(materialize(chains(thin).where("start >= 0")))
     upto = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
-    owner = materialize(marks.withColumn("owner", F.max(F.when(F.col("reached"), F.col("start"))).over(upto)).where("owner IS NOT NULL"))
-    split = owner.where(~F.col("reached")).select("file", "owner").distinct()
-    tagged = raw.select("file", "block", "at", "piece").join(owner, ["file", "block", "at"])
-    # Few records hold magic in their payload; only their pieces are put together.
-    alone = tagged.join(split, ["file", "owner"], "left_anti").select("file", F.col("owner").alias("start"), F.col("piece").alias("text"))
-    parts = tagged.join(split, ["file", "owner"]).groupBy("file", F.col("owner").alias("start")).agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
-    joined = parts.select("file", "start", F.array_join(F.col("parts.piece"), MAGIC).alias("text"))
+    owner = materialize(marks.withColumn("owner", F.max(F.when(F.col("ok"), F.col("start"))).over(upto)).select("file", "block", "at", "start", "ok", "owner"))
+    split = owner.where("NOT ok AND owner IS NOT NULL").select("file", "owner").distinct()
+    parts = materialize(owner.join(split, ["file", "owner"], "left_semi"))
+    # What is no whole record: pieces to put together, pieces that nothing owns, and what precedes a file's first magic.
+    other = parts.select("file", "block", "at").union(owner.where("owner IS NULL").select("file", "block", "at"))
+    other = materialize(other.union(thin.where("size = 0").select("file", "block", "at")))
+    alone = raw.join(other, ["file", "block", "at"], "left_anti").select("path", F.col("piece").alias("text"))
+    pieces = raw.select("path", "file", "block", "at", "piece").join(parts, ["file", "block", "at"])
+    joined = pieces.groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
+    joined = joined.select("path", F.array_join(F.col("parts.piece"), MAGIC).alias("text"))
     records = alone.unionByName(joined).withColumn("head", F.regexp_extract("text", HEAD, 1))
     block = F.substring(F.col("text").cast("binary"), F.octet_length(F.col("head").cast("binary")) + 5, F.octet_length(F.col("text").cast("binary")))
     records = records.withColumn("length", _header("Content-Length").cast("int"))
     block = F.substring(block, F.lit(1), F.col("length")).cast("string")
     return records.select(
-        "file", "start", _header("WARC-Type").alias("record_type"), _header("WARC-Record-ID").alias("record_id"), _header("WARC-Target-URI").alias("target_uri"),
+        "path", _header("WARC-Type").alias("record_type"), _header("WARC-Record-ID").alias("record_id"), _header("WARC-Target-URI").alias("target_uri"),
         _header("WARC-Payload-Digest").alias("payload_digest"), _header("WARC-Refers-To").alias("refers_to"),
         F.regexp_replace(block, HEAD, "").alias("payload"),
     )

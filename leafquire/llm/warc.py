@@ -17,6 +17,8 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of at least this many bytes are revisited when they repeat.
 LEAST_REVISIT = 0
+#: Up to this many revisiting rows (about 80 bytes each) go to all tasks.
+BROADCAST_REVISITS = 500_000
 
 
 @F.pandas_udf(T.StringType())
@@ -43,12 +45,16 @@ def describe(pages: DataFrame, key: str = "page_id", body: str = "html", least:
     one; rows with a null key revisit the keyed one, or are responses if none is keyed.
     Rows that repeat the smallest key are all responses.
     """
-    out = pages.withColumn("payload", F.coalesce(F.col(body), F.lit("")))
+    out = pages.drop("payload", "payload_bytes", "payload_sha1", "refers_to", "record_type").withColumn("payload", F.coalesce(F.col(body), F.lit("")))
     out = out.withColumn("payload_bytes", _octets(F.col("payload")).cast("long")).withColumn("payload_sha1", F.sha1(F.col("payload").cast("binary")))
-    first = out.groupBy("payload_sha1", "payload_bytes").agg(F.min(key).alias("refers_to"))
-    out = out.drop("refers_to").join(first, ["payload_sha1", "payload_bytes"])
-    other = (F.col("payload_bytes") >= least) & F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col(key))
-    return out.withColumn("record_type", F.when(other, "revisit").otherwise("response")).withColumn("refers_to", F.when(other, F.col("refers_to")))
+    thin = out.select(F.col(key).alias("own"), "payload_sha1", "payload_bytes")
+    first = thin.where(F.col("payload_bytes") >= least).groupBy("payload_sha1").agg(F.min("own").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    later = thin.join(first.drop("n"), "payload_sha1").where(~F.col("refers_to").eqNullSafe(F.col("own"))).select("own", F.col("payload_sha1").alias("of"), "refers_to").distinct()
+    later = materialize(later)
+    few = later.count() <= BROADCAST_REVISITS  # beyond that the payloads are shuffled to them
+    same = out["payload_sha1"].eqNullSafe(later["of"]) & out[key].eqNullSafe(later["own"])
+    out = out.join(F.broadcast(later) if few else later, same, "left").drop("of", "own")
+    return out.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
 
 
 def record(row_key: str, url: str, date: str = DATE) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafquire.functions import text as X
 from leafquire.operators import blocks, checks, citations, context, forms, keyword, layout, search
 from leafquire.sources import samples as S
+from leafquire.sources.stage import staged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +63,7 @@ kw AS (
 
 def _keyword(spark, sf):
     chunks = S.chunks(spark, sf)
-    return keyword.keyword_search(S.queries(spark, sf), chunks, keyword.postings(chunks), keyword.lengths(chunks))
+    return keyword.keyword_search(S.queries(spark, sf), chunks, keyword.postings(chunks), staged(keyword.lengths(chunks)))
 
 
 @query(_KEYWORD + "SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM kw WHERE rank <= 100")

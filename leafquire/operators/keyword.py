@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
+from leafquire.sources.stage import staged
 
 #: Query terms up to this many go to every task; beyond it Spark joins by shuffle.
 BROADCAST_TERMS = 200_000
@@ -40,12 +41,12 @@ def phrase_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
     Phrases of several queries are matched once. The few query terms are broadcast, so
     the postings stay where they are; only their matches are grouped.
     """
-    terms = phrases.select("phrase").distinct().select("phrase", F.size("phrase").alias("need"), F.posexplode("phrase").alias("off", "gram"))
+    known = phrases.select("phrase").distinct().withColumn("id", F.xxhash64("phrase"))
+    terms = known.select("id", F.size("phrase").alias("need"), F.posexplode("phrase").alias("off", "gram"))
     few = terms.count() <= BROADCAST_TERMS
-    hits = index.join(F.broadcast(terms) if few else terms, "gram").select("phrase", "need", "chunk_id", (F.col("pos") - F.col("off")).alias("at"))
-    single = hits.where("need = 1").select("phrase", "chunk_id", "at")
-    several = hits.where("need > 1").groupBy("phrase", "need", "chunk_id", "at").agg(F.count("*").alias("got")).where("got = need")
-    return single.unionByName(several.select("phrase", "chunk_id", "at")).groupBy("phrase", "chunk_id").agg(F.count("*").alias("f"))
+    hits = index.join(F.broadcast(terms) if few else terms, "gram").select("id", "need", "chunk_id", (F.col("pos") - F.col("off")).alias("at"))
+    whole = hits.groupBy("id", "need", "chunk_id", "at").agg(F.count("*").alias("got")).where("got = need")
+    return whole.groupBy("id", "chunk_id").agg(F.count("*").alias("f")).join(known, "id").select("phrase", "chunk_id", "f")
 
 
 def corpus(length_rows: DataFrame) -> tuple[int, float]:
@@ -91,7 +92,8 @@ def top(hits: DataFrame, k: int, order: str = "score", key: str = "query_id", ti
 def keyword_search(queries: DataFrame, chunks: DataFrame, index: DataFrame, length_rows: DataFrame, k: int = P.POOL) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: filters first, then the cut."""
     phrases = query_phrases(queries)
-    scored = bm25(phrases, phrase_matches(phrases, index), length_rows)
+    # Matches are counted and then scored: written once, so the postings are read once.
+    scored = bm25(phrases, staged(phrase_matches(phrases, index)), length_rows)
     return top(keep_allowed(scored, queries, chunks), k)
 
 

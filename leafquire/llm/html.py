@@ -320,7 +320,9 @@ def labelled(pages: list[str], seed: int = 5) -> Iterator[tuple[list[list[int]],
 
 def train(pages: DataFrame, html: str = "html", key: str = "page_id", limit: int = TRAIN_PAGES) -> Field:
     """Fit the field on ``limit`` pages, picked by a hash of their key: a bounded sample."""
-    picked = pages.where(F.length(html) > 0).orderBy(F.xxhash64(key), key).select(html).limit(limit)
+    ids = pages.where((F.length(html) > 0) & F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(limit)
+    chosen = [r[0] for r in ids.collect()]  # ids alone are ordered; then the chosen pages are read
+    picked = pages.where(F.col(key).isin(chosen)).dropDuplicates([key]).orderBy(key).select(html)
     return fit(list(labelled([r[0] for r in picked.collect()])))
 
 

@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafquire.llm.shared import fresh, table
@@ -23,8 +22,8 @@ from leafquire.llm.shared import fresh, table
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of text that are merged together, and words remembered with their ids.
 #: Both bound memory only; every word of every text is encoded.
-TEXT_BLOCK = 2_000_000
-REMEMBERED = 200_000
+TEXT_BLOCK = 500_000
+REMEMBERED = 100_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -245,6 +244,21 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     return df.mapInArrow(run, schema)
 
 
+def _joined(column: pa.ListArray, tokens: pa.StringArray) -> pa.StringArray:
+    """The text of each row's ids; ids outside the vocabulary are left out."""
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    known = (values >= 0) & (values < len(tokens))
+    counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[known], minlength=len(counts))
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens.take(pa.array(values[known]))), " ")
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 256):
+    for start in range(0, max(batch.num_rows, 1), rows):
+        yield batch.slice(start, rows)
+
+
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """Add ``text``: the tokens of ``ids`` joined by one space, special tokens included.
 
@@ -258,48 +272,43 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
     def run(batches):
         tokens = pa.array(_vocabulary(file).tokens)
         for batch in batches:
-            for start in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(start, 512)
-                column = part.column(ids)
-                counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-                values = column.flatten().to_numpy(zero_copy_only=False)
-                known = (values >= 0) & (values < len(tokens))
-                owner = np.repeat(np.arange(len(counts)), counts)[known]
-                counts = np.bincount(owner, minlength=len(counts))
-                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), tokens.take(pa.array(values[known])))
-                joined = pc.binary_join(lists, " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, joined], names=[*part.schema.names, text])
+            for part in _slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, _joined(part.column(ids), tokens)], names=[*part.schema.names, text])
 
     return df.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, and drop ids and text."""
-    rest = [c for c in df.columns if c not in (ids, decoded)]
-    thin = df.select(*rest, ids, F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"))
+def digests(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """Replace ``ids`` by ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
+
+    The ids are hashed as little-endian unsigned 32-bit integers; they are decoded as
+    ``decode`` does, and the text is hashed in UTF-8 where it is made.
+    """
+    file = _share(df, path or tokenizer_path())
+    rest = [c for c in df.columns if c != ids]
     schema = T.StructType([
         *df.select(*rest).schema.fields, T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
     ])
+    sha = lambda data: hashlib.sha256(data).hexdigest()
 
     def run(batches):
+        tokens = pa.array(_vocabulary(file).tokens)
         for batch in batches:
-            column = batch.column(ids)
-            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            stops = np.cumsum(counts)
-            hashes = [hashlib.sha256(flat[e - c : e].tobytes()).hexdigest() for e, c in zip(stops.tolist(), counts.tolist())]
-            columns = [batch.column(c) for c in rest]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts), pa.array(hashes), batch.column("decoded_sha256")],
-                names=[*rest, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in _slices(batch):
+                column = part.column(ids)
+                counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+                stops = np.cumsum(counts)
+                of_ids = [sha(flat[e - c : e].tobytes()) for e, c in zip(stops.tolist(), counts.tolist())]
+                of_text = [sha(t.as_buffer()) for t in _joined(column, tokens)]
+                columns = [*map(part.column, rest), pa.array(counts), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*rest, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return thin.mapInArrow(run, schema)
+    return df.select(*rest, ids).mapInArrow(run, schema)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    (ids, decoded) = fresh(docs, "ids", "decoded")
-    return digests(decode(encode(docs).drop("text"), ids, decoded), ids, decoded)
+    (ids,) = fresh(docs, "ids")
+    return digests(encode(docs, ids=ids).drop("text"), ids)

@@ -23,7 +23,7 @@ MANTISSA = 10
 #: five standard deviations of an estimate from 160 registers at 0.8.
 MARGIN = 0.16
 #: Members of an open bucket are compared in tiles of about this many.
-TILE = 256
+TILE = 1024
 #: Hashes that are combined at once; it bounds memory, not the sets.
 BLOCK = 1 << 15
 

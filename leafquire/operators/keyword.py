@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,6 +52,66 @@ def phrase_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
     return whole.groupBy("id", "chunk_id").agg(F.count("*").alias("f")).join(known, "id").select("phrase", "chunk_id", "f")
 
 
+def phrase_tree(phrases: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """A prefix tree: its terms, sorted keys ``state * (terms + 1) + term``, the states they lead to, and each state's phrase or -1."""
+    names = sorted({g for p in phrases for g in p})
+    code = {g: i for i, g in enumerate(names)}
+    links: dict[int, int] = {}
+    ends = [-1]
+    for i, p in enumerate(phrases):
+        state = 0
+        for g in p:
+            state = links.setdefault(state * (len(names) + 1) + code[g], len(ends))
+            if state == len(ends):
+                ends.append(-1)
+        ends[state] = i
+    keys = np.array(sorted(links), np.int64)
+    return names, keys, np.array([links[k] for k in keys.tolist()], np.int64), np.array(ends, np.int64)
+
+
+def phrase_matches_in(phrases: DataFrame, chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """``phrase_matches`` straight from the chunks: from each place the phrases' prefix tree is walked.
+
+    No row is made for a place and a phrase that only share a term, so many phrases of
+    common terms cost no more than their matches. A map; over ``BROADCAST_TERMS`` terms
+    the postings are joined instead.
+    """
+    known = phrases.select("phrase").where(F.size("phrase") > 0).distinct()
+    if (known.agg(F.sum(F.size("phrase"))).first()[0] or 0) > BROADCAST_TERMS:
+        return phrase_matches(phrases, postings(chunks, key, text))
+    spark = chunks.sparkSession
+    every = [r.phrase for r in known.collect()]
+    tree = spark.sparkContext.broadcast(phrase_tree(every))
+    rows = chunks.select(F.col(key).alias("chunk_id"), X.grams(F.col(text)).alias("gs"))
+
+    def run(batches):
+        names, keys, to, ends = tree.value
+        names = pa.array(names, pa.string())
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(keys) else 0, 200):
+                part = batch.slice(start, 200)
+                gs = part.column("gs")
+                size = pc.fill_null(pc.list_value_length(gs), 0).to_numpy(zero_copy_only=False)
+                codes = pc.fill_null(pc.index_in(gs.flatten(), value_set=names), len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                end = np.cumsum(size)[row]
+                pos, state, k, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+                while len(pos):
+                    want = state * (len(names) + 1) + codes[pos + k]
+                    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                    good = keys[at] == want
+                    pos, state, k = pos[good], to[at[good]], k + 1
+                    done = ends[state] >= 0
+                    found.append(row[pos[done]] * len(ends) + ends[state[done]])
+                    inside = pos + k < end[pos]
+                    pos, state = pos[inside], state[inside]
+                pairs, f = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(pa.array(pairs // len(ends))), pa.array(pairs % len(ends)), pa.array(f.astype(np.int64))], names=["chunk_id", "id", "f"])
+
+    numbered = F.broadcast(spark.createDataFrame(list(enumerate(every)), "id long, phrase array<string>"))
+    return rows.mapInArrow(run, "chunk_id string, id long, f long").join(numbered, "id").select("phrase", "chunk_id", "f")
+
+
 def corpus(length_rows: DataFrame) -> tuple[int, float]:
     """Number of chunks and mean length, over the whole corpus."""
     row = length_rows.agg(F.count("*").alias("n"), F.avg("n").alias("avg")).first()
@@ -89,11 +152,12 @@ def top(hits: DataFrame, k: int, order: str = "score", key: str = "query_id", ti
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, index: DataFrame, length_rows: DataFrame, k: int = P.POOL) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``: filters first, then the cut."""
+def keyword_search(queries: DataFrame, chunks: DataFrame, index: DataFrame | None, length_rows: DataFrame, k: int = P.POOL) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: filters first, then the cut. Without an index the chunks are searched."""
     phrases = query_phrases(queries)
     # Matches are counted and then scored: written once, so the postings are read once.
-    scored = bm25(phrases, staged(phrase_matches(phrases, index)), length_rows)
+    matches = phrase_matches_in(phrases, chunks) if index is None else phrase_matches(phrases, index)
+    scored = bm25(phrases, staged(matches), length_rows)
     return top(keep_allowed(scored, queries, chunks), k)
 
 

@@ -41,6 +41,12 @@ def queries(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_queries(spark, sf_dir: str) -> DataFrame:
+    """Each whole benchmark passage as a query, with the filters of ``queries``."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    return b.join(queries(spark, sf_dir).drop("query"), "query_id")
+
+
 def vectors(spark, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding"), F.concat(F.lit("g"), F.col("label").cast("string")).alias("doc_id"), F.lit("text").alias("content_type"))

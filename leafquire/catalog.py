@@ -392,12 +392,24 @@ r AS (SELECT conv_id::VARCHAR AS run_id, a.turn, regexp_split_to_array(t, '\s+')
 @query("WITH " + _RUNS + """, z AS (SELECT *, list_filter(cited, lambda c: NOT list_contains(got, c)) AS bad FROM r)
 SELECT run_id, turn, array_to_string(bad, ' ') AS invented, CASE WHEN len(bad) > 0 THEN 'insufficient' ELSE 'sufficient' END AS verdict,
   CASE WHEN len(bad) = 0 THEN 'done' WHEN turn % 2 = 1 OR turn >= 4 THEN 'escalate' ELSE 'retrieve' END AS step FROM z""")
-def invented_citations(spark, sf):
-    checked = context.check_citations(S.runs(spark, sf))
+def invented_citations(spark, sf, runs=S.runs):
+    checked = context.check_citations(runs(spark, sf))
     simple = F.when(F.col("turn") % 2 == 1, "simple").otherwise("complex")
     return checked.select("run_id", "turn", F.array_join("invented", " ").alias("invented"), "verdict", context.next_step(F.col("verdict"), simple, F.col("turn"), 4).alias("step"))
 
 
+@query(r"""
+WITH o AS (SELECT conv_id, turn, min({'role': role, 'text': text}) AS x FROM conversations GROUP BY ALL),
+w AS (SELECT conv_id, turn, x.role AS role, list_filter(list_transform(regexp_split_to_array(coalesce(x.text, ''), '\s+'), lambda y: translate(y, '[]', '')), lambda y: y <> '') AS ws FROM o),
+z AS (
+  SELECT a.conv_id::VARCHAR AS run_id, a.turn, list_filter(a.ws, lambda c: NOT list_contains(u.ws, c)) AS bad
+  FROM w a JOIN w u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user')
+SELECT run_id, turn, array_to_string(bad, ' ') AS invented, CASE WHEN len(bad) > 0 THEN 'insufficient' ELSE 'sufficient' END AS verdict,
+  CASE WHEN len(bad) = 0 THEN 'done' WHEN turn % 2 = 1 OR turn >= 4 THEN 'escalate' ELSE 'retrieve' END AS step FROM z""")
+def invented_citations_whole(spark, sf):
+    return invented_citations(spark, sf, S.whole_runs)
+
+
 @query("WITH " + _RUNS + "SELECT run_id, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, count(*) AS calls FROM r GROUP BY run_id")
 def run_usage(spark, sf):
     return context.usage(S.runs(spark, sf))

@@ -152,3 +152,13 @@ def runs(spark, sf_dir: str) -> DataFrame:
     asked = one.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), words(40).alias("retrieved"), F.length(F.coalesce("text", F.lit(""))).alias("input_tokens"))
     out = one.where("role = 'assistant'").select("conv_id", "turn", F.transform(words(3), lambda w: F.concat(F.lit("[ "), w, F.lit("]"))).alias("citations"), F.length(F.coalesce("text", F.lit(""))).alias("output_tokens"))
     return out.join(asked, ["conv_id", "turn"]).select(F.col("conv_id").cast("string").alias("run_id"), "turn", "citations", "retrieved", "input_tokens", "output_tokens", F.lit(1).alias("calls"))
+
+
+def whole_runs(spark, sf_dir: str) -> DataFrame:
+    """``runs`` with every word of both turns cited and retrieved, brackets taken off on both sides."""
+    c = table(spark, sf_dir, "conversations")
+    words = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.translate(w, "[]", "")), lambda w: w != "")
+    one = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("x")).select("conv_id", "turn", "x.*")
+    asked = one.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), words.alias("retrieved"))
+    out = one.where("role = 'assistant'").select(F.col("conv_id"), "turn", F.transform(words, lambda w: F.concat(F.lit("["), w, F.lit("]"))).alias("citations"))
+    return out.join(asked, ["conv_id", "turn"]).select(F.col("conv_id").cast("string").alias("run_id"), "turn", "citations", "retrieved")

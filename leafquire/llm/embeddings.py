@@ -20,6 +20,8 @@ ROUNDS = 30
 MISS = 0.005
 #: Mean number of vectors that a table's bucket should hold; the code length follows from it.
 LOAD = 6
+#: Codes get shorter before more tables than this are planned; fewer than the measured recall needs are never used.
+TABLES = 64
 #: Larger buckets are compared in tiles of about this many vectors.
 TILE = 1024
 
@@ -27,7 +29,8 @@ TILE = 1024
 def plan_tables(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
     """Bits of a table's code and number of tables, for ``n`` vectors.
 
-    A bit of two vectors at angle t differs with chance t / pi. Codes grow with log2 of
+    A bit of two vectors at angle t differs with chance t / pi, if their table has no
+    common direction; ``fitted_tables`` measures what a table needs beyond that. Codes grow with log2 of
     the number of vectors so that buckets stay small, tables with the chance that a
     pair at the threshold agrees in a whole code: both sub-linear in ``n``.
     """
@@ -58,6 +61,88 @@ def learn_rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed:
     return centre, np.stack(out)
 
 
+def threshold_pairs(sample: np.ndarray, cosine: float = COSINE, most: int = 4000, seed: int = 13) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at or just over ``cosine``, by kind, on which recall is measured.
+
+    Sampled vectors with a partner exactly at ``cosine``, turned in any direction or
+    towards another sampled vector; and pairs of the sample itself, if it holds enough.
+    """
+    rng = np.random.default_rng(seed)
+    if len(sample) < 2 or sample.shape[1] < 2:
+        return []
+    x = sample[rng.integers(0, len(sample), most)]
+    out = []
+    for w in (rng.standard_normal(x.shape), sample[rng.integers(0, len(sample), most)]):
+        w = w - (w * x).sum(1, keepdims=True) * x
+        size = np.sqrt((w * w).sum(1, keepdims=True))
+        good = size[:, 0] > 1e-6
+        out.append((x[good], cosine * x[good] + math.sqrt(1 - cosine * cosine) * w[good] / size[good]))
+    rows = sample[rng.permutation(len(sample))[:2048]]
+    a, b, found = [], [], 0
+    for k in range(0, len(rows), 256):
+        i, j = np.nonzero(np.abs(rows[k : k + 256] @ sample.T - cosine - 0.01) <= 0.01)
+        kept = rng.permutation(len(i))[: most // 8]
+        a.append(rows[k + i[kept]])
+        b.append(sample[j[kept]])
+    out.append((np.concatenate(a), np.concatenate(b)))
+    return [(a, b) for a, b in out if len(a) >= 200]
+
+
+def sides(unit: np.ndarray, rotations: np.ndarray, offsets: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The codes of vectors, one a table: on which side of each plane they are."""
+    per_rotation = unit.shape[1] // bits
+    weights = 1 << np.arange(bits)
+    out = np.empty((len(unit), tables), np.uint16)
+    for t in range(tables):
+        r, s = divmod(t, per_rotation)
+        if s == 0:
+            over = unit @ rotations[r] >= offsets[r]
+        out[:, t] = over[:, s * bits : (s + 1) * bits] @ weights
+    return out
+
+
+def fitted_tables(sample: np.ndarray, count: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Bits, number of tables, centre and rotations, such that the measured recall holds.
+
+    Codes around the centre of a table with a common direction agree less often than the
+    angle at the origin tells. So it is measured how often bits of ``threshold_pairs``
+    differ, codes are cut to as few bits as ``TABLES`` asks for, and tables are added until
+    of each kind of pairs at most ``miss`` shares none. Tables that are added last have
+    random planes through the origin, where the angle does tell, so this ends. Shorter
+    codes mean larger buckets, compared in tiles: more work, never less recall.
+    Gives bits, tables, rotations and each plane's offset.
+    """
+    width = sample.shape[1]
+    bits, tables = plan_tables(count, cosine, miss)
+    bits = min(bits, width)
+    pairs = threshold_pairs(sample, cosine)
+    centre, rotations = learn_rotations(sample, math.ceil(tables / (width // bits)))
+    differ = [np.mean([(((a - centre) @ r >= 0) != ((b - centre) @ r >= 0)).mean(1) for r in rotations], axis=0) for a, b in pairs]
+
+    def needed(bits: int) -> int:
+        n = tables
+        while any(((1 - (1 - d) ** bits) ** n).mean() > miss for d in differ) and n <= TABLES:
+            n += 1
+        return n
+
+    while bits > 1 and needed(bits) > TABLES:
+        bits -= 1
+    tables = needed(bits)
+    per_rotation = width // bits
+    centre, rotations = learn_rotations(sample, math.ceil(min(tables, TABLES) / per_rotation))
+    offsets = centre @ rotations
+    rng = np.random.default_rng(17)
+    while True:
+        tables = min(tables, len(rotations) * per_rotation)
+        codes = [(sides(a, rotations, offsets, bits, tables), sides(b, rotations, offsets, bits, tables)) for a, b in pairs]
+        if all((a == b).any(1).mean() >= 1 - miss for a, b in codes):
+            return bits, tables, rotations, offsets
+        tables += per_rotation
+        if tables > len(rotations) * per_rotation:
+            rotations = np.concatenate((rotations, np.linalg.qr(rng.standard_normal((1, width, width)))[0]))
+            offsets = np.concatenate((offsets, np.zeros((1, width))))
+
+
 def usable(vector):
     """Whether a vector (a column) can be compared: not null, finite throughout, not zero."""
     bad = F.exists(vector, lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
@@ -190,25 +275,15 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine:
     )
     count = classes.count()
     width = classes.agg(F.mode(F.size("vector"))).first()[0] or 1
-    bits, tables = plan_tables(count, cosine)
-    bits = min(bits, width)
-    per_rotation = width // bits
     index = classes.where(F.size("vector") == width).select("node", "n", "vector")
     limit = math.ceil(min(1.0, sample / max(count, 1)) * (1 << 20))
     picked = index.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < limit).limit(2 * sample).toArrow()
     data = unit_rows(picked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), width) if picked.num_rows else np.empty((0, width))
-    model = spark.sparkContext.broadcast(learn_rotations(data, math.ceil(tables / per_rotation)))  # width**2 numbers a rotation
+    bits, tables, rotations, offsets = fitted_tables(data, count, cosine)
+    model = spark.sparkContext.broadcast((rotations, offsets))  # width**2 numbers a rotation
 
     def codes_of(unit: np.ndarray) -> np.ndarray:
-        centre, rotations = model.value
-        out = np.empty((len(unit), tables), np.uint16)
-        weights = 1 << np.arange(bits)
-        for t in range(tables):
-            r, s = divmod(t, per_rotation)
-            if s == 0:
-                sides = (unit - centre) @ rotations[r] >= 0
-            out[:, t] = sides[:, s * bits : (s + 1) * bits] @ weights
-        return out
+        return sides(unit, *model.value, bits, tables)
 
     def blobs(x: np.ndarray) -> pa.Array:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.dtype.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())

@@ -74,3 +74,19 @@ def test_codes_are_balanced():
 
 def test_empty(spark):
     assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_recall_with_a_common_direction(spark):
+    rng = np.random.default_rng(8)
+    mean = np.eye(64)[0] * 0.87
+    x = mean + rng.standard_normal((6000, 64)) * math.sqrt((1 - 0.87**2) / 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.standard_normal((2000, 64))
+    w -= (w * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    c = rng.uniform(0.905, 0.93, (2000, 1))
+    x = np.concatenate((x, c * x[:2000] + np.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True)))
+    near = (x @ x.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: r.n_links for r in embeddings.link(df).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.tolist()))
+    assert sum(got.values()) >= 0.985 * near.sum()

@@ -25,15 +25,19 @@ FEATURES = 1 << 14
 
 # HTML elements by their role in parsing.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template title textarea svg iframe object canvas select option datalist math audio video".split())
+HIDDEN = set("script style title textarea iframe".split())  # raw text: read up to the end tag, or to the end of the page
+FOREIGN = {"svg", "math"}
+POINTS = set("foreignobject desc annotation-xml mi mo mn ms mtext".split())  # hold HTML inside svg and math
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr img input".split()
+    "time tt u var wbr img input svg math".split()
 )
 CLOSES_P = set(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details menu".split()
 )
-SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Start tags that end an open svg or math.
+BREAKS_OUT = CLOSES_P | set("b big body br center code dd dt em embed head i img li meta nobr p ruby s small span strike strong sub sup tt u var tr td th".split())
+SAME_CLOSES = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -72,10 +76,21 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(joined, tuple(t for t, _ in where), frozenset().union(*(n for _, n in where)), linked))
         text, linked = [], 0
 
+    def drawn(tags) -> bool:
+        return any(t == "svg" for t, _ in tags)
+
+    def foreign() -> bool:
+        return next((t in FOREIGN for t, _ in reversed(stack) if t in FOREIGN or t in POINTS), False)
+
     def say(piece: str) -> None:
         nonlocal linked, where
         if not piece:
             return
+        if text and drawn(where) != drawn(stack):
+            if not piece.strip():
+                text.append(piece)
+                return
+            flush()  # a drawing's text is a block of its own
         if not text:
             where = tuple(stack)
         piece = entities.unescape(piece)
@@ -92,7 +107,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name not in INLINE:
+            if name not in INLINE and not any(t in FOREIGN for t, _ in stack[: depth or 0]):
                 flush()
             if depth is not None:
                 del stack[depth:]
@@ -102,6 +117,15 @@ def blocks(page: str) -> list[Block]:
             if not m[3].rstrip().endswith("/"):
                 at = end.end() if end else len(page)
             continue
+        if foreign():
+            if name not in BREAKS_OUT:
+                if not m[3].rstrip().endswith("/"):
+                    stack.append((name, _names(m[3])))
+                continue
+            while foreign():
+                stack.pop()
+        elif name in FOREIGN and m[3].rstrip().endswith("/"):
+            continue
         if name not in INLINE:
             flush()
             closes = SAME_CLOSES.get(name) or ({"p"} if name in CLOSES_P else set())

@@ -67,3 +67,14 @@ def test_nulls_and_empty(spark):
     assert [r.text for r in html.extract(df, field).collect()] == [""] * 4
     empty = spark.createDataFrame([], "page_id long, html string")
     assert html.extract(empty, html.train(empty)).count() == 0
+
+
+def test_only_raw_text_is_skipped():
+    assert texts("<header><svg><path d='x'><p>Logo</header><article><p>one<p>two") == ["Logo", "one", "two"]
+    assert texts("<noscript><img src=x><p>a</p>") == ["a"]
+    assert texts("<p>area <math><mi>r</mi><mo>+</mo><mn>2</mn></math> of it</p><p>b") == ["area r+2 of it", "b"]
+    assert texts("<p>a <svg><title>icon</title><g><path d='x'/></g></svg> b<svg/> c") == ["a b c"]
+    assert texts("<p>a <svg><text>axis</text></svg> b") == ["a", "axis", "b"]
+    assert texts("<select><option>x<option>y</select><video>old browser</video><p>z") == ["x", "y", "old browser", "z"]
+    assert texts("<math><mi>x<div>after") == ["x", "after"]
+    assert texts("a<svg><style>p{}</style></svg><textarea>never closed <p>x") == ["a"]

@@ -1,533 +1,6 @@
-"""Registered queries and their SQL; each reads whole tables."""
+"""All registered queries of the library, and the SQL that checks them."""
 
-from __future__ import annotations
+from leafquire import catalog_build, catalog_search
+from leafquire.registry import ORACLES, QUERIES
 
-from functools import partial
-
-from pyspark.sql import functions as F
-
-from leafquire.functions import text as X
-from leafquire.operators import blocks, checks, citations, context, forms, keyword, layout, search
-from leafquire.sources import samples as S
-from leafquire.sources.stage import staged
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _sixth(c):
-    return F.round(c, 6)
-
-
-_GRAMS = """
-words AS (SELECT doc_id::VARCHAR AS chunk_id, source AS doc_id, lang AS content_type, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z가-힣]+') AS ws FROM documents),
-grams AS (
-  SELECT chunk_id, doc_id, content_type,
-    flatten(list_transform(ws, lambda w: CASE WHEN length(w) < 2 THEN [w] ELSE list_transform(generate_series(1, length(w) - 1), lambda i: substr(w, i, 2)) END)) AS gs
-  FROM words),
-"""
-_KEYWORD = (
-    "WITH " + _GRAMS + """
-q AS (
-  SELECT item_id::VARCHAR AS query_id, array_to_string(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ')[1:3], ' ') AS query,
-    CASE WHEN item_id % 5 = 0 THEN 'src1' END AS want_doc, CASE WHEN item_id % 3 = 0 THEN 'en' END AS want_type FROM benchmark),
-qw AS (SELECT query_id, unnest(regexp_extract_all(query, '[0-9A-Za-z가-힣]+')) AS w FROM q),
-ph AS (
-  SELECT query_id, CASE WHEN length(w) < 2 THEN [lower(w)] ELSE list_transform(generate_series(1, length(w) - 1), lambda i: substr(lower(w), i, 2)) END AS phrase FROM qw),
-dp AS (SELECT DISTINCT phrase FROM ph),
-dt AS (SELECT phrase, len(phrase) AS need, unnest(generate_series(1, len(phrase))) AS off FROM dp),
-post AS (SELECT chunk_id, unnest(gs) AS gram, unnest(generate_series(1, len(gs))) AS pos FROM grams),
-hit AS (
-  SELECT phrase, chunk_id FROM dt JOIN post ON gram = phrase[off] GROUP BY phrase, need, chunk_id, pos - off HAVING count(*) = need),
-f AS (SELECT phrase, chunk_id, count(*) AS f FROM hit GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(len(gs)) AS a FROM grams),
-idf AS (SELECT phrase, CASE WHEN ln((n - c + 0.5) / (c + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - c + 0.5) / (c + 0.5)) END AS idf FROM (SELECT phrase, count(*) AS c FROM f GROUP BY phrase), st),
-sc AS (
-  SELECT ph.query_id, f.chunk_id, -list_reduce(list_sort(list(idf * f * 2.2 / (f + 1.2 * (1 - 0.75::DOUBLE + 0.75::DOUBLE * (len(gs) / a))))), lambda x, y: x + y, 0::DOUBLE) AS score
-  FROM ph JOIN f USING (phrase) JOIN idf USING (phrase) JOIN grams USING (chunk_id), st GROUP BY ALL),
-kw AS (
-  SELECT sc.query_id, sc.chunk_id, score, row_number() OVER (PARTITION BY sc.query_id ORDER BY score, sc.chunk_id) AS rank
-  FROM sc JOIN q USING (query_id) JOIN grams g USING (chunk_id)
-  WHERE (want_doc IS NULL OR want_doc = g.doc_id) AND (want_type IS NULL OR want_type = g.content_type))
-"""
-)
-
-
-def _keyword(spark, sf, asked=S.queries):
-    chunks = S.chunks(spark, sf)
-    return keyword.keyword_search(asked(spark, sf), chunks, None, staged(keyword.lengths(chunks)))
-
-
-@query(_KEYWORD + "SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM kw WHERE rank <= 100")
-def keyword_search(spark, sf, asked=S.queries):
-    return _keyword(spark, sf, asked).select("query_id", "chunk_id", _sixth("score").alias("score"), "rank")
-
-
-@query("WITH " + _GRAMS + """
-p AS (SELECT unnest(gs) AS gram, chunk_id FROM grams)
-SELECT gram, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM p GROUP BY gram""")
-def term_statistics(spark, sf):
-    return keyword.postings(S.chunks(spark, sf)).groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_chunks"))
-
-
-@query("WITH " + _GRAMS + "x AS (SELECT 1) SELECT count(*) AS n, round(avg(len(gs)), 6) AS mean_length, sum(len(gs))::BIGINT AS n_terms FROM grams")
-def corpus_statistics(spark, sf):
-    return keyword.lengths(S.chunks(spark, sf)).agg(F.count("*").alias("n"), _sixth(F.avg("n")).alias("mean_length"), F.sum("n").alias("n_terms"))
-
-
-@query(r"""
-WITH q AS (SELECT item_id, regexp_extract_all(text, '[0-9A-Za-z가-힣]+') AS ws FROM benchmark)
-SELECT item_id, array_to_string(ws, ' ') AS words, len(ws) AS n FROM q""")
-def query_words(spark, sf):
-    w = X.content_words(F.col("text"))
-    return S.table(spark, sf, "benchmark").select("item_id", F.array_join(w, " ").alias("words"), F.size(w).cast("long").alias("n"))
-
-
-_VECTORS = """
-v AS (SELECT vec_id::VARCHAR AS id, vec_id, 'g' || label AS grp, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
-vd AS (
-  SELECT a.id AS query_id, b.id AS chunk_id, list_distance(a.e, b.e) AS distance FROM v a, v b
-  WHERE a.vec_id % 100 = 0 AND (a.vec_id % 300 <> 0 OR a.grp = b.grp)),
-vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vd)
-"""
-
-
-@query("WITH " + _VECTORS + "SELECT query_id, chunk_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM vr WHERE rank <= 100")
-def vector_search(spark, sf):
-    found = search.vector_search(S.vector_queries(spark, sf), S.vectors(spark, sf))
-    return found.select("query_id", "chunk_id", _sixth("distance").alias("distance"), "rank")
-
-
-_FUSED = (
-    _KEYWORD + "," + _VECTORS + """,
-k100 AS (SELECT * FROM kw WHERE rank <= 100), v100 AS (SELECT * FROM vr WHERE rank <= 100),
-fu AS (
-  SELECT coalesce(k.query_id, v.query_id) AS query_id, coalesce(k.chunk_id, v.chunk_id) AS chunk_id, k.rank AS kr, v.rank AS vr,
-    coalesce(2.0 / (60 + k.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score
-  FROM k100 k FULL JOIN v100 v ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id),
-fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kr NULLS LAST, vr NULLS LAST) AS fused_rank FROM fu)
-"""
-)
-
-
-def _fused(spark, sf, asked=S.queries):
-    return search.fuse(_keyword(spark, sf, asked), search.vector_search(S.vector_queries(spark, sf), S.vectors(spark, sf)))
-
-
-@query(_FUSED + "SELECT query_id, chunk_id, round(score, 6) AS score, fused_rank::INTEGER AS fused_rank FROM fr")
-def rank_fusion(spark, sf, asked=S.queries):
-    return _fused(spark, sf, asked).select("query_id", "chunk_id", _sixth("score").alias("score"), "fused_rank")
-
-
-_BEST = _FUSED + """,
-kn AS (SELECT fr.*, 's' || (doc_id % 97) AS section_id FROM fr JOIN documents ON chunk_id = doc_id::VARCHAR),
-be AS (SELECT * FROM kn QUALIFY row_number() OVER (PARTITION BY query_id, section_id ORDER BY fused_rank) = 1),
-res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS rank FROM be)
-"""
-
-
-@query(_BEST + "SELECT query_id, rank::INTEGER AS rank, section_id, chunk_id AS matched_chunk_id, round(score, 6) AS score FROM res WHERE rank <= 5")
-def section_results(spark, sf, asked=S.queries):
-    return search.best_sections(_fused(spark, sf, asked), S.chunks(spark, sf)).withColumn("score", _sixth("score"))
-
-
-@query(_BEST + """, t AS (
-  SELECT 's' || (doc_id % 97) AS section_id, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id::VARCHAR)) AS h, count(*) AS n FROM documents GROUP BY ALL),
-s AS (SELECT DISTINCT 's' || (doc_id % 97) AS section_id, (doc_id % 97)::INTEGER AS n FROM documents)
-SELECT query_id, rank::INTEGER AS rank, section_id, 'Section ' || s.n AS title, 'All > Section ' || s.n AS path,
-  CASE WHEN s.n % 7 = 0 THEN '머리말' WHEN s.n % 3 = 0 THEN 'p' || s.n ELSE 'p' || s.n || '~' || (s.n + s.n % 3) END AS citation, h AS text_md5, t.n AS n_chunks
-FROM res JOIN t USING (section_id) JOIN s USING (section_id) WHERE rank <= 5""")
-def section_expansion(spark, sf, asked=S.queries):
-    results = search.best_sections(_fused(spark, sf, asked), S.chunks(spark, sf))
-    out = search.expand(results, S.sections(spark, sf), S.chunks(spark, sf))
-    return out.select("query_id", "rank", "section_id", "title", F.array_join("level_path", " > ").alias("path"), "citation", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("chunk_ids").cast("long").alias("n_chunks"))
-
-
-@query(_BEST + """SELECT (query_id::INTEGER % 7)::VARCHAR AS run_id, query_id AS subquery_no, section_id,
-  row_number() OVER (PARTITION BY query_id::INTEGER % 7 ORDER BY rank, query_id)::INTEGER AS place FROM res WHERE rank <= 5""")
-def interleaved_results(spark, sf, asked=S.queries):
-    results = search.best_sections(_fused(spark, sf, asked), S.chunks(spark, sf)).withColumn("run_id", (F.col("query_id").cast("int") % 7).cast("string")).withColumn("subquery_no", F.col("query_id"))
-    return search.interleave(results).select("run_id", "subquery_no", "section_id", "place")
-
-
-@query(r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-SELECT doc_id, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS key_length, md5(regexp_replace(t, '\s+', '', 'g')) AS squashed,
-  md5(regexp_replace(t, '[\s|\-]+', '', 'g')) AS covered, md5(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS cleaned,
-  length(t) > 1200 AS cut, md5(CASE WHEN length(t) > 1200 THEN regexp_replace(substr(t, 1, 1200), '\s+$', '') ELSE t END) AS snippet,
-  round_even(length(t) / 0.85::DOUBLE, 0)::BIGINT AS tokens
-FROM t""")
-def text_functions(spark, sf):
-    t = F.coalesce("text", F.lit(""))
-    md5 = lambda c: F.md5(c.cast("binary"))
-    short = X.truncate(t)
-    return S.table(spark, sf, "documents").select(
-        "doc_id", F.length(X.match_key(t)).cast("long").alias("key_length"), md5(X.squash(t)).alias("squashed"), md5(X.squash_cover(t)).alias("covered"),
-        md5(X.clean_cell(t)).alias("cleaned"), short["cut"].alias("cut"), md5(short["text"]).alias("snippet"), X.tokens(t).alias("tokens"),
-    )
-
-
-_LINES = r"""
-l AS (
-  SELECT doc_id, i - 1 AS line_no, ls[i] AS text, 1 + (i - 1) // 8 AS page_pdf, 40.0 + 110 * ((i - 1) % 8) AS y0, length(ls[i]) BETWEEN 1 AND 40 AS bold
-  FROM (SELECT doc_id::VARCHAR AS doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
-body AS (SELECT * FROM l WHERE y0 >= 60 AND y0 <= 782 AND regexp_matches(text, '\S')),
-h AS (SELECT doc_id, line_no AS ord, text AS title, 1 + length(text) % 4 AS level, page_pdf, y0 FROM l WHERE bold AND y0 BETWEEN 60 AND 782 AND trim(text) <> ''),
-ho AS (SELECT *, row_number() OVER w AS place, coalesce(lead(page_pdf) OVER w, NULL) AS next_page, lead(y0) OVER w AS next_y FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY page_pdf, y0, ord)),
-pc AS (SELECT doc_id, max(page_pdf) AS page_count FROM l GROUP BY doc_id)
-"""
-
-
-@query("WITH " + _LINES + "SELECT doc_id, page_pdf::INTEGER AS page_pdf, count(*) AS n, sum(length(text))::BIGINT AS chars FROM body GROUP BY ALL")
-def body_lines(spark, sf):
-    return layout.body_lines(S.lines(spark, sf)).groupBy("doc_id", "page_pdf").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
-@query("WITH " + _LINES + r"SELECT doc_id, count(*) AS n FROM l WHERE y0 > 0.92 * 842 AND regexp_matches(text, '\S') GROUP BY doc_id")
-def footer_lines(spark, sf):
-    return layout.footer_lines(S.lines(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
-@query("WITH " + _LINES + r"""
-, x AS (SELECT l.*, regexp_extract(trim(text), '^[/\\]?\s*(\d{1,3})\s*[/\\]?$', 1) AS n FROM l WHERE y0 > 0.92 * 842 AND regexp_matches(text, '\S'))
-SELECT doc_id, count(*) FILTER (n::INTEGER = page_pdf - doc_id::BIGINT % 3) AS n_equal, count(*) FILTER (n::INTEGER <> page_pdf - doc_id::BIGINT % 3) AS n_other FROM x WHERE n <> '' GROUP BY doc_id""")
-def page_numbers(spark, sf):
-    return checks.page_numbers(S.lines(spark, sf), S.profiles(spark, sf))
-
-
-@query("WITH RECURSIVE " + _LINES + """,
-st(doc_id, place, lv, ti) AS (
-  SELECT doc_id, place, [level], [title] FROM ho WHERE place = 1
-  UNION ALL
-  SELECT ho.doc_id, ho.place, list_append(list_filter(lv, lambda x: x < ho.level), ho.level),
-    list_append(list_transform(list_filter(generate_series(1, len(lv)), lambda i: lv[i] < ho.level), lambda i: ti[i]), ho.title)
-  FROM st JOIN ho ON ho.doc_id = st.doc_id AND ho.place = st.place + 1)
-SELECT doc_id, ho.ord::INTEGER AS ord, array_to_string(ti, ' > ') AS path FROM st JOIN ho USING (doc_id, place)""")
-def level_paths(spark, sf):
-    return layout.level_paths(S.headings(spark, sf)).select("doc_id", "ord", F.array_join("level_path", " > ").alias("path"))
-
-
-@query("WITH " + _LINES + """,
-k AS (SELECT ho.*, coalesce(next_page, page_count) AS end_page, (page_pdf - doc_id::BIGINT % 3) NOT BETWEEN 6 AND 7 AS kept FROM ho JOIN pc USING (doc_id))
-SELECT doc_id, ord::INTEGER AS ord, page_pdf::INTEGER AS page_pdf, end_page::INTEGER AS end_page,
-  CASE WHEN kept THEN format('{}-s{:03d}', doc_id, (sum(kept::INTEGER) OVER (PARTITION BY doc_id ORDER BY place))::BIGINT - 1) END AS section_id,
-  CASE WHEN page_pdf - doc_id::BIGINT % 3 >= 1 THEN (page_pdf - doc_id::BIGINT % 3)::INTEGER END AS printed
-FROM k""")
-def section_spans(spark, sf):
-    spans = layout.section_spans(S.headings(spark, sf), S.profiles(spark, sf)).join(S.profiles(spark, sf).select("doc_id", "page_offset"), "doc_id")
-    return spans.select("doc_id", "ord", "page_pdf", "end_page", "section_id", X.printed_page(F.col("page_pdf"), F.col("page_offset")).alias("printed"))
-
-
-_ASSIGNED = "WITH " + _LINES + """,
-bk AS (SELECT *, page_pdf * 100000 + y0 AS k FROM body), hk AS (SELECT *, page_pdf * 100000 + y0 AS k FROM ho),
-asg AS (
-  SELECT b.doc_id, b.line_no, b.page_pdf, b.text, coalesce(hk.place, 0) AS place
-  FROM bk b ASOF LEFT JOIN hk ON b.doc_id = hk.doc_id AND b.k >= hk.k
-  LEFT JOIN ho nx ON nx.doc_id = b.doc_id AND nx.place = coalesce(hk.place, 0) + 1
-  WHERE (hk.place IS NULL OR hk.page_pdf < b.page_pdf OR b.y0 >= hk.y0 + 1) AND (nx.place IS NULL OR nx.page_pdf > b.page_pdf OR b.y0 <= nx.y0 - 1))
-"""
-
-
-@query(_ASSIGNED + "SELECT doc_id, line_no::INTEGER AS line_no, place::INTEGER AS place FROM asg")
-def lines_to_sections(spark, sf):
-    spans = layout.section_spans(S.headings(spark, sf), S.profiles(spark, sf))
-    return layout.assign(layout.body_lines(S.lines(spark, sf)), spans).select("doc_id", "line_no", "place")
-
-
-@query(_ASSIGNED.replace("WITH", "WITH RECURSIVE", 1) + r""",
-z AS (SELECT doc_id, place, line_no, page_pdf, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY doc_id, place ORDER BY line_no) AS i FROM asg),
-g(doc_id, place, i, total, run) AS (
-  SELECT doc_id, place, i, length(t), 0 FROM z WHERE i = 1
-  UNION ALL
-  SELECT z.doc_id, z.place, z.i, CASE WHEN total + length(t) > 700 THEN length(t) ELSE total + length(t) END, CASE WHEN total + length(t) > 700 THEN run + 1 ELSE run END
-  FROM g JOIN z ON z.doc_id = g.doc_id AND z.place = g.place AND z.i = g.i + 1)
-SELECT doc_id, place::INTEGER AS place, run::INTEGER AS run, md5(string_agg(t, chr(10) ORDER BY i)) AS text_md5, min(page_pdf)::INTEGER AS page_start, max(page_pdf)::INTEGER AS page_end
-FROM g JOIN z USING (doc_id, place, i) GROUP BY doc_id, place, run""")
-def packed_chunks(spark, sf):
-    spans = layout.section_spans(S.headings(spark, sf), S.profiles(spark, sf))
-    rows = layout.assign(layout.body_lines(S.lines(spark, sf)), spans)
-    out = blocks.pack_lines(rows, ["doc_id", "place"], ["line_no"])
-    return out.select("doc_id", "place", "run", F.md5(F.col("text").cast("binary")).alias("text_md5"), "page_start", "page_end")
-
-
-@query(r"""
-WITH l AS (SELECT p_brand AS doc_id, p_partkey AS k, p_name, p_size FROM part),
-e AS (
-  SELECT doc_id, k, 0 AS j, k || '. ' || p_name || CASE WHEN k % 3 = 0 THEN ' more' ELSE '' END AS title, p_size AS page FROM l
-  UNION ALL SELECT doc_id, k, 1, '[표 ' || k || '] x', 7 FROM l WHERE k % 4 = 0 AND k % 3 <> 0)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1)::INTEGER AS ord, title, CASE WHEN j = 1 THEN 0 ELSE 2 END AS level, page::INTEGER AS page_printed, true AS numbered,
-  CASE WHEN j = 1 THEN 'caption' ELSE 'section' END AS kind FROM e""")
-def contents_entries(spark, sf):
-    return layout.contents_entries(*S.contents(spark, sf))
-
-
-@query()
-def pinned_headings(spark, sf):
-    return layout.pin_headings(*S.titled_pages(spark, sf))
-
-
-@query()
-def heading_methods(spark, sf):
-    return checks.heading_methods(pinned_headings(spark, sf))
-
-
-@query("""
-WITH i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem),
-c AS (
-  SELECT l_orderkey AS table_id, l_linenumber AS r, unnest([0, 1, 2, 3]) AS c,
-    unnest([CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE l_linestatus END, l_quantity::INTEGER::VARCHAR, l_linenumber::VARCHAR]) AS v FROM i),
-k AS (SELECT * FROM c WHERE NOT (r % 4 = 2 AND c >= 2)),
-b AS (SELECT *, CASE WHEN r - lag(r) OVER (PARTITION BY table_id, c ORDER BY r) > 1 THEN 1 ELSE 0 END AS gap FROM k),
-g AS (SELECT *, sum(gap) OVER (PARTITION BY table_id, c ORDER BY r) AS run FROM b)
-SELECT table_id, r::INTEGER AS r, c::INTEGER AS c, coalesce(last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY table_id, c, run ORDER BY r ROWS UNBOUNDED PRECEDING), '') AS value FROM g""")
-def filled_cells(spark, sf):
-    return blocks.fill_merged(S.cells(spark, sf))
-
-
-def _item_tables(spark, sf):
-    """Orders as tables of their line items, with gaps."""
-    i = S.table(spark, sf, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
-    row = F.array(F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_partkey").cast("string")), F.col("l_returnflag"), F.when(F.col("l_partkey") % 2 == 0, "= x").otherwise(""))
-    grouped = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("x"))
-    return grouped.select(F.col("l_orderkey").alias("doc_id"), F.transform("x", lambda x: x["row"]).alias("rows"), F.array().cast("array<string>").alias("residual"))
-
-
-@query("""
-WITH i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem),
-t AS (SELECT l_orderkey AS doc_id, list([CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_partkey::VARCHAR END, l_returnflag, CASE WHEN l_partkey % 2 = 0 THEN '= x' ELSE '' END] ORDER BY l_linenumber) AS rows FROM i GROUP BY ALL),
-c AS (SELECT *, flatten(rows) AS cs, array_to_string(flatten(rows), ' ') AS j FROM t WHERE len(rows) >= 2),
-k AS (
-  SELECT *, len(rows) <= 5 AND contains(j, '=') AND length(j) < 400 AS formula, len(list_filter(cs, lambda x: x = '')) / len(cs) AS empty,
-    list_max(list_transform(cs, lambda x: length(x))) / list_sum(list_transform(cs, lambda x: length(x))) AS share FROM c)
-SELECT doc_id, CASE WHEN formula THEN 'formula' ELSE 'table' END AS kind,
-  CASE WHEN formula THEN array_to_string(list_transform(rows, lambda r: r[1]), chr(10))
-  ELSE array_to_string(list_concat(['| ' || array_to_string(rows[1], ' | ') || ' |', '|---|---|---|'], list_transform(rows[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |')), chr(10)) END AS text
-FROM k WHERE formula OR (empty <= 0.6 AND share <= 0.5)""")
-def table_texts(spark, sf):
-    return blocks.table_parts(blocks.gate_tables(_item_tables(spark, sf))).select("doc_id", "kind", "text")
-
-
-_CITED = """
-WITH t AS (SELECT l_orderkey::VARCHAR AS chunk_id, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem),
-c AS (
-  SELECT chunk_id, 0 AS o, n, p, CASE WHEN n % 2 = 0 THEN '국가연구개발혁신법' ELSE '국가연구개발혁신법 시행령' END AS law, '제' || (p % 60 + 1) || '조제' || n || '항' AS target,
-    CASE WHEN n % 2 = 0 THEN '혁신법 ' ELSE '시행령 ' END || '제' || (p % 60 + 1) || '조제' || n || '항' AS raw FROM t
-  UNION ALL SELECT chunk_id, 1, n, p, '', '별표' || (s % 9), '별표 ' || (s % 9) FROM t),
-refs AS (SELECT chunk_id, 'orders' AS doc_id, law, target, raw FROM c QUALIFY row_number() OVER (PARTITION BY chunk_id, law, target ORDER BY o, n, p) = 1)
-"""
-
-
-@query(_CITED + "SELECT * FROM refs")
-def citations_extracted(spark, sf):
-    from leafquire.functions import patterns as P
-
-    aliases = F.create_map(*[F.lit(x) for kv in P.ALIASES.items() for x in kv])
-    return citations.extract(S.cited_chunks(spark, sf), aliases)
-
-
-@query(_CITED + """, a AS (SELECT DISTINCT l_suppkey AS ask_id, '별표' || (l_suppkey % 9) AS target FROM lineitem WHERE l_suppkey % 10 = 0),
-hit AS (SELECT DISTINCT ask_id, chunk_id FROM refs JOIN a USING (target)),
-r AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY chunk_id) AS rank, count(*) OVER (PARTITION BY ask_id) AS n_total FROM hit)
-SELECT ask_id, chunk_id, n_total, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
-def citation_lookup(spark, sf):
-    asked = S.table(spark, sf, "lineitem").where("l_suppkey % 10 = 0").select(F.col("l_suppkey").alias("ask_id")).distinct().select("ask_id", F.concat(F.lit("별표 "), (F.col("ask_id") % 9).cast("string")).alias("target"), F.lit(None).cast("string").alias("law"))
-    chunks = S.cited_chunks(spark, sf).withColumn("section_id", F.lit("s")).withColumn("page_printed_start", F.lit(1))
-    sections = spark.createDataFrame([("s", "t")], "section_id string, title string")
-    return citations.lookup(asked, citations_extracted(spark, sf), chunks, sections).select("ask_id", "chunk_id", "n_total", "rank")
-
-
-def _sized_sections(spark, sf):
-    sized = S.chunks(spark, sf).select("section_id", "chunk_id", F.length("text").alias("chars"))
-    return sized.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "chars"))).alias("x"))
-
-
-_SIZED = """s AS (SELECT 's' || (doc_id % 97) AS section_id, list(length(coalesce(text, '')) ORDER BY doc_id::VARCHAR) AS c FROM documents GROUP BY ALL)"""
-
-
-@query("WITH RECURSIVE " + _SIZED + """,
-m AS (SELECT section_id, c, len(c) AS n, len(c) // 2 AS mid FROM s),
-w(section_id, c, n, lo, hi, total, stop) AS (
-  SELECT section_id, c, n, mid, mid, c[mid + 1]::BIGINT, false FROM m
-  UNION ALL
-  SELECT section_id, c, n, CASE WHEN down THEN lo - 1 ELSE lo END, hi2, total2 + CASE WHEN down THEN c[lo] ELSE 0 END, NOT (up OR down)
-  FROM (
-    SELECT *, lo > 0 AND total2 + c[lo] <= 2500 AS down FROM (
-      SELECT *, CASE WHEN up THEN hi + 1 ELSE hi END AS hi2, total + CASE WHEN up THEN c[hi + 2] ELSE 0 END AS total2 FROM (
-        SELECT *, hi + 1 < n AND total + c[hi + 2] <= 2500 AS up FROM w WHERE NOT stop))))
-SELECT section_id, lo::INTEGER AS lo, hi::INTEGER AS hi, lo > 0 OR hi < n - 1 AS partial FROM w WHERE stop""")
-def evidence_windows(spark, sf):
-    sized = _sized_sections(spark, sf)
-    sizes = F.transform("x", lambda c: c["chars"])
-    return sized.select("section_id", context.evidence_window(sizes, F.floor(F.size("x") / 2)).alias("w")).select("section_id", "w.*")
-
-
-@query("WITH " + _SIZED + """,
-e AS (SELECT section_id, unnest(c) AS chars, unnest(generate_series(0, len(c) - 1)) AS i, len(c) - 1 AS final, (len(c) // 3) AS start FROM s),
-r AS (SELECT *, sum(chars) OVER (PARTITION BY section_id ORDER BY i) AS total FROM e WHERE i >= start)
-SELECT section_id, start::INTEGER AS "offset", count(*) AS n_chunks, CASE WHEN max(i) < any_value(final) THEN (max(i) + 1)::INTEGER END AS next_offset FROM r WHERE total <= 6000 OR i = start GROUP BY section_id, start""")
-def section_pages(spark, sf):
-    sized = _sized_sections(spark, sf)
-    chunks = sized.select("section_id", F.posexplode("x").alias("at", "c")).select("section_id", "at", F.col("c.chars").alias("chars"))
-    return context.page_section(chunks, sized.select("section_id", F.floor(F.size("x") / 3).cast("int").alias("offset")))
-
-
-_RUNS = r"""
-o AS (SELECT conv_id, turn, min({'role': role, 'text': text}) AS x FROM conversations GROUP BY ALL),
-a AS (SELECT conv_id, turn, coalesce(x.text, '') AS t FROM o WHERE x.role = 'assistant'),
-u AS (SELECT conv_id, turn + 1 AS turn, coalesce(x.text, '') AS q FROM o WHERE x.role = 'user'),
-r AS (SELECT conv_id::VARCHAR AS run_id, a.turn, regexp_split_to_array(t, '\s+')[1:3] AS cited, regexp_split_to_array(q, '\s+')[1:40] AS got, length(q) AS i, length(t) AS o FROM a JOIN u USING (conv_id, turn))
-"""
-
-
-@query("WITH " + _RUNS + """, z AS (SELECT *, list_filter(cited, lambda c: NOT list_contains(got, c)) AS bad FROM r)
-SELECT run_id, turn, array_to_string(bad, ' ') AS invented, CASE WHEN len(bad) > 0 THEN 'insufficient' ELSE 'sufficient' END AS verdict,
-  CASE WHEN len(bad) = 0 THEN 'done' WHEN turn % 2 = 1 OR turn >= 4 THEN 'escalate' ELSE 'retrieve' END AS step FROM z""")
-def invented_citations(spark, sf, runs=S.runs):
-    checked = context.check_citations(runs(spark, sf))
-    simple = F.when(F.col("turn") % 2 == 1, "simple").otherwise("complex")
-    return checked.select("run_id", "turn", F.array_join("invented", " ").alias("invented"), "verdict", context.next_step(F.col("verdict"), simple, F.col("turn"), 4).alias("step"))
-
-
-@query(r"""
-WITH o AS (SELECT conv_id, turn, min({'role': role, 'text': text}) AS x FROM conversations GROUP BY ALL),
-w AS (SELECT conv_id, turn, x.role AS role, list_filter(list_transform(regexp_split_to_array(coalesce(x.text, ''), '\s+'), lambda y: translate(y, '[]', '')), lambda y: y <> '') AS ws FROM o),
-z AS (
-  SELECT a.conv_id::VARCHAR AS run_id, a.turn, list_filter(a.ws, lambda c: NOT list_contains(u.ws, c)) AS bad
-  FROM w a JOIN w u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user')
-SELECT run_id, turn, array_to_string(bad, ' ') AS invented, CASE WHEN len(bad) > 0 THEN 'insufficient' ELSE 'sufficient' END AS verdict,
-  CASE WHEN len(bad) = 0 THEN 'done' WHEN turn % 2 = 1 OR turn >= 4 THEN 'escalate' ELSE 'retrieve' END AS step FROM z""")
-def invented_citations_whole(spark, sf):
-    return invented_citations(spark, sf, S.whole_runs)
-
-
-@query("WITH " + _RUNS + "SELECT run_id, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, count(*) AS calls FROM r GROUP BY run_id")
-def run_usage(spark, sf):
-    return context.usage(S.runs(spark, sf))
-
-
-@query(_BEST + """, t AS (SELECT (query_id::INTEGER % 7)::VARCHAR AS run_id, section_id, rank, query_id::INTEGER // 7 AS sub FROM res WHERE rank <= 5),
-x AS (SELECT run_id, section_id, CASE WHEN sub % 2 = 0 THEN 0 ELSE 1 END AS age, sub * 10 + rank AS place FROM t),
-once AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY run_id, section_id ORDER BY age, place) = 1)
-SELECT run_id, section_id, merged_place::INTEGER AS merged_place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY age, place) AS merged_place FROM once) WHERE merged_place <= 6""")
-def merged_evidence(spark, sf, asked=S.queries):
-    results = search.best_sections(_fused(spark, sf, asked), S.chunks(spark, sf))
-    q = F.col("query_id").cast("int")
-    rows = results.select((q % 7).cast("string").alias("run_id"), "section_id", F.floor(q / 7).alias("sub"), (F.floor(q / 7) * 10 + F.col("rank")).alias("place"))
-    return context.merge_evidence(rows.where("sub % 2 = 1").drop("sub"), rows.where("sub % 2 = 0").drop("sub")).select("run_id", "section_id", "merged_place")
-
-
-# The SQL above asks for the first three words of a passage; these ask for all of it. DuckDB
-# is too slow for that: a brute force over a small folder tests them.
-for _f in (keyword_search, rank_fusion, section_results, section_expansion, interleaved_results, merged_evidence):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, asked=S.whole_queries)
-
-
-@query("SELECT source AS doc_id, lang AS content_type, count(*) AS n_chunks, count(DISTINCT doc_id % 97) AS n_sections FROM documents GROUP BY ROLLUP (source, lang)")
-def build_summary(spark, sf):
-    return checks.summary(S.chunks(spark, sf))
-
-
-@query("""SELECT 'documents' AS table_name, count(*) AS n_rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'embeddings', count(*) FROM embeddings
-UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'benchmark', count(*) FROM benchmark""")
-def row_counts(spark, sf):
-    return checks.row_counts({n: S.table(spark, sf, n) for n in ("documents", "pages", "embeddings", "labels", "benchmark")})
-
-
-_REPORT = """r AS (SELECT *, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM x)
-SELECT any_value(n) AS n, min(v)::BIGINT AS least, (max(v) FILTER (i = (n - 1) // 2) + max(v) FILTER (i = n // 2)) / 2 AS median,
-  max(v) FILTER (i = least(floor(n * 0.9::DOUBLE), n - 1))::BIGINT AS p90, max(v)::BIGINT AS most, count(*) FILTER (v < 50) AS under_50 FROM r"""
-
-
-@query("WITH x AS (SELECT coalesce(length(text), 0)::BIGINT AS v FROM documents), " + _REPORT)
-def chunk_sizes(spark, sf):
-    return checks.size_report(S.table(spark, sf, "documents").select(F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size")))
-
-
-@query("WITH x AS (SELECT sum(coalesce(length(text), 0))::BIGINT AS v FROM documents GROUP BY doc_id % 97), " + _REPORT)
-def section_size_report(spark, sf):
-    return checks.size_report(checks.section_sizes(S.chunks(spark, sf).withColumn("char_count", F.coalesce("char_count", F.lit(0)))))
-
-
-def _cases(spark, sf):
-    """Benchmark passages as questions: two answer sections, one of which may be unknown."""
-    b = S.table(spark, sf, "benchmark")
-    i = F.col("item_id")
-    return b.select(
-        i.cast("string").alias("id"), F.when(i % 2 == 0, "even").otherwise("odd").alias("type"),
-        F.array(F.concat(F.lit("s"), (i % 110).cast("string")), F.concat(F.lit("s"), (i * 7 % 97).cast("string"))).alias("answer_sections"), F.array(F.col("text"), F.lit("the")).alias("must_contain"),
-    )
-
-
-_PROBLEMS = """
-WITH c AS (SELECT item_id AS i, item_id::VARCHAR AS id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS type, text FROM benchmark),
-an AS (SELECT i, id, type, 0 AS n, 's' || (i % 110) AS section_id FROM c UNION ALL SELECT i, id, type, 1, 's' || (i * 7 % 97) FROM c),
-tx AS (SELECT 's' || (doc_id % 97) AS section_id, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id::VARCHAR) AS t FROM documents GROUP BY ALL),
-jo AS (SELECT id, string_agg(t, chr(10) ORDER BY n) AS t FROM an JOIN tx USING (section_id) GROUP BY id),
-ne AS (SELECT id, type, text AS needle FROM c UNION ALL SELECT id, type, 'the' FROM c),
-pr AS (
-  SELECT id, type, 'no such section' AS problem, section_id AS detail FROM an WHERE section_id NOT IN (SELECT section_id FROM tx)
-  UNION ALL SELECT ne.id, type, 'missing text', needle FROM ne LEFT JOIN jo USING (id) WHERE NOT coalesce(contains(t, needle), false))
-"""
-
-
-@query(_PROBLEMS + "SELECT id, type, problem, md5(detail) AS detail FROM pr")
-def ground_truth_problems(spark, sf):
-    found = checks.ground_truth_problems(_cases(spark, sf), S.sections(spark, sf), S.chunks(spark, sf))
-    return found.withColumn("detail", F.md5(F.col("detail").cast("binary")))
-
-
-@query(_PROBLEMS + "SELECT type, count(DISTINCT id) AS n_cases, (SELECT count(*) FROM pr WHERE pr.type = c.type) AS n_problems FROM c GROUP BY type")
-def ground_truth_types(spark, sf):
-    cases = _cases(spark, sf)
-    return checks.cases_by_type(cases, checks.ground_truth_problems(cases, S.sections(spark, sf), S.chunks(spark, sf)))
-
-
-@query("""SELECT 'ref' AS kind, doc_id::VARCHAR AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE quality IS NOT NULL AND doc_id % 5 <> 0)
-UNION ALL SELECT 'chunk', doc_id::VARCHAR FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 97 >= 90""")
-def dangling_rows(spark, sf):
-    chunks = S.chunks(spark, sf).where("chunk_id % 5 <> 0")
-    sections = S.sections(spark, sf).where("cast(substring(section_id, 2) AS int) < 90")
-    return checks.dangling(chunks, sections, S.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("chunk_id")))
-
-
-@query("""SELECT coalesce(d.doc_id, e.vec_id)::VARCHAR AS chunk_id, CASE WHEN e.vec_id IS NULL THEN 'no vector' ELSE 'no chunk' END AS problem
-FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id WHERE d.doc_id IS NULL OR e.vec_id IS NULL""")
-def misaligned_vectors(spark, sf):
-    return checks.misaligned(S.chunks(spark, sf), S.vectors(spark, sf))
-
-
-@query("WITH " + _LINES + r""",
-k AS (SELECT doc_id, regexp_replace(text, '[\s|\-]+', '', 'g') AS key FROM body WHERE NOT (doc_id::BIGINT % 2 = 0 AND page_pdf = 1) AND (page_pdf - doc_id::BIGINT % 3) NOT BETWEEN 6 AND 7),
-t AS (SELECT doc_id, string_agg(regexp_replace(text, '[\s|\-]+', '', 'g'), chr(10)) AS w FROM l WHERE line_no % 9 <> 5 GROUP BY doc_id)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (contains(w, key)) AS n_found, round(count(*) FILTER (contains(w, key)) / count(*), 6) AS share
-FROM k JOIN t USING (doc_id) WHERE length(key) >= 6 GROUP BY doc_id""")
-def coverage(spark, sf):
-    kept = S.lines(spark, sf).where("line_no % 9 <> 5").select("doc_id", "text")
-    none = kept.where("false").select("doc_id", F.col("text").alias("title"))
-    out = checks.coverage(S.lines(spark, sf), S.profiles(spark, sf), kept, none)
-    return out.withColumn("share", _sixth("share"))
-
-
-@query()
-def corpus_build(spark, sf):
-    """The whole build: sections with their chunks, over documents and their short lines."""
-    from leafquire.plans import jobs
-
-    lines, profiles, headings = S.lines(spark, sf), S.profiles(spark, sf), S.headings(spark, sf)
-    entries = headings.join(profiles.select("doc_id", "page_offset"), "doc_id").select(
-        "doc_id", "ord", "title", "level", (F.col("page_pdf") - F.col("page_offset")).cast("int").alias("page_printed"), F.lit(True).alias("numbered"), F.lit("section").alias("kind"))
-    tables = lines.where("line_no % 11 = 3").select(
-        "doc_id", "page_pdf", F.col("line_no").alias("table_no"), F.struct(F.col("x0"), F.col("y0"), F.lit(500.0).alias("x1"), (F.col("y0") + 20).alias("y1")).alias("bbox"),
-        F.array(F.array(F.lit("a"), F.substring("text", 1, 5)), F.array(F.lit("bc"), F.substring("text", 6, 5))).alias("rows"))
-    made = jobs.build(lines, profiles, tables, entries)
-    return made["chunks"].join(made["sections"].select("section_id", "title", F.array_join("level_path", " > ").alias("path")), "section_id")
+__all__ = ["ORACLES", "QUERIES", "catalog_build", "catalog_search"]

@@ -52,8 +52,9 @@ ATTACHMENT = rf"(?U)(?:({LAW})\s*)?[\[［]?\s*(별표|별지)\s*(?:제\s*)?(\d+)
 # Words of results.
 FRONT = "머리말"
 FORMS = "서식 목록"
+FORM_RECORD = "서식명: %s\n근거: %s %s\n수록 위치: 본권 인쇄 p%d~%d"
 
-# Limits of layout, chunks, search and context.
+# Limits of layout, chunks, search and context.
 MARGIN = 60.0
 FOOTER_SHARE = 0.92
 TYPESET_OVER = 0.4

@@ -135,7 +135,7 @@ def markdown(rows: Column, residual: Column) -> Column:
 
 
 def form_text(name: Column, appendix: Column, number: Column, start: Column, end: Column) -> Column:
-    return F.format_string("서식명: %s\n근거: %s %s\n수록 위치: 본권 인쇄 p%d~%d", name, appendix, number, start, end)
+    return F.format_string(P.FORM_RECORD, name, appendix, number, start, end)
 
 
 def any_of(*conditions: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
@@ -82,22 +84,27 @@ def lines_outside(lines: DataFrame, tables: DataFrame) -> DataFrame:
     return left.join(claimed, [*keys, "_key"], "left_anti").drop("_key")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _greedy(sizes: pd.Series, limit: pd.Series) -> pd.Series:
+    out = []
+    for row, most in zip(sizes, limit):
+        groups, total, group = [], 0, 0
+        for n in [] if row is None else row.tolist():
+            if groups and total + n > most:
+                group, total = group + 1, 0
+            total += n
+            groups.append(group)
+        out.append(groups)
+    return pd.Series(out, dtype=object)
+
+
 def greedy(sizes: Column, limit: int) -> Column:
     """The group of each of an array's sizes: a new one starts where the sum would pass ``limit``.
 
-    One element alone may be larger than the limit. One pass; the state holds the
-    groups so far.
+    One element alone may be larger than the limit. Linear in the array, which no
+    built-in is: they would copy the groups so far at each step.
     """
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, n: Column) -> Column:
-        full = (F.size(s["out"]) > 0) & (s["sum"] + n > limit)
-        group = F.when(full, s["group"] + 1).otherwise(s["group"])
-        total = F.when(full, n).otherwise(s["sum"] + n)
-        # A group's first element is taken whatever it adds.
-        return F.struct(total.alias("sum"), group.alias("group"), F.concat(s["out"], F.array(group)).alias("out"))
-
-    return F.aggregate(F.transform(sizes, lambda n: n.cast("int")), start, step, lambda s: s["out"])
+    return _greedy(F.transform(sizes, lambda n: n.cast("int")), F.lit(limit))
 
 
 def pack_lines(lines: DataFrame, by: list[str], order: list[str], limit: int = P.CHUNK_CHARS) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import text as X
 from leafquire.operators.layout import body_lines, contents_lines, footer_lines, in_ranges
+from leafquire.sources.stage import staged
 
-#: Documents with more text than this are held against their lines by group, not by row.
+#: Shorter texts say nothing about coverage.
 COVER_LEAST = 6
+#: The least share of lines that a document's chunks must hold.
+COVER_SHARE = 0.99
 
 
 def summary(chunks: DataFrame) -> DataFrame:
@@ -65,16 +68,26 @@ def coverage(lines: DataFrame, profiles: DataFrame, chunks: DataFrame, headings:
     return found.withColumn("share", F.col("n_found") / F.col("n_lines"))
 
 
+def coverage_verdict(shares: DataFrame) -> DataFrame:
+    """The worst document's share over all documents, and whether it passes; one row."""
+    return shares.agg(F.count("*").alias("n_docs"), F.min("share").alias("least"), F.coalesce(F.min("share") >= COVER_SHARE, F.lit(True)).alias("passes"))
+
+
 def size_report(sizes: DataFrame, value: str = "size") -> DataFrame:
     """Least, median, 90th, greatest, number, and number under 50, of one column.
 
     The 90th is the value at place ``min(int(0.9 n), n - 1)`` from 0. Sizes are counted
-    by value first, so no single task orders all rows.
+    by value and dealt by ranges of values; sums per range place each range, and
+    running sums inside the ranges place each value, so no task orders all of them.
     """
-    counts = sizes.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    n = F.sum("c").over(W.partitionBy())
-    upto = upto.withColumn("n", n)
+    v = F.col(value).alias("v")
+    counts = sizes.groupBy(v).agg(F.count("*").alias("c")).repartitionByRange("v")
+    counts = staged(counts.withColumn("part", F.spark_partition_id()))
+    parts = counts.groupBy("part").agg(F.sum("c").alias("here"))  # one row a range
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("ahead"), F.sum("here").over(W.partitionBy()).alias("n"))
+    inside = W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    upto = counts.withColumn("inside", F.sum("c").over(inside)).join(F.broadcast(parts), "part").withColumn("upto", F.col("ahead") + F.col("inside"))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
     total = F.col("n")
     return upto.groupBy("n").agg(
@@ -94,16 +107,26 @@ def section_texts(chunks: DataFrame, separator: str = "\n") -> DataFrame:
 
 
 def ground_truth_problems(cases: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(id, type, problem, detail)``: unknown answer sections, empty ones, missing strings."""
+    """``(id, type, problem, detail)``: unknown answer sections, empty ones, missing strings.
+
+    A string is looked for in the chunks of its answer sections, one by one. Only strings
+    with a line break can lie across the seam of two chunks; for these alone the answer
+    sections' texts are joined.
+    """
     answers = cases.select("id", "type", F.posexplode("answer_sections").alias("n", "section_id"))
     unknown = answers.join(sections.select("section_id"), "section_id", "left_anti").select("id", "type", F.lit("no such section").alias("problem"), F.col("section_id").alias("detail"))
     known = answers.join(sections.select("section_id"), "section_id", "left_semi")
-    texts = section_texts(chunks.join(answers.select("section_id").distinct(), "section_id", "left_semi"))
-    empty = known.join(texts, "section_id", "left_anti").select("id", "type", F.lit("no chunks").alias("problem"), F.col("section_id").alias("detail"))
-    joined = answers.join(texts, "section_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
+    empty = known.join(chunks.select("section_id").distinct(), "section_id", "left_anti").select("id", "type", F.lit("no chunks").alias("problem"), F.col("section_id").alias("detail"))
+    needles = cases.select("id", "type", F.explode("must_contain").alias("needle"))
+    split = F.coalesce(F.col("needle").contains("\n"), F.lit(False))
+    asked = needles.where(~split).join(answers.select("id", "n", "section_id"), "id").select("section_id", "id", "needle").distinct()
+    found = chunks.select("section_id", "text").join(asked, "section_id").where(F.col("text").contains(F.col("needle"))).select("id", "needle").distinct()
+    across = answers.join(needles.where(split).select("id").distinct(), "id", "left_semi")
+    texts = section_texts(chunks.join(across.select("section_id").distinct(), "section_id", "left_semi"))
+    joined = across.join(texts, "section_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
     joined = joined.select("id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
-    needles = cases.select("id", "type", F.explode("must_contain").alias("needle")).join(joined, "id", "left")
-    missing = needles.where(~F.coalesce(F.col("text").contains(F.col("needle")), F.lit(False))).select("id", "type", F.lit("missing text").alias("problem"), F.col("needle").alias("detail"))
+    seen = needles.where(split).join(joined, "id").where(F.col("text").contains(F.col("needle"))).select("id", "needle").distinct()
+    missing = needles.join(found.unionByName(seen), ["id", "needle"], "left_anti").select("id", "type", F.lit("missing text").alias("problem"), F.col("needle").alias("detail"))
     return unknown.unionByName(empty).unionByName(missing)
 
 

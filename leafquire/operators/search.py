@@ -10,59 +10,59 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
-from leafquire.operators.keyword import top
+from leafquire.operators.best import Best, allowed, in_blocks, strings
+from leafquire.operators.keyword import keyword_search, top
 
 #: Queries that are held against all vectors in one pass.
 QUERY_BLOCK = 2048
+#: More than a distance by matrix product can be wrong.
+SLACK = 1e-6
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = P.POOL) -> DataFrame:
     """``(query_id, chunk_id, distance, rank)``: the nearest vectors by L2 distance at unit length.
 
     Queries without a vector have no rows. Blocks of queries go to all tasks as one
-    matrix; each batch of vectors keeps the best ``k`` of each query, so only few rows
-    meet in the ranking. Filters by ``doc_id`` and ``content_type`` come before the cut.
+    matrix; each task keeps the best ``k`` of each query over all its vectors, so only
+    few rows meet in the ranking. Filters by ``doc_id`` and ``content_type`` come before the cut.
     """
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", X.unit(F.col("embedding")).alias("v"), "doc_id", "content_type")
-    asked = asked.where("v IS NOT NULL").orderBy("query_id")
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", X.unit(F.col("embedding")).alias("v"), "doc_id", "content_type").where("v IS NOT NULL")
     stored = vectors.select("chunk_id", X.unit(F.col("embedding").cast("array<double>")).alias("v"), "doc_id", "content_type").where("v IS NOT NULL")
-    found = None
-    rows = asked.toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        part = _nearest(block, stored, k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = stored.sparkSession.createDataFrame([], "query_id string, chunk_id string, distance double")
+    found = stored.sparkSession.createDataFrame([], "query_id string, chunk_id string, distance double")
+    for block in in_blocks(asked, QUERY_BLOCK):
+        found = found.unionByName(_nearest(block, stored, k))
     return top(found, k, "distance")
 
 
 def _nearest(block: list, stored: DataFrame, k: int) -> DataFrame:
+    """Each task's nearest ``k`` of each query of a block.
+
+    One matrix product gives all distances of a batch up to rounding; those that may
+    count are then taken exactly.
+    """
     ids = [r.query_id for r in block]
-    matrix = np.array([r.v for r in block])
-    docs, types = ([getattr(r, c) for r in block] for c in ("doc_id", "content_type"))
-    model = stored.sparkSession.sparkContext.broadcast((ids, matrix, docs, types))  # at most QUERY_BLOCK vectors
+    limits = [(r.doc_id, r.content_type) for r in block]
+    model = stored.sparkSession.sparkContext.broadcast((ids, np.array([r.v for r in block]), limits))  # at most QUERY_BLOCK vectors
 
     def run(batches):
-        ids, matrix, docs, types = model.value
+        ids, matrix, limits = model.value
+        best = Best(len(ids), k)
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            names, has_doc, has_type = (np.array(batch.column(c).to_pylist(), object) for c in ("chunk_id", "doc_id", "content_type"))
-            out: tuple[list, list, list] = ([], [], [])
+            names, passes = strings(batch.column("chunk_id")), allowed(batch, limits)
+            about = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (matrix @ v.T)))
             for i, q in enumerate(matrix):
-                at = np.arange(len(v))
-                if docs[i] is not None:
-                    at = at[has_doc[at] == docs[i]]
-                if types[i] is not None:
-                    at = at[has_type[at] == types[i]]
+                at = np.arange(len(v)) if passes[i] is None else np.flatnonzero(passes[i])
+                near = about[i, at]
+                most = best.limit(i)
+                if len(near) > k:
+                    most = min(most, np.partition(near, k - 1)[k - 1])
+                at = at[near <= most + SLACK]
                 diff = v[at] - q
-                distance = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                best = np.lexsort((names[at].astype(str), distance))[:k] if len(at) else []
-                out[0].extend([ids[i]] * len(best))
-                out[1].extend(names[at][best].tolist() if len(best) else [])
-                out[2].extend(distance[best].tolist() if len(best) else [])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "distance"])
+                best.add(i, np.sqrt(np.einsum("ij,ij->i", diff, diff)), names[at])
+        yield best.rows(ids, "distance")
 
     return stored.mapInArrow(run, "query_id string, chunk_id string, distance double")
 
@@ -116,10 +116,8 @@ def interleave(results: DataFrame) -> DataFrame:
     return results.withColumn("place", F.row_number().over(order))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, index: DataFrame, length_rows: DataFrame, vectors: DataFrame, limit: int = 5, pool: int = P.POOL) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, index: DataFrame | None, length_rows: DataFrame | None, vectors: DataFrame, limit: int = 5, pool: int = P.POOL) -> DataFrame:
     """``(query_id, rank, section_id, matched_chunk_id, score, keyword_only)``."""
-    from leafquire.operators.keyword import keyword_search
-
     fused = fuse(keyword_search(queries, chunks, index, length_rows, pool), vector_search(queries, vectors, pool))
     flags = queries.select("query_id", F.col("embedding").isNull().alias("keyword_only"))
     return best_sections(fused, chunks, limit).join(flags, "query_id")

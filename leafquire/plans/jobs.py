@@ -19,6 +19,11 @@ def build(lines: DataFrame, profiles: DataFrame, raw_tables: DataFrame, entries:
     """
     entries = layout.contents_entries(lines, profiles) if entries is None else entries
     headings = staged(layout.pin_headings(entries.where("kind = 'section'"), lines, profiles))
+    return assemble(lines, profiles, raw_tables, headings)
+
+
+def assemble(lines: DataFrame, profiles: DataFrame, raw_tables: DataFrame, headings: DataFrame) -> dict[str, DataFrame]:
+    """The build from pinned headings on."""
     body = layout.body_lines(lines)
     tables = blocks.residual_lines(blocks.table_captions(blocks.gate_tables(raw_tables), body), body)
     ordered = layout.section_spans(headings, profiles)
@@ -60,6 +65,6 @@ def index(chunks: DataFrame) -> dict[str, DataFrame]:
 
 
 def answer(queries: DataFrame, tables: dict[str, DataFrame], vectors: DataFrame, limit: int = 5) -> DataFrame:
-    """Queries to sections with their whole text."""
-    found = search.hybrid_search(queries, tables["chunks"], tables["postings"], tables["lengths"], vectors, limit)
+    """Queries to sections with their whole text; without stored postings the chunks are searched."""
+    found = staged(search.hybrid_search(queries, tables["chunks"], tables.get("postings"), tables.get("lengths"), vectors, limit))
     return search.expand(found, tables["sections"], tables["chunks"])

@@ -5,20 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
 
-    A step that several later ones read runs once, and a lost executor costs no more
-    than the step at hand. Only without that setting a temporary folder is used.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all machines share.
+
+    Only on one machine (a local master) a temporary folder takes its place if it is
+    unset; on a cluster that would lose rows, so it is an error there.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="leafquire-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/leafquire-stage-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    A step that several later ones read runs once, and a lost executor costs no more
+    than the step at hand. ``release`` deletes what was written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/leafquire-stage-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the stage tables of this process, once no result that reads them is needed."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 _DDL = {
     "lines": "doc_id string, page_pdf int, line_no int, text string, size double, bold boolean, x0 double, y0 double, page_height double",
@@ -26,6 +26,11 @@ _DDL = {
 SCHEMAS = dict(_DDL)
 
 
+def columns(name: str) -> T.StructType:
+    """The fixed schema of a table."""
+    return T.StructType.fromDDL(_DDL[name])
+
+
 def read(spark: SparkSession, name: str, path: str, form: str = "parquet") -> DataFrame:
     """A table by its fixed schema; ``json`` files hold one object per line, blank lines skipped."""
     return spark.read.schema(_DDL[name]).format(form).load(path)

@@ -40,7 +40,7 @@ def test_keyword_search_takes_whole_passages(spark, tmp_path):
                 score[i] = score.get(i, 0) - (idf if idf > 0 else 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(held[i]) / mean))
         kept = [i for i in score if (q % 5 or i % 3 == 1) and (q % 3 or i % 2)]
         want |= {(str(q), str(i)): round(score[i], 6) for i in kept}
-    got = {(r.query_id, r.chunk_id): r.score for r in catalog.QUERIES["keyword_search_whole"](spark, sf).collect()}
+    got = {(r.query_id, r.chunk_id): r.score for r in catalog.QUERIES["keyword_search"](spark, sf).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert any(k[0] == "2" and k[1] == "30" for k in got)  # only a later word of the passage stands there
 
@@ -49,5 +49,5 @@ def test_every_citation_is_checked_against_the_whole_turn(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(60))
     turns = [(1, 0, "user", long), (1, 1, "assistant", "w0 w1 w2 w59 made [w58] up"), (2, 0, "user", "a b"), (2, 1, "assistant", " b a  b a "), (3, 0, "user", None), (3, 1, "assistant", "x")]
     sf = folder(spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"))
-    got = {r.run_id: (r.invented, r.verdict, r.step) for r in catalog.QUERIES["invented_citations_whole"](spark, sf).collect()}
+    got = {r.run_id: (r.invented, r.verdict, r.step) for r in catalog.QUERIES["invented_citations"](spark, sf).collect()}
     assert got == {"1": ("made up", "insufficient", "escalate"), "2": ("", "sufficient", "done"), "3": ("x", "insufficient", "escalate")}

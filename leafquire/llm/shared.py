@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all machines share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    takes its place.
+    Only on one machine (a local master) a temporary folder takes its place if that is
+    unset; on a cluster that would lose rows, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="leafquire-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/leafquire-{uuid.uuid4().hex}"
@@ -58,6 +61,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def about(share: float, *keys: Column) -> Column:
+    """Whether a row is in a sample of about ``share`` of all, picked by a hash of its keys."""
+    whole = 1 << 50
+    return F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(whole)) < math.ceil(min(1.0, share) * whole)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

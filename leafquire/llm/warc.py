@@ -102,7 +102,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("piece"),
     )
-    return raw.withColumn("size", F.octet_length(F.col("piece").cast("binary")).cast("long"))
+    return raw.withColumn("size", F.octet_length("piece").cast("long"))
 
 
 def chains(pieces: DataFrame) -> DataFrame:
@@ -171,12 +171,26 @@ def reached(edges: DataFrame) -> DataFrame:
     return marked.withColumn("ok", F.coalesce(F.col("start") >= F.col("entry"), F.lit(False))).drop("entry")
 
 
-HEAD = r"(?s)^(.*?)\r\n\r\n"
+def _head(text: Column) -> Column:
+    """What precedes the first empty line; the whole text if there is none. No pattern, so any length will do."""
+    return F.substring_index(text, END, 1)
 
 
 def _header(name: str) -> Column:
-    found = F.regexp_extract(F.concat(F.lit("\r\n"), F.col("head")), rf"(?i)\r\n{name}: *([^\r\n]*)", 1)
-    return F.when(found != "", found)
+    """The value of the first header line of that name, whatever its case; null if there is none."""
+    mark = f"{name.lower()}:"
+    line = F.get(F.filter(F.split("head", "\r\n"), lambda x: F.lower(F.substring(x, 1, len(mark))) == mark), F.lit(0))
+    value = F.trim(F.substring(line, len(mark) + 1, 2**31 - 1))
+    return F.when(value != "", value)
+
+
+def declared(pieces: DataFrame) -> DataFrame:
+    """Add ``declared``: the bytes from the magic to the record's end that its header states, null without a whole header."""
+    rows = pieces.withColumn("head", _head(F.col("piece")))
+    ended = F.octet_length("piece") > F.octet_length("head")
+    length = _header("Content-Length")
+    stated = F.when(ended & length.rlike("^[0-9]{1,18}$"), length.cast("long"))
+    return rows.withColumn("declared", len(MAGIC) + F.octet_length("head") + 4 + stated + len(END)).drop("head")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -185,13 +199,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Magic inside a payload makes a candidate like any other, but nothing reaches it from
     the start of its file. The pieces from one reached record to the next are that
     record, put together again; they alone are shuffled, whole records stay where they
-    are read. Files are assumed to begin with a record; an empty file has none.
+    are read. The archives are read once: the pieces are written with their places, so
+    a later step cannot meet them split in another way. Files are assumed to begin with
+    a record; an empty file has none.
     """
-    raw = candidates(spark, path)
-    head_length = F.octet_length(F.regexp_extract("piece", HEAD, 1).cast("binary"))
-    length = F.regexp_extract("piece", r"(?si)^(?:[^\r\n]+\r\n)*?content-length: *(\d{1,18})\r\n(?:[^\r\n]+\r\n)*?\r\n", 1)
-    declared = F.when(length != "", len(MAGIC) + head_length + 4 + length.cast("long") + len(END))
-    thin = materialize(raw.select("file", "block", "at", "size", declared.alias("declared")))
+    raw = materialize(declared(candidates(spark, path)))
+    thin = raw.select("file", "block", "at", "size", "declared")
     marks = reached(materialize(chains(thin).where("start >= 0")))
     upto = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
     owner = materialize(marks.withColumn("owner", F.max(F.when(F.col("ok"), F.col("start"))).over(upto)).select("file", "block", "at", "start", "ok", "owner"))
@@ -204,14 +217,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     pieces = raw.select("path", "file", "block", "at", "piece").join(parts, ["file", "block", "at"])
     joined = pieces.groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
     joined = joined.select("path", F.array_join(F.col("parts.piece"), MAGIC).alias("text"))
-    records = alone.unionByName(joined).withColumn("head", F.regexp_extract("text", HEAD, 1))
-    block = F.substring(F.col("text").cast("binary"), F.octet_length(F.col("head").cast("binary")) + 5, F.octet_length(F.col("text").cast("binary")))
-    records = records.withColumn("length", _header("Content-Length").cast("int"))
-    block = F.substring(block, F.lit(1), F.col("length")).cast("string")
+    records = alone.unionByName(joined).withColumn("head", _head(F.col("text")))
+    block = F.substring(F.col("text").cast("binary"), F.octet_length("head") + 5, F.octet_length("text"))
+    length = F.least(_header("Content-Length").cast("long"), F.lit(2**31 - 1)).cast("int")
+    # A record is one value, so it has less than 2 GB; the block begins with the answer's own header.
+    block = F.substring(block, F.lit(1), length)
+    answer = F.octet_length(F.substring_index(block.cast("string"), END, 1)) + len(END)
     return records.select(
         "path", _header("WARC-Type").alias("record_type"), _header("WARC-Record-ID").alias("record_id"), _header("WARC-Target-URI").alias("target_uri"),
         _header("WARC-Payload-Digest").alias("payload_digest"), _header("WARC-Refers-To").alias("refers_to"),
-        F.regexp_replace(block, HEAD, "").alias("payload"),
+        F.substring(block, answer + 1, F.octet_length(block)).cast("string").alias("payload"),
     )
 
 
@@ -225,12 +240,13 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     write_archives(table(spark, sf_dir, "pages"), path)
     back = read_archives(spark, path).withColumn("page_id", page_of(F.col("record_id"))).withColumn("refers_to", page_of(F.col("refers_to")))
     back = materialize(back.select(
-        "page_id", "record_type", "refers_to", F.octet_length(F.col("payload").cast("binary")).cast("long").alias("own_bytes"),
+        "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"),
         F.regexp_replace("payload_digest", "^sha1:", "").alias("stated"), F.sha1(F.col("payload").cast("binary")).alias("own_sha1"),
     ))
-    responses = back.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("of_bytes")).dropDuplicates(["refers_to"])
+    responses = back.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("of_bytes"), F.col("stated").alias("of_digest")).dropDuplicates(["refers_to", "of_digest"])
     revisit = F.col("record_type") == "revisit"
-    return back.join(responses, "refers_to", "left").select(
+    same = (back["refers_to"] == responses["refers_to"]) & (back["stated"] == responses["of_digest"])
+    return back.join(responses, same, "left").select(
         "page_id", F.when(revisit, F.col("of_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("stated")).otherwise(_base32(F.col("own_sha1"))).alias("payload_digest"), "record_type", "refers_to",
+        F.when(revisit, F.col("stated")).otherwise(_base32(F.col("own_sha1"))).alias("payload_digest"), "record_type", back["refers_to"],
     )

@@ -69,3 +69,36 @@ def test_null_and_repeated_keys(spark, tmp_path):
     assert kinds == [("1", "a", "response", None), ("1", "a", "response", None), ("2", "a", "revisit", 1), ("None", "a", "revisit", 1), ("None", "b", "response", None)]
     warc.write_archives(df, str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 5
+
+
+def test_long_headers_and_many_line_breaks(spark, tmp_path):
+    lines = "x: y\r\n" * 200_000
+    rows = [(1, "u", warc.MAGIC + "\r\n" * 200_000), (2, "u", warc.MAGIC + lines), (3, "u", warc.MAGIC + lines + "Content-Length: 7\r\n\r\n"), (4, "u", warc.MAGIC * 5_000),
+            (5, "u", warc.MAGIC + "Content-Length: 99999999999999999999\r\n\r\nz"), (6, "u", warc.MAGIC + "content-length:  5\r\n\r\nhello\r\n\r\n" + warc.MAGIC), (7, "u", "plain")]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op6_warc(spark, sf).collect()}
+    assert got == expected(rows)
+
+
+def test_splits_do_not_matter(spark, tmp_path):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(3)
+    warc.write_archives(df, str(tmp_path / "w"))
+    seen = []
+    for first, then in (("2000", "70000"), ("70000", "2000")):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            rows = warc.read_archives(spark, str(tmp_path / "w"))  # some steps run here
+            spark.conf.set("spark.sql.files.maxPartitionBytes", then)
+            seen.append(sorted((r.record_id, r.payload) for r in rows.collect()))  # and the others here
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len(seen[0]) == len(pages())
+
+
+def test_one_id_with_several_pages(spark, tmp_path):
+    rows = [(1, None, "a"), (1, None, "bbb"), (2, None, "bbb"), (3, None, "a")]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.op6_warc(spark, sf).collect())
+    assert got == [(1, 1, "response", 0), (1, 3, "response", 0), (2, 3, "revisit", 1), (3, 1, "revisit", 1)]

@@ -6,11 +6,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafquire.llm.shared import components, discard, materialize, table, whole_groups
+from leafquire.llm.shared import components, discard, fresh, materialize, table, whole_groups
 
 SHINGLE = 5
 PERCENT = 80
@@ -22,8 +22,8 @@ MANTISSA = 10
 #: Pairs whose corrected estimate lies this far below the threshold are not confirmed:
 #: five standard deviations of an estimate from 160 registers at 0.8.
 MARGIN = 0.16
-#: Members of an open bucket are compared in tiles of about this many.
-TILE = 1024
+#: Members of an open bucket are compared in tiles of about this many, with about this many shingles in all.
+TILE, TILE_SHINGLES = 1024, 1 << 21
 #: Hashes that are combined at once; it bounds memory, not the sets.
 BLOCK = 1 << 15
 
@@ -129,21 +129,26 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(-1) - chance) / (1 - chance)
 
 
+def text_print(text) -> Column:
+    """A fingerprint of a whole text (a column): 128 bits; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def sketch(df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """``(key, n, set_id, regs, bands)`` of each row: a map over whole texts.
+    """``(key, print, n, set_id, regs, bands)`` of each row: a map over whole texts.
 
     ``n`` is the number of distinct shingles, ``set_id`` a 128-bit fingerprint of the
     set (null for none), ``regs`` the registers and ``bands`` the band keys.
     """
     schema = T.StructType([
-        T.StructField("key", df.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
+        T.StructField("key", df.schema[key].dataType), T.StructField("print", T.StringType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
         T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
     ])
 
     def run(batches):
         for batch in batches:
             n, ids, regs, bands = [], [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 s = shingles(value.as_buffer() if value.is_valid else b"", size)
                 n.append(len(s))
                 if not len(s):
@@ -154,11 +159,11 @@ def sketch(df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame
                 regs.append(r.tobytes())
                 bands.append(band_keys(r))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["key", "n", "set_id", "regs", "bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["key", "print", "n", "set_id", "regs", "bands"],
             )
 
-    return df.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key), text_print(F.col(text)).alias("print"), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -178,14 +183,13 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, schema).where(F.col("est") >= percent / 100 - MARGIN)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` with 100 * intersection >= percent * union, on full sets.
 
     Only the texts named in pairs are read again; each becomes its sorted set of
     64-bit shingle hashes, and a pair is decided where its two sets meet.
     """
-    kind = docs.schema[key].dataType
-    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), key, text, size)
+    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), reps, key, text, size)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
@@ -197,7 +201,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = materialize(joined.mapInArrow(check, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+    links = materialize(joined.mapInArrow(check, "a long, b long"))
     discard(sets)
     return links
 
@@ -216,19 +220,18 @@ GROUP = ["bucket", "i", "j"]
 def _possible(members: DataFrame, percent: int) -> DataFrame:
     """Which members of open buckets must meet: ``(bucket, i, j, node, comp, partners)``.
 
-    ``members(bucket, band, node, comp, n, regs, main, size)``: rows with ``main`` belong
-    to the bucket's largest component. Every other member is held against every member,
+    ``members(bucket, band, node, comp, n, regs, main, size, shingles)``: rows with ``main``
+    belong to the bucket's largest component. Every other member is held against every member,
     tile by tile, by registers alone; a pair counts in the first bucket that it shares.
     A row names the partners that the estimate allows a node, so there is one row for
     each node in a tile, however many pairs there are; partners come as rows of their own.
     """
-    kind = members.schema["node"].dataType
-    fields = [T.StructField("bucket", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("node", kind),
-              T.StructField("comp", kind), T.StructField("partners", T.ArrayType(kind))]
+    fields = "bucket long, i int, j int, node long, comp long, partners array<long>"
+    names = ["bucket", "i", "j", "node", "comp", "partners"]
 
     def run(batches):
         for rows, starts in whole_groups(batches, GROUP):
-            out = {f.name: [] for f in fields}
+            out = {name: [] for name in names}
             col = {c: rows.column(c).to_numpy() for c in ("bucket", "i", "j", "band", "n", "comp", "node", "side")}
             regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
@@ -257,44 +260,49 @@ def _possible(members: DataFrame, percent: int) -> DataFrame:
                 [pa.array(out["bucket"], pa.int64()), pa.array(out["i"], pa.int32()), pa.array(out["j"], pa.int32()), pa.array(out["node"], pa.int64()),
                  pa.array(out["comp"], pa.int64()), pa.array(out["partners"], pa.list_(pa.int64()))], names=list(out))
 
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     part = F.pmod(F.xxhash64("node"), tiles).cast("int")
     every = F.explode(F.sequence(F.lit(0), tiles - 1))
     slim = ["bucket", "band", "node", "comp", "n", "regs"]
     strays = members.where(~F.col("main")).select(*slim, F.lit(0).alias("side"), part.alias("i"), every.alias("j"))
     others = members.select(*slim, F.lit(1).alias("side"), part.alias("j"), every.alias("i")).select(*slim, "side", "i", "j")
     tiled = strays.unionByName(others).repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
-    return tiled.mapInArrow(run, T.StructType(fields))
+    return tiled.mapInArrow(run, fields)
+
 
+def _sets(docs: DataFrame, named: DataFrame, reps: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``(node, set)``: the full sorted shingle sets of the classes in ``named(node)``, from the text that stands for each.
 
-def _sets(docs: DataFrame, named: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``(node, set)``: the full sorted shingle sets of the documents in ``named(node)``."""
-    schema = T.StructType([T.StructField("node", docs.schema[key].dataType), T.StructField("set", T.BinaryType())])
+    Rows of one key may differ, so texts are found by key and fingerprint.
+    """
 
     def make(batches):
         for batch in batches:
-            out = [shingles((t or "").encode(), size).tobytes() for t in batch.column("text").to_pylist()]
+            out = [shingles(t.as_buffer() if t.is_valid else b"", size).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "set"])
 
-    texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(named, "node", "left_semi")
-    return materialize(texts.mapInArrow(make, schema).dropDuplicates(["node"]))
+    wanted = reps.join(named, "node", "left_semi").select("node", F.col("key").alias("_key"), F.col("print").alias("_print"))
+    texts = docs.select(F.col(key).alias("_key"), text_print(F.col(text)).alias("_print"), F.col(text).cast("binary").alias("text"))
+    texts = texts.join(wanted, ["_key", "_print"]).select("node", "text")
+    return materialize(texts.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]))
 
 
-def _confirm_in_tiles(possible: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _confirm_in_tiles(possible: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` among the partners of each tile, decided on full sets.
 
     A set comes once to each tile that needs it. Links that a tile has already implied
-    are not tested again, so what leaves a tile is fewer links than it has nodes.
+    are not tested again, so what leaves a tile is fewer links than it has nodes. Tiles
+    are bounded in members and in shingles, so their sets fit in memory.
     """
-    kind = docs.schema[key].dataType
     possible = materialize(possible)
-    sets = _sets(docs, possible.select("node").distinct(), key, text, size)
+    sets = _sets(docs, possible.select("node").distinct(), reps, key, text, size)
     dealt = possible.join(sets, "node").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
 
     def run(batches):
         for rows, starts in whole_groups(batches, GROUP):
             a, b = [], []
-            nodes, comps, partners, sets_ = (rows.column(c).to_pylist() for c in ("node", "comp", "partners", "set"))
+            nodes, comps, partners = (rows.column(c).to_pylist() for c in ("node", "comp", "partners"))
+            sets_ = rows.column("set").combine_chunks() if rows.num_rows else []
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
                 at = {nodes[k]: k for k in range(start, end)}
                 parent = {comps[k]: comps[k] for k in range(start, end)}
@@ -306,70 +314,102 @@ def _confirm_in_tiles(possible: DataFrame, docs: DataFrame, key: str, text: str,
                     return x
 
                 for k in range(start, end):
-                    own = np.frombuffer(sets_[k], np.uint64)
+                    own = np.frombuffer(sets_[k].as_buffer(), np.uint64)
                     for other in partners[k]:
                         x, y = find(comps[k]), find(comps[at[other]])
-                        if x != y and _together(own, np.frombuffer(sets_[at[other]], np.uint64), percent):
+                        if x != y and _together(own, np.frombuffer(sets_[at[other]].as_buffer(), np.uint64), percent):
                             parent[max(x, y)] = min(x, y)
                             a.append(nodes[k])
                             b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    links = materialize(dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+    links = materialize(dealt.mapInArrow(run, "a long, b long"))
     discard(sets)
     discard(possible)
     return links
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(key, n_shingles, component_id, kept)``: one row per document.
+def judged(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """``(key, print, n, group, component)`` of each row: its class's group, and the smallest key of that.
 
-    Documents with equal shingle sets are one class, named by their smallest key. Each
-    class puts one entry in each of its bands; in a bucket every class is paired with
-    the smallest, and of these pairs the one that shares most bands is estimated from
-    the registers and then confirmed on full sets. Where a bucket still holds more than
-    one component, all members outside its largest are held against all its members by
-    their registers, in tiles, and what the estimate allows is decided on full sets in
-    the same tiles. So a group of copies costs one pair each, no pair of a bucket stays
-    undecided, none is capped, and no list of all pairs is made. Keys are integers.
-
-    A text without words has no shingles and is linked with nothing, also with another
-    such text. Rows with a null key get a null component and are kept. A key that occurs
-    more than once counts as one document (its rows should be equal). Extra columns are
-    not read; an empty table gives no rows.
+    ``group`` is null for rows without a key or without shingles.
     """
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    sk = materialize(sketch(docs, key, text, size))
+    # Rows get numbers once they are written: a class is named by one of its rows, not by a key, which others may share.
+    sk = materialize(sketch(docs, key, text, size).withColumn("row", F.monotonically_increasing_id()))
     whole = sk.where(F.col("key").isNotNull() & F.col("set_id").isNotNull())
-    classes = whole.groupBy("set_id").agg(F.min("key").alias("node"))
-    reps = materialize(
-        whole.withColumnRenamed("key", "node").join(classes, ["set_id", "node"], "left_semi")
-        .select("node", "n", "regs", "bands").dropDuplicates(["node"])
-    )
-    entries = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(entries.join(heads, "bucket"))
+    classes = materialize(whole.groupBy("set_id").agg(F.min(F.struct("key", "row")).alias("m")).select("set_id", F.col("m.row").alias("node"), F.col("m.key").alias("least")))
+    reps = materialize(whole.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "key", "print", "n", "regs", "bands"))
+    entries = reps.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    buckets = materialize(entries.drop("n").join(heads, "bucket"))
     stars = buckets.where(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    first = confirm(materialize(estimated(best, reps, percent)), docs, key, text, size, percent)
+    first = confirm(materialize(estimated(best, reps, percent)), reps, docs, key, text, size, percent)
     parts = components(first)
     labelled = materialize(
-        buckets.join(parts, "node", "left").select("bucket", "band", "node", "size", F.coalesce("component", "node").alias("comp"))
+        buckets.join(parts, "node", "left").select("bucket", "band", "node", "size", "shingles", F.coalesce("component", "node").alias("comp"))
     )
     sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("members"))
     mains = sizes.groupBy("bucket").agg(F.max(F.struct("members", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
     members = labelled.join(mains.select("bucket", "main"), "bucket").withColumn("main", F.col("main") == F.col("comp"))
     members = members.join(reps.select("node", "n", "regs"), "node")
-    second = _confirm_in_tiles(_possible(members, percent), docs, key, text, size, percent)
+    second = _confirm_in_tiles(_possible(members, percent), reps, docs, key, text, size, percent)
     parts = components(first.unionByName(second))
-    named = classes.join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = sk.select("key", "n", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
-    return out.select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"),
+    # A group is named by the smallest key of all its classes; most classes are groups of their own.
+    linked = materialize(classes.join(parts, "node"))
+    names = linked.groupBy("component").agg(F.min("least").alias("name"))
+    linked = linked.join(names, "component").select("set_id", F.col("component").alias("grouped"), "name")
+    named = classes.join(linked, "set_id", "left").select("set_id", F.coalesce("grouped", "node").alias("group"), F.coalesce("name", "least").alias("name"))
+    out = sk.select("key", "print", "n", F.when(F.col("key").isNotNull(), F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
+    return out.select("key", "print", "n", "group", F.when(F.col("key").isNotNull(), F.coalesce("name", "key")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``(key, n_shingles, component_id, kept)``: one row per document.
+
+    Rows with equal shingle sets are one class. Each class puts one entry in each of
+    its bands; in a bucket every class is paired with the first, and of these pairs the
+    one that shares most bands is estimated from the registers and then confirmed on
+    full sets. Where a bucket still holds more than one component, all members outside
+    its largest are held against all its members by their registers, in tiles, and what
+    the estimate allows is decided on full sets in the same tiles. So a group of copies
+    costs one pair each, no pair of a bucket stays undecided, none is capped, and no
+    list of all pairs is made. Keys are integers; a component is named by its smallest key.
+
+    A text without words has no shingles and is linked with nothing, also with another
+    such text. Rows with a null key get a null component and are kept. Rows that repeat a
+    key are judged each by its own text, so they may have different components. Extra
+    columns are not read; an empty table gives no rows.
+    """
+    rows = judged(docs, key, text, size, percent)
+    return rows.select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("key"), F.lit(True)).alias("kept"),
     )
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near duplicates left.
+
+    What stays is the row with the smallest key, then text fingerprint. Rows that agree
+    in both are one document, and one of them stays. Rows without a key or without words
+    are in no group and all stay. All columns stay.
+    """
+    (mark,) = fresh(docs, "_print")
+    rows = materialize(judged(docs, key, text, size, percent).where("group IS NOT NULL").select("key", "print", "group"))
+    # Singletons are most of the table: only groups and repeated rows are looked at.
+    several = rows.groupBy("group").agg(F.min(F.struct("key", "print")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    grouped = materialize(rows.join(several.select("group", "first"), "group").groupBy("key", "print").agg(F.min(F.struct("key", "print") == F.col("first")).alias("stays"), F.count("*").alias("n")))
+    named = lambda df: df.select(F.col("key").alias(key), F.col("print").alias(mark))
+    marked = docs.withColumn(mark, text_print(F.col(text)))
+    left = marked.join(named(grouped.where("NOT stays")), [key, mark], "left_anti")
+    again = materialize(named(grouped.where("stays AND n > 1")))
+    if again.limit(1).count():
+        once = left.join(again, [key, mark], "left_semi").dropDuplicates([key, mark])
+        left = left.join(again, [key, mark], "left_anti").unionByName(once)
+    return left.select(*docs.columns)
+
+
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)

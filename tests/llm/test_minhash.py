@@ -94,3 +94,21 @@ def test_estimate_is_corrected():
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert minhash.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.sum("n_shingles")).first()[0] == 0
+
+
+def test_one_key_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (7, " ".join(f"c{i}" for i in range(60))), (7, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (7, 56, 1), (7, 56, 7)]
+
+
+def test_one_of_each(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " more", "x"), (3, b + " more", "x"), (3, b + " more", "x"), (4, "short", "x"), (5, None, "x"), (6, None, "y"), (None, a, "x"), (None, a, "x"), (1, b, "x"), (9, "alone here", "x"), (9, "alone here", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _print string").repartition(4)
+    out = minhash.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, a), (1, b), (4, "short"), (5, ""), (6, ""), (0, a), (0, a), (9, "alone here")])
+    assert minhash.one_of_each(df.where("false")).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,33 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafquire.llm.shared import components, materialize, table
+from leafquire.llm.shared import about, components, materialize, table, whole_groups
 
 COSINE = 0.9
 #: The rotations are learned from about this many vectors; every vector is indexed.
 SAMPLE = 20_000
 ROUNDS = 30
-#: Chance that a pair exactly at the threshold shares no table.
+#: Share of the pairs exactly at the threshold that the index may miss.
 MISS = 0.005
-#: Mean number of vectors that a table's bucket should hold; the code length follows from it.
-LOAD = 6
-#: Codes get shorter before more tables than this are planned; fewer than the measured recall needs are never used.
-TABLES = 64
-#: Larger buckets are compared in tiles of about this many vectors.
-TILE = 1024
-
-
-def plan_tables(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
-    """Bits of a table's code and number of tables, for ``n`` vectors.
-
-    A bit of two vectors at angle t differs with chance t / pi, if their table has no
-    common direction; ``fitted_tables`` measures what a table needs beyond that. Codes grow with log2 of
-    the number of vectors so that buckets stay small, tables with the chance that a
-    pair at the threshold agrees in a whole code: both sub-linear in ``n``.
-    """
-    bits = min(16, max(6, round(math.log2(max(n, 1) / LOAD))))
-    agree = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - agree)))
+#: Bits of a vector's code; tables look at some of them, and the Hamming distance counts all.
+BITS = 256
+#: A row in a table costs about as much as this many comparisons of codes; bits and tables follow from it.
+ROW_COST = 200
+#: Larger buckets are compared in tiles of about this many codes.
+TILE = 4096
+#: Groups up to this size are compared many at a time; pairs are taken in arrays of this length.
+SMALL, PAIRS = 64, 1 << 15
 
 
 def learn_rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -88,59 +78,94 @@ def threshold_pairs(sample: np.ndarray, cosine: float = COSINE, most: int = 4000
     return [(a, b) for a, b in out if len(a) >= 200]
 
 
-def sides(unit: np.ndarray, rotations: np.ndarray, offsets: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The codes of vectors, one a table: on which side of each plane they are."""
-    per_rotation = unit.shape[1] // bits
-    weights = 1 << np.arange(bits)
-    out = np.empty((len(unit), tables), np.uint16)
+def codes_of(unit: np.ndarray, rotations: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The binary codes of unit vectors, ``BITS`` bits in 64-bit words: the side of each learned plane they are on."""
+    width, left = unit.shape[1], BITS
+    out = []
+    for r, o in zip(rotations, offsets):
+        take = min(width, left)
+        out.append(unit @ r[:, :take] >= o[:take])
+        left -= take
+    return np.packbits(np.concatenate(out, 1), axis=1, bitorder="little").view(np.uint64)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1)
+
+
+def masks(bits: int, tables: int) -> np.ndarray:
+    """For each table the bits of a code that it looks at: ``bits`` of them, drawn by a fixed rule."""
+    rng = np.random.default_rng(29)
+    chosen = np.zeros((tables, BITS), bool)
     for t in range(tables):
-        r, s = divmod(t, per_rotation)
-        if s == 0:
-            over = unit @ rotations[r] >= offsets[r]
-        out[:, t] = over[:, s * bits : (s + 1) * bits] @ weights
-    return out
+        chosen[t, rng.permutation(BITS)[:bits]] = True
+    return np.packbits(chosen, axis=1, bitorder="little").view(np.uint64)
+
+
+def bucket_of(codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the masked code: equal codes, equal keys; the rest meet once in 2**64."""
+    x = np.zeros(len(codes), np.uint64)
+    for word in range(codes.shape[1]):
+        x = (x ^ (codes[:, word] & mask[word])) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    return x.view(np.int64)
 
 
-def fitted_tables(sample: np.ndarray, count: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Bits, number of tables, centre and rotations, such that the measured recall holds.
+@dataclass
+class Index:
+    """Planes, tables and the greatest Hamming distance of a candidate."""
 
-    Codes around the centre of a table with a common direction agree less often than the
-    angle at the origin tells. So it is measured how often bits of ``threshold_pairs``
-    differ, codes are cut to as few bits as ``TABLES`` asks for, and tables are added until
-    of each kind of pairs at most ``miss`` shares none. Tables that are added last have
-    random planes through the origin, where the angle does tell, so this ends. Shorter
-    codes mean larger buckets, compared in tiles: more work, never less recall.
-    Gives bits, tables, rotations and each plane's offset.
+    rotations: np.ndarray
+    offsets: np.ndarray
+    masks: np.ndarray
+    most: int
+
+
+def fit_index(sample: np.ndarray, count: int, cosine: float = COSINE, miss: float = MISS) -> Index:
+    """Learn the planes, then plan tables for ``count`` vectors such that the measured recall holds.
+
+    On ``threshold_pairs`` it is measured how far codes differ. The greatest distance is
+    set so that a tenth of ``miss`` lies beyond it. A table of b bits holds a pair at
+    distance d with chance C(BITS - d, b) / C(BITS, b); of all b the one is taken whose
+    tables cost least: a row each, and comparisons with the others of its bucket. So b
+    grows with the logarithm of ``count``, without a stop, and the number of tables with
+    a power of it below one. Then tables are added until the pairs themselves are found.
     """
     width = sample.shape[1]
-    bits, tables = plan_tables(count, cosine, miss)
-    bits = min(bits, width)
-    pairs = threshold_pairs(sample, cosine)
-    centre, rotations = learn_rotations(sample, math.ceil(tables / (width // bits)))
-    differ = [np.mean([(((a - centre) @ r >= 0) != ((b - centre) @ r >= 0)).mean(1) for r in rotations], axis=0) for a, b in pairs]
-
-    def needed(bits: int) -> int:
-        n = tables
-        while any(((1 - (1 - d) ** bits) ** n).mean() > miss for d in differ) and n <= TABLES:
-            n += 1
-        return n
-
-    while bits > 1 and needed(bits) > TABLES:
-        bits -= 1
-    tables = needed(bits)
-    per_rotation = width // bits
-    centre, rotations = learn_rotations(sample, math.ceil(min(tables, TABLES) / per_rotation))
+    centre, rotations = learn_rotations(sample, math.ceil(BITS / width))
     offsets = centre @ rotations
-    rng = np.random.default_rng(17)
+    pairs = threshold_pairs(sample, cosine)
+    codes = [(codes_of(a, rotations, offsets), codes_of(b, rotations, offsets)) for a, b in pairs]
+    far = [distances(a, b) for a, b in codes]
+    most = min(BITS, 2 + int(max((np.quantile(d, 1 - miss / 10) for d in far), default=BITS)))
+    best = None
+    for bits in range(4, 65):
+        d = np.arange(BITS + 1)
+        held = np.exp(sum(np.log(np.maximum(BITS - d - i, 1e-9) / (BITS - i)) for i in range(bits)))
+        needed = max((_tables_for(held[x], miss) for x in far), default=1)
+        cost = needed * (ROW_COST + count / 2.0**bits / 2)
+        if best is None or cost < best[0]:
+            best = cost, bits, needed
+    _, bits, tables = best
     while True:
-        tables = min(tables, len(rotations) * per_rotation)
-        codes = [(sides(a, rotations, offsets, bits, tables), sides(b, rotations, offsets, bits, tables)) for a, b in pairs]
-        if all((a == b).any(1).mean() >= 1 - miss for a, b in codes):
-            return bits, tables, rotations, offsets
-        tables += per_rotation
-        if tables > len(rotations) * per_rotation:
-            rotations = np.concatenate((rotations, np.linalg.qr(rng.standard_normal((1, width, width)))[0]))
-            offsets = np.concatenate((offsets, np.zeros((1, width))))
+        chosen = masks(bits, tables)
+        found = [((((a ^ b)[:, None, :] & chosen) == 0).all(2).any(1) & (distances(a, b) <= most)).mean() for a, b in codes]
+        if all(x >= 1 - miss for x in found):
+            return Index(rotations, offsets, chosen, most)
+        tables += max(1, tables // 16)
+
+
+def _tables_for(chance: np.ndarray, miss: float) -> int:
+    """The number of tables in which all but ``miss`` / 2 of the pairs meet, each with its ``chance`` a table."""
+    lost = lambda n: ((1 - chance) ** n).mean()
+    n = 1
+    while lost(n) > miss / 2 and n < 1 << 20:
+        n *= 2
+    low = n // 2
+    while n - low > 1:
+        mid = (n + low) // 2
+        low, n = (mid, n) if lost(mid) > miss / 2 else (low, mid)
+    return n
 
 
 def usable(vector):
@@ -171,167 +196,194 @@ def reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _small_groups(size: np.ndarray, unit: np.ndarray, cosine: float):
-    """Places of all pairs at or over ``cosine`` inside groups that lie one after another."""
-    start = np.cumsum(size) - size
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for s in np.unique(size[size > 1]).tolist():
-        i, j = np.triu_indices(s, 1)
-        which = np.flatnonzero(size == s)
-        step = max(1, PAIRS // len(i))
-        for k in range(0, len(which), step):
-            at = start[which[k : k + step], None]
-            left, right = (at + i).ravel(), (at + j).ravel()
-            good = np.einsum("ij,ij->i", unit[left], unit[right]) >= cosine
-            a.append(left[good])
-            b.append(right[good])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _tile(left: np.ndarray, right: np.ndarray, unit: np.ndarray, cosine: float):
-    """Places of all pairs of ``left`` and ``right`` at or over ``cosine``, each once."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for k in range(0, len(left), 64):
-        rows = left[k : k + 64]
-        x, y = np.nonzero(unit[rows] @ unit[right].T >= cosine - 1e-12)
-        x, y = rows[x], right[y]
-        good = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
-        good &= (x < y) if left is right else True
-        a.append(x[good])
-        b.append(y[good])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def compare_groups(rows: pa.Table, width: int, kind: str, tables: int, cosine: float):
-    """Weighted link counts and a spanning set of links of the groups in ``rows``.
-
-    A pair is left to the first table in which its codes agree.
-    """
-    col = lambda c: rows.column(c).to_numpy()
-    blob = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
-    t, node, n, own, i, j = (col(c) for c in ("t", "node", "n", "own", "i", "j"))
-    unit = unit_rows(blob("vector", kind), width)
-    codes = blob("codes", np.uint16).reshape(-1, tables)
-    cuts = group_starts(rows)
-    size = np.diff(np.append(cuts, rows.num_rows))
-    whole = (i[cuts] == j[cuts]) & (size <= 64)
-    order = np.flatnonzero(np.repeat(whole, size))
-    a, b = _small_groups(size[whole], unit[order], cosine)
-    found = [(order[a], order[b])]
-    for start, end in zip(cuts[~whole].tolist(), (cuts + size)[~whole].tolist()):
-        at = np.arange(start, end)
-        if i[start] == j[start]:
-            found.append(_tile(at, at, unit, cosine))
-        else:
-            found.append(_tile(at[own[at] == i[start]], at[own[at] == j[start]], unit, cosine))
-    a, b = (np.concatenate(x) for x in zip(*found))
-    fresh_pair = np.ones(len(a), bool)
-    for k in range(0, len(a), PAIRS):
-        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
-        fresh_pair[k : k + PAIRS] = ~((codes[x] == codes[y]) & (np.arange(tables) < t[x][:, None])).any(1)
-    a, b = a[fresh_pair], b[fresh_pair]
-    near = np.bincount(a, n[b], rows.num_rows) + np.bincount(b, n[a], rows.num_rows)
-    label = reachable(rows.num_rows, a, b)
-    counted, tied = np.flatnonzero(near > 0), np.flatnonzero(label != np.arange(rows.num_rows))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate((node[counted], node[tied]))), pa.array(np.concatenate((near[counted].astype(np.int64), np.zeros(len(tied), np.int64)))),
-         pa.array(np.concatenate((node[counted], node[label[tied]])))],
-        names=["node", "near", "other"],
-    )
+def blob(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def group_starts(rows: pa.Table) -> np.ndarray:
-    keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in GROUP])
-    return np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(0))))
+def new_in(t: int, difference: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Pairs of a bucket of table ``t`` that no earlier table holds, from the bits in which they differ."""
+    out = np.ones(len(difference), bool)
+    for mask in masks[:t]:
+        out &= (difference & mask).any(1)
+    return out
 
 
-GROUP = ["t", "bucket", "i", "j"]
-PAIRS = 1 << 15
+def _checked(t: np.ndarray, a: np.ndarray, b: np.ndarray, codes: np.ndarray, index: Index):
+    """Of pairs of places those that are near by Hamming distance and new in their table."""
+    d = codes[a] ^ codes[b]
+    good = np.bitwise_count(d).sum(1) <= index.most
+    a, b, d = a[good], b[good], d[good]
+    of, keep = t[a], np.zeros(len(a), bool)
+    for table in np.unique(of).tolist():
+        at = np.flatnonzero(of == table)
+        keep[at] = new_in(table, d[at], index.masks)
+    return a[keep], b[keep]
 
 
-def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
-    """``(key, n_links, component_id, kept)``: one row per vector.
-
-    Equal vectors are one class with a count. Each class gets balanced binary codes from
-    several learned rotations; each table takes some bits of one rotation as its bucket.
-    Inside a bucket every two vectors are compared by cosine in double precision; a pair
-    counts in the first table that holds it, so no list of pairs is made: a bucket hands
-    on counts and a spanning set of its links. Large buckets are cut into tiles of
-    bounded size, so a hot bucket is many tasks.
+GROUP = ["t", "bucket", "i", "j"]
 
-    Vectors that are null, zero, or hold null or non-finite parts have no links, as have
-    rows with a null key (their component is null) and vectors of another width than the
-    most common one. A repeated row counts as another vector; of different vectors
-    under one key one is linked. Extra columns are not read; an empty table gives no rows.
-    """
-    spark = df.sparkSession
-    kind = "<f4" if df.schema[vector].dataType.elementType == T.FloatType() else "<f8"
-    v = F.col("vector")
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"))
-    prints = [F.xxhash64("vector", F.lit(s)).alias(f"p{s}") for s in (1, 2)]
-    rows = rows.select("key", "vector", *[F.when(usable(v) & F.col("key").isNotNull(), p).alias(f"p{s}") for s, p in zip((1, 2), prints)])
-    classes = materialize(
-        rows.where("p1 IS NOT NULL").groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min("key").alias("node"), F.any_value("vector").alias("vector")).dropDuplicates(["node"])
-    )
-    count = classes.count()
-    width = classes.agg(F.mode(F.size("vector"))).first()[0] or 1
-    index = classes.where(F.size("vector") == width).select("node", "n", "vector")
-    limit = math.ceil(min(1.0, sample / max(count, 1)) * (1 << 20))
-    picked = index.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < limit).limit(2 * sample).toArrow()
-    data = unit_rows(picked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), width) if picked.num_rows else np.empty((0, width))
-    bits, tables, rotations, offsets = fitted_tables(data, count, cosine)
-    model = spark.sparkContext.broadcast((rotations, offsets))  # width**2 numbers a rotation
 
-    def codes_of(unit: np.ndarray) -> np.ndarray:
-        return sides(unit, *model.value, bits, tables)
+def candidate_pairs(rows: pa.Table, starts: np.ndarray, codes: np.ndarray, index: Index):
+    """All candidates of the groups in ``rows``, as arrays of places that are bounded in size.
 
-    def blobs(x: np.ndarray) -> pa.Array:
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.dtype.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+    A group is a bucket, or a tile of a large one: one part with itself, or two parts.
+    """
+    t, i, j, own = (rows.column(c).to_numpy() for c in ("t", "i", "j", "own"))
+    size = np.diff(np.append(starts, rows.num_rows))
+    small = (size <= SMALL) & (i[starts] == j[starts])
+    for s in np.unique(size[small & (size > 1)]).tolist():  # groups of one size are taken together
+        x, y = np.triu_indices(s, 1)
+        which, step = starts[small & (size == s)], max(1, PAIRS // len(x))
+        for k in range(0, len(which), step):
+            at = which[k : k + step, None]
+            yield _checked(t, (at + x).ravel(), (at + y).ravel(), codes, index)
+    for start, end in zip(starts[~small].tolist(), (starts + size)[~small].tolist()):
+        at = np.arange(start, end)
+        same = i[start] == j[start]
+        left, right = (at, at) if same else (at[own[at] == i[start]], at[own[at] == j[start]])
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for k in range(0, len(left), step):
+            far = np.zeros((len(left[k : k + step]), len(right)), np.uint16)
+            for word in range(codes.shape[1]):
+                far += np.bitwise_count(codes[left[k : k + step], None, word] ^ codes[right, word])
+            x, y = np.nonzero(far <= index.most)
+            a, b = left[k + x], right[y]
+            if same:
+                a, b = a[a < b], b[a < b]
+            for p in range(0, len(a), PAIRS):
+                yield _checked(t, a[p : p + PAIRS], b[p : p + PAIRS], codes, index)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "own", "node")
+
+
+def _candidates(coded: DataFrame, model) -> DataFrame:
+    """``(t, bucket, i, j, own, node)``: the vectors of each tile that have a candidate there.
+
+    Only codes go to the tables. Large buckets are cut into parts; every two parts meet
+    in a tile of bounded size, so a hot bucket is many tasks.
+    """
 
-    def entries(vectors: bool):
+    def keys(with_code: bool):
         def run(batches):
+            index = model.value
             for batch in batches:
-                for start in range(0, batch.num_rows, 500):
-                    part = batch.slice(start, 500)
-                    flat = part.column("vector").flatten().to_numpy(zero_copy_only=False)
-                    codes = codes_of(unit_rows(flat, width))
-                    k = part.num_rows
-                    again = pa.array(np.tile(np.arange(k), tables))
-                    columns = [pa.array(np.repeat(np.arange(tables, dtype=np.int32), k)), pa.array(codes.T.astype(np.int32).ravel())]
-                    if vectors:
-                        columns += [part.column("node").take(again), part.column("n").take(again), blobs(flat.astype(kind).reshape(k, width)).take(again), blobs(codes).take(again)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["t", "bucket", "node", "n", "vector", "codes"][: len(columns)])
+                for start in range(0, batch.num_rows, 1000):
+                    part = batch.slice(start, 1000)
+                    codes = blob(part.column("code"), np.uint64).reshape(-1, BITS // 64)
+                    again = pa.array(np.tile(np.arange(part.num_rows), len(index.masks)))
+                    columns = [pa.array(np.repeat(np.arange(len(index.masks), dtype=np.int32), part.num_rows)), pa.array(np.concatenate([bucket_of(codes, m) for m in index.masks]))]
+                    columns += [part.column(c).take(again) for c in ("node", "code")] if with_code else []
+                    yield pa.RecordBatch.from_arrays(columns, names=["t", "bucket", "node", "code"][: len(columns)])
 
         return run
 
-    # Bucket sizes come from a pass over codes alone; only large buckets are listed.
-    sizes = index.mapInArrow(entries(False), "t int, bucket int").groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > TILE)
-    dealt = index.mapInArrow(entries(True), "t int, bucket int, node long, n long, vector binary, codes binary").join(materialize(sizes), ["t", "bucket"], "left")
+    sizes = coded.mapInArrow(keys(False), "t int, bucket long").groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > TILE)
+    rows = coded.mapInArrow(keys(True), "t int, bucket long, node long, code binary").join(materialize(sizes), ["t", "bucket"], "left")
     parts = F.coalesce(F.ceil(F.col("size") / TILE), F.lit(1)).cast("int")
     # A row of part p goes to one tile for each part q: (p, q) or (q, p).
-    tiled = dealt.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tiled = tiled.select("t", "bucket", F.least("own", "q").alias("i"), F.greatest("own", "q").alias("j"), "own", "node", "n", "vector", "codes")
-    dealt = tiled.repartition(*GROUP).sortWithinPartitions(*GROUP, "own", "node")
+    tiled = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tiled = tiled.select("t", "bucket", F.least("own", "q").alias("i"), F.greatest("own", "q").alias("j"), "own", "node", "code")
+
+    def run(batches):
+        index = model.value
+        for rows, starts in whole_groups(batches, GROUP):
+            needed = np.zeros(rows.num_rows, bool)
+            for a, b in candidate_pairs(rows, starts, blob(rows.column("code"), np.uint64).reshape(-1, BITS // 64), index):
+                needed[a] = needed[b] = True
+            yield from rows.select([*GROUP, "own", "node"]).filter(pa.array(needed)).combine_chunks().to_batches()
+
+    return _dealt(tiled).mapInArrow(run, "t int, bucket long, i int, j int, own int, node long")
+
 
-    def compare(batches):
-        rest = None
+def _links(found: DataFrame, coded: DataFrame, model, width: int, kind: str, cosine: float) -> DataFrame:
+    """``(node, near, other)``: weighted link counts, and a spanning set of each tile's links.
+
+    The vectors of candidates, and only they, come to their tiles and are compared by
+    cosine in double precision. What leaves a tile is counts and at most one link a
+    vector, so no list of pairs is made.
+    """
+
+    def run(batches):
+        index = model.value
+        for rows, starts in whole_groups(batches, GROUP):
+            node, n = (rows.column(c).to_numpy() for c in ("node", "n"))
+            unit = unit_rows(blob(rows.column("vector"), kind), width)
+            near, label = np.zeros(rows.num_rows), np.arange(rows.num_rows)
+            for a, b in candidate_pairs(rows, starts, blob(rows.column("code"), np.uint64).reshape(-1, BITS // 64), index):
+                good = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+                a, b = a[good], b[good]
+                near += np.bincount(a, n[b], rows.num_rows) + np.bincount(b, n[a], rows.num_rows)
+                apart = label[a] != label[b]
+                if apart.any():
+                    label = reachable(rows.num_rows, label[a][apart], label[b][apart])[label]
+            counted, tied = np.flatnonzero(near > 0), np.flatnonzero(label != np.arange(rows.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((node[counted], node[tied]))), pa.array(np.concatenate((near[counted].astype(np.int64), np.zeros(len(tied), np.int64)))),
+                 pa.array(np.concatenate((node[counted], node[label[tied]])))],
+                names=["node", "near", "other"],
+            )
+
+    return _dealt(found.join(coded, "node")).mapInArrow(run, "node long, near long, other long")
+
+
+def _of_width(classes: DataFrame, width: int, count: int, kind: str, cosine: float, sample: int) -> DataFrame:
+    """``(node, near, other)`` among the classes of one width."""
+    context = classes.sparkSession.sparkContext
+    same = classes.where(F.size("vector") == width).select("node", "n", "vector")
+    picked = same.where(about(sample / count, F.col("node"))).limit(2 * sample).toArrow()
+    data = unit_rows(picked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), width) if picked.num_rows else np.empty((0, width))
+    model = context.broadcast(fit_index(data, count, cosine))  # BITS planes, and a mask a table
+
+    def run(batches):
+        index = model.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            now = (now if rest is None else pa.concat_tables([rest, now])).combine_chunks()
-            last = int(group_starts(now)[-1])  # the last group may go on in the next batch
-            if last:
-                yield from compare_groups(now.slice(0, last), width, kind, tables, cosine)
-            rest = now.slice(last)
-        if rest is not None:
-            yield from compare_groups(rest, width, kind, tables, cosine)
-
-    found = materialize(dealt.mapInArrow(compare, "node long, near long, other long"))
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                flat = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(kind)
+                codes = codes_of(unit_rows(flat, width), index.rotations, index.offsets)
+                rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (flat.reshape(-1, width), codes)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), *rows], names=["node", "n", "vector", "code"])
+
+    coded = materialize(same.mapInArrow(run, "node long, n long, vector binary, code binary"))
+    return _links(_candidates(coded.select("node", "code"), model), coded, model, width, kind, cosine)
+
+
+def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
+    """``(key, n_links, component_id, kept)``: one row per vector.
+
+    Equal vectors are one class with a count. Each class gets one balanced binary code
+    from learned rotations; each table looks at some bits of it, and vectors that agree
+    there share a bucket. Inside a bucket codes are compared by their Hamming distance
+    over all bits; only vectors with a candidate are fetched, and candidates are compared
+    by cosine. A pair counts in the first table that holds it.
+
+    Vectors that are null, zero, or hold null or non-finite parts have no links, as have
+    rows with a null key (their component is null). Vectors of different widths are not
+    compared; each width has tables of its own. A repeated row counts as another vector,
+    and so does another vector under the same key; a component is named by its smallest
+    key. Extra columns are not read; an empty table gives no rows.
+    """
+    kind = "<f4" if df.schema[vector].dataType.elementType == T.FloatType() else "<f8"
+    v = F.col("vector")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"))
+    prints = [F.xxhash64("vector", F.lit(s)).alias(f"p{s}") for s in (1, 2)]
+    rows = rows.select("key", "vector", *[F.when(usable(v) & F.col("key").isNotNull(), p).alias(f"p{s}") for s, p in zip((1, 2), prints)])
+    # Classes are numbered as they are written: keys may repeat with other vectors.
+    classes = rows.where("p1 IS NOT NULL").groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.any_value("vector").alias("vector"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+    found = df.sparkSession.createDataFrame([], "node long, near long, other long")
+    for r in classes.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).where("n > 1").collect():
+        found = found.unionByName(_of_width(classes, r.width, r.n, kind, cosine, sample))
+    found = materialize(found)
     near = found.where("near > 0").groupBy("node").agg(F.sum("near").alias("near"))
-    components_of = components(found.where("near = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    per_class = classes.select("p1", "p2", "node", "n").join(near, "node", "left").join(components_of, "node", "left").select(
-        "p1", "p2", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")
+    groups = components(found.where("near = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    grouped = classes.select("node", "least").join(groups, "node")
+    names = grouped.groupBy("component").agg(F.min("least").alias("name"))
+    grouped = grouped.join(names, "component").select("node", "name")
+    per_class = classes.select("p1", "p2", "node", "n", "least").join(near, "node", "left").join(grouped, "node", "left").select(
+        "p1", "p2", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("name", "least").alias("component_id")
     )
     component = F.coalesce("component_id", "key")
     return rows.select("key", "p1", "p2").join(per_class, ["p1", "p2"], "left").select(

@@ -90,3 +90,21 @@ def test_recall_with_a_common_direction(spark):
     got = {r.vec_id: r.n_links for r in embeddings.link(df).collect()}
     assert all(got[i] <= n for i, n in enumerate(near.tolist()))
     assert sum(got.values()) >= 0.985 * near.sum()
+
+
+def test_one_key_with_several_vectors_and_other_widths(spark):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
+    rows = [(5, a), (5, b), (9, b), (9, a), (11, b), (20, [1.0, 0.0]), (21, [2.0, 0.1]), (22, [0.0, 1.0]), (30, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.link(df).collect())
+    assert got == [(5, 1, 5), (5, 2, 5), (9, 1, 5), (9, 2, 5), (11, 2, 5), (20, 1, 20), (21, 1, 20), (22, 0, 22), (30, 0, 30)]
+
+
+def test_plan_grows_with_the_table():
+    rng = np.random.default_rng(1)
+    data = embeddings.unit_rows(rng.standard_normal(3000 * 64), 64)
+    plans = [embeddings.fit_index(data, n) for n in (10**4, 10**6, 10**9)]
+    bits = [int(np.bitwise_count(p.masks[0]).sum()) for p in plans]
+    assert bits == sorted(bits) and bits[-1] > 16
+    assert all(len(p.masks) < n**0.4 for p, n in zip(plans, (10**4, 10**6, 10**9)))
+    print(bits, [len(p.masks) for p in plans], [p.most for p in plans])

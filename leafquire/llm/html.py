@@ -17,15 +17,15 @@ from pyspark.sql import types as T
 
 from leafquire.llm.shared import table
 
-#: The field is trained on at most this many pages, each laid out anew with known labels.
-TRAIN_PAGES = 400
+#: The field is trained on at most this many pages, of at most so many characters in all, each laid out anew with known labels.
+TRAIN_PAGES, TRAIN_CHARS = 400, 20_000_000
 LAYOUTS = 3
 STEPS = 120
 FEATURES = 1 << 14
 
 # HTML elements by their role in parsing.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style title textarea iframe".split())  # raw text: read up to the end tag, or to the end of the page
+HIDDEN = set("script style title textarea".split())  # raw text: skipped up to the end tag, or to the end of the page
 FOREIGN = {"svg", "math"}
 POINTS = set("foreignobject desc annotation-xml mi mo mn ms mtext".split())  # hold HTML inside svg and math
 INLINE = set(
@@ -37,6 +37,8 @@ CLOSES_P = set(
 )
 #: Start tags that end an open svg or math.
 BREAKS_OUT = CLOSES_P | set("b big body br center code dd dt em embed head i img li meta nobr p ruby s small span strike strong sub sup tt u var tr td th".split())
+#: An end tag left out is not looked for beyond these.
+HOLDS = set("div table ul ol article section body blockquote main aside dl".split())
 SAME_CLOSES = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>?""", re.S)
@@ -44,13 +46,79 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]
 _NAME = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element. Blocks share their ancestors; what features ask of all of them is kept along the way."""
+
+    __slots__ = ("tag", "names", "parent", "depth", "leaf", "inside", "linked", "drawn", "foreign", "in_foreign")
+
+    def __init__(self, tag: str, names: frozenset[str], parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        up = parent or self
+        self.depth = parent.depth + 1 if parent else 0
+        self.leaf = "" if not parent else up.leaf if tag in INLINE else tag  # the innermost block element
+        self.inside = bool(parent) and (up.inside or tag in ("article", "main"))
+        self.linked = bool(parent) and (up.linked or tag == "a")
+        self.drawn = bool(parent) and (up.drawn or tag == "svg")
+        self.in_foreign = bool(parent) and (up.in_foreign or tag in FOREIGN)
+        self.foreign = bool(parent) and (tag in FOREIGN or up.foreign and tag not in POINTS)
+
+
+ROOT = Node("", frozenset(), None)
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # ancestors, from the page down
-    names: frozenset[str]  # words of ancestors' classes, ids and roles
+    node: Node
     linked: int  # characters inside links
 
+    def _up(self) -> Iterator[Node]:
+        node = self.node
+        while node.parent:
+            yield node
+            node = node.parent
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Ancestors, from the page down."""
+        return tuple(n.tag for n in self._up())[::-1]
+
+    @property
+    def names(self) -> frozenset[str]:
+        """Words of the ancestors' classes, ids and roles."""
+        return frozenset().union(*(n.names for n in self._up()))
+
+
+class Open:
+    """The open elements, with the places of each tag, so that looking for one takes no walk."""
+
+    def __init__(self):
+        self.stack: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.holding: list[int] = []
+        self.top = ROOT
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in HOLDS:
+            self.holding.append(len(self.stack))
+        self.top = Node(tag, names, self.top)
+        self.stack.append(self.top)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, -1 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from place ``depth`` on."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in HOLDS:
+                self.holding.pop()
+        self.top = self.stack[-1] if self.stack else ROOT
+
 
 def _names(attributes: str) -> frozenset[str]:
     if "=" not in attributes:
@@ -62,40 +130,36 @@ def _names(attributes: str) -> frozenset[str]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, with white space folded and references decoded."""
+    """The leaf blocks of a page in order, with white space folded and references decoded.
+
+    Linear in the page, however deep its tags are nested and whether they are closed.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_ = Open()
     text: list[str] = []
-    linked = 0
-    where: tuple = ()
+    linked, where, frames = 0, ROOT, True
 
     def flush() -> None:
         nonlocal text, linked
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, tuple(t for t, _ in where), frozenset().union(*(n for _, n in where)), linked))
+            out.append(Block(joined, where, linked))
         text, linked = [], 0
 
-    def drawn(tags) -> bool:
-        return any(t == "svg" for t, _ in tags)
-
-    def foreign() -> bool:
-        return next((t in FOREIGN for t, _ in reversed(stack) if t in FOREIGN or t in POINTS), False)
-
     def say(piece: str) -> None:
         nonlocal linked, where
         if not piece:
             return
-        if text and drawn(where) != drawn(stack):
+        if text and where.drawn != open_.top.drawn:
             if not piece.strip():
                 text.append(piece)
                 return
             flush()  # a drawing's text is a block of its own
         if not text:
-            where = tuple(stack)
+            where = open_.top
         piece = entities.unescape(piece)
         text.append(piece)
-        if any(t == "a" for t, _ in stack):
+        if open_.top.linked:
             linked += len(piece.strip())
 
     at = 0
@@ -106,37 +170,38 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name not in INLINE and not any(t in FOREIGN for t, _ in stack[: depth or 0]):
+            depth = open_.last(name)
+            if name not in INLINE and not (depth > 0 and open_.stack[depth - 1].in_foreign):
                 flush()
-            if depth is not None:
-                del stack[depth:]
+            if depth >= 0:
+                open_.cut(depth)
             continue
-        if name in HIDDEN:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
+        empty = m[3].rstrip().endswith("/")
+        if name in HIDDEN or name == "iframe" and frames:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if name == "iframe" and not end:
+                frames = False  # none of the following ones is closed either
+            elif empty:
+                continue
+            else:
                 at = end.end() if end else len(page)
-            continue
-        if foreign():
+                continue
+        if open_.top.foreign:
             if name not in BREAKS_OUT:
-                if not m[3].rstrip().endswith("/"):
-                    stack.append((name, _names(m[3])))
+                if not empty:
+                    open_.push(name, _names(m[3]))
                 continue
-            while foreign():
-                stack.pop()
-        elif name in FOREIGN and m[3].rstrip().endswith("/"):
+            while open_.top.foreign:
+                open_.cut(len(open_.stack) - 1)
+        elif name in FOREIGN and empty:
             continue
         if name not in INLINE:
             flush()
-            closes = SAME_CLOSES.get(name) or ({"p"} if name in CLOSES_P else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("div", "table", "ul", "ol", "article", "section", "body", "blockquote", "main", "aside", "dl"):
-                    break
+            closed = max(map(open_.last, SAME_CLOSES.get(name) or ({"p"} if name in CLOSES_P else ())), default=-1)
+            if closed >= 0 and closed > (open_.holding[-1] if open_.holding else -1):
+                open_.cut(closed)
         if name not in VOID:
-            stack.append((name, _names(m[3])))
+            open_.push(name, _names(m[3]))
     say(page[at:])
     flush()
     return out
@@ -158,21 +223,57 @@ def _size(n: int) -> int:
     return min(n.bit_length(), 12)
 
 
+class Ancestors:
+    """The features that the current block's ancestors switch on, and the sum of their weights, moved from block to block."""
+
+    def __init__(self, weights: tuple[list[float], list[float]] | None = None):
+        self.path: list[Node] = []
+        self.counts: dict[int, int] = {}
+        self.weights, self.a, self.b = weights, 0.0, 0.0
+
+    def _slots_of(self, node: Node) -> set[int]:
+        return {_slot(f"tag={node.tag}"), *(_slot(f"name={x}") for x in node.names)}
+
+    def move(self, node: Node) -> None:
+        path, new = self.path, []
+        while node.depth > len(path) or node.depth and path[node.depth - 1] is not node:
+            new.append(node)
+            node = node.parent
+        counts, weights = self.counts, self.weights
+        while len(path) > node.depth:
+            for s in self._slots_of(path.pop()):
+                counts[s] -= 1
+                if not counts[s]:
+                    del counts[s]
+                    if weights:
+                        self.a, self.b = self.a - weights[0][s], self.b - weights[1][s]
+        for n in reversed(new):
+            path.append(n)
+            for s in self._slots_of(n):
+                if s not in counts and weights:
+                    self.a, self.b = self.a + weights[0][s], self.b + weights[1][s]
+                counts[s] = counts.get(s, 0) + 1
+
+
+def own_features(page: list[Block], i: int) -> list[int]:
+    """The features of a block's place and text."""
+    b = page[i]
+    text, n = b.text, len(b.text)
+    share, last = (round(4 * b.linked / n) if n else 0), b.node.leaf
+    return [_slot(f) for f in (
+        "always", f"leaf={last}", f"chars={_size(n)}", f"words={_size(text.count(' ') + 1)}", f"links={share}",
+        f"leaf={last} chars={_size(n) // 2}", f"leaf={last} links={share > 1}",
+        f"end={text[-1] in '.!?:;…。' if text else False}", f"mark={'©' in text or '|' in text[:40]}",
+        f"first={i == 0}", f"final={i == len(page) - 1}", f"inside={b.node.inside}",
+    )]
+
+
 def features(page: list[Block]) -> list[list[int]]:
-    """The active features of each block: ancestors, their names, and the text's shape."""
-    out, total = [], len(page)
+    """The active features of each block: ancestors, their names, and the text's shape. For training pages."""
+    out, above = [], Ancestors()
     for i, b in enumerate(page):
-        text, n = b.text, len(b.text)
-        share = round(4 * b.linked / n) if n else 0
-        last = next((t for t in reversed(b.tags) if t not in INLINE), "")
-        on = {f"tag={t}" for t in b.tags} | {f"name={x}" for x in b.names}
-        on |= {
-            "always", f"leaf={last}", f"chars={_size(n)}", f"words={_size(text.count(' ') + 1)}", f"links={share}",
-            f"leaf={last} chars={_size(n) // 2}", f"leaf={last} links={share > 1}",
-            f"end={text[-1] in '.!?:;…。' if text else False}", f"mark={'©' in text or '|' in text[:40]}",
-            f"first={i == 0}", f"final={i == total - 1}", f"inside={any(t in ('article', 'main') for t in b.tags)}",
-        }
-        out.append([_slot(f) for f in on])
+        above.move(b.node)
+        out.append([*above.counts, *own_features(page, i)])
     return out
 
 
@@ -185,11 +286,26 @@ class Field:
     start: np.ndarray
 
     def decode(self, active: list[list[int]]) -> list[int]:
-        """The best sequence of labels (Viterbi)."""
+        """The best sequence of labels for blocks with these features."""
         if not active:
             return []
         lengths = np.fromiter(map(len, active), np.int64, len(active))
-        scores = np.add.reduceat(self.unary[np.concatenate(active)], np.cumsum(lengths) - lengths).tolist()
+        return self.best(np.add.reduceat(self.unary[np.concatenate(active)], np.cumsum(lengths) - lengths).tolist())
+
+    def label(self, page: list[Block]) -> list[int]:
+        """The best sequence of labels for a page; ancestors' weights are summed once, not for each block."""
+        a, b = self.unary.T.tolist()
+        above, scores = Ancestors((a, b)), []
+        for i, block in enumerate(page):
+            above.move(block.node)
+            own = own_features(page, i)
+            scores.append((above.a + sum(a[s] for s in own), above.b + sum(b[s] for s in own)))
+        return self.best(scores)
+
+    def best(self, scores: list) -> list[int]:
+        """The sequence of labels with the greatest sum (Viterbi)."""
+        if not scores:
+            return []
         (a, b), (c, d) = self.step.tolist()
         x, y = scores[0][0] + self.start[0], scores[0][1] + self.start[1]
         back = []
@@ -204,7 +320,7 @@ class Field:
         return path[::-1]
 
 
-def fit(pages: list[tuple[list[list[int]], list[int]]], steps: int = STEPS, penalty: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[list[int]], list[int]]], steps: int = STEPS, penalty: float = 3e-4) -> Field:
     """Maximum likelihood with a quadratic penalty, by Adam on all pages at once."""
     pages = [p for p in pages if p[1]]
     unary, step, start = np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)
@@ -307,12 +423,14 @@ def lay_out(words: list[str], paragraphs: list[str], rng: random.Random) -> tupl
 
     for kind in rng.sample(("header", "menu", "notice", "advert", "form", "sidebar"), rng.randint(1, 5)):
         part(kind)
-    opening = rng.choice(("<article>", "<article>", "<main>", "<main><article>", f'<div class="{rng.choice(BODY)}">', f'<div id="{rng.choice(BODY)}"><article>', f'<section class="{rng.choice(BODY)}">'))
+    name = rng.choice(BODY) if rng.random() < 0.7 else f"{rng.choice(BODY)} {rng.choice(BODY)}"
+    plain = f'<div class="{name}">', f'<div id="{name}">', f'<section class="{name}">', f'<div class="wrapper"><div class="{name}">'
+    opening = rng.choice(("<article>", "<main>", rng.choice(("<main><article>", f'<div id="{name}"><article>')), *plain, *plain[:3]))
     parts.append((opening, 0))
     if rng.random() < 0.8:
         parts.append((f"<{rng.choice(('h1', 'h1', 'h2'))}>{some(rng.randint(2, 9))}</h1>", 1))
     for i, p in enumerate(paragraphs or [some(30)]):
-        shape = rng.choice(("<p>{}</p>",) * 6 + ("<p>{}", "<div>{}</div>", "<blockquote>{}</blockquote>", "<li>{}</li>", "<p><b>{}<br>", "<pre>{}</pre>", "<h2>{}</h2>", '<p><a href="/y">x</a> {}</p>'))
+        shape = rng.choice(("<p>{}</p>",) * 6 + ("<p>{}", "<div>{}</div>", "<blockquote>{}</blockquote>", "<li>{}</li>", "<p><b>{}<br>", "<br>{}<br><br>", "<br>{}<br>", "<pre>{}</pre>", "<h2>{}</h2>", '<p><a href="/y">x</a> {}</p>'))
         parts.append((shape.format(entities.escape(p)), 1))
         if i and rng.random() < 0.06:
             part(rng.choice(("advert", "sidebar", "share", "notice")))
@@ -331,8 +449,8 @@ def labelled(pages: list[str], seed: int = 5) -> Iterator[tuple[list[list[int]],
     rng = random.Random(seed)
     for page in pages:
         texts = [b.text for b in blocks(page or "")]
-        words = " ".join(t[:2000] for t in texts).split()[:500]
-        long = [t[:1500] for t in texts if len(t) > 60]
+        words = " ".join(texts).split()
+        long = [t for t in texts if len(t) > 60]
         for _ in range(LAYOUTS):
             body = rng.sample(long, min(len(long), rng.randint(1, 12)))
             body += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 3)) if words]
@@ -342,10 +460,15 @@ def labelled(pages: list[str], seed: int = 5) -> Iterator[tuple[list[list[int]],
                 yield features(found), labels
 
 
-def train(pages: DataFrame, html: str = "html", key: str = "page_id", limit: int = TRAIN_PAGES) -> Field:
-    """Fit the field on ``limit`` pages, picked by a hash of their key: a bounded sample."""
-    ids = pages.where((F.length(html) > 0) & F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(limit)
-    chosen = [r[0] for r in ids.collect()]  # ids alone are ordered; then the chosen pages are read
+def train(pages: DataFrame, html: str = "html", key: str = "page_id", limit: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> Field:
+    """Fit the field on ``limit`` whole pages of ``chars`` characters in all, picked by a hash of their key: a bounded sample."""
+    size = F.length(html)
+    sizes = pages.where((size > 0) & F.col(key).isNotNull()).groupBy(key).agg(F.max(size).alias("size")).orderBy(F.xxhash64(key), key).limit(limit)
+    chosen, total = [], 0
+    for r in sizes.collect():  # ids and sizes alone are ordered; then the chosen pages are read
+        if not chosen or total + r["size"] <= chars:
+            chosen.append(r[0])
+            total += r["size"]
     picked = pages.where(F.col(key).isin(chosen)).dropDuplicates([key]).orderBy(key).select(html)
     return fit(list(labelled([r[0] for r in picked.collect()])))
 
@@ -367,7 +490,7 @@ def extract(pages: DataFrame, field: Field, html: str = "html", into: str = "tex
             texts = []
             for page in batch.column(html):
                 found = blocks(page.as_py() or "")
-                labels = model.decode(features(found))
+                labels = model.label(found)
                 texts.append(" ".join(b.text for b, y in zip(found, labels) if y))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 

@@ -78,3 +78,59 @@ def test_only_raw_text_is_skipped():
     assert texts("<select><option>x<option>y</select><video>old browser</video><p>z") == ["x", "y", "old browser", "z"]
     assert texts("<math><mi>x<div>after") == ["x", "after"]
     assert texts("a<svg><style>p{}</style></svg><textarea>never closed <p>x") == ["a"]
+
+
+def test_unclosed_elements_keep_what_follows():
+    assert texts("<table><tr><td>a<option>b</table><p>main text") == ["a", "b", "main text"]
+    assert texts("<header><select><option>x</header><p>one") == ["x", "one"]
+    assert texts("<noscript>n<object>o<video>v<p>one")[-1] == "one"
+    assert texts("<iframe>inside</iframe><p>one<iframe src=x><p>two<iframe>three") == ["one", "two", "three"]
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    field = html.fit(list(html.labelled(["<p>" + " ".join(random.Random(1).choices(["ab", "cd"], k=200))] * 3)))
+    began = time.perf_counter()
+    for page in ("<div>x" * 100_000, "<div class=a><span>" * 50_000 + "</b>" * 50_000, "<p><b>" * 50_000 + "<h1>t" * 20_000, "<iframe><p>x" * 20_000):
+        found = html.blocks(page)
+        assert len(field.label(found)) == len(found)
+    assert time.perf_counter() - began < 30
+
+
+def test_running_sums_equal_the_features():
+    rng = np.random.default_rng(3)
+    field = html.Field(rng.standard_normal((html.FEATURES, 2)), rng.standard_normal((2, 2)), rng.standard_normal(2))
+    page = html.blocks('<div class="a b"><nav id=b><a>one</a> x</nav><div class=a><p>two<p>three <i class=c>four</i></div></div><p>five<ul><li>six<li>seven</ul>')
+    assert field.label(page) == field.decode(html.features(page))
+
+
+def test_layouts_line_up(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()]
+    assert len(list(html.labelled(pages))) >= 0.97 * html.LAYOUTS * len(pages)
+
+
+PROSE = ["The committee met on Tuesday to discuss the new budget, and after three hours of debate it agreed on most of the points that had been raised.",
+         "Several members asked for more time to read the reports. They will meet again in two weeks, when the figures from the other towns are known.",
+         "A short one.", "Nobody expects the final vote before the end of the year, although the mayor said that a decision might come sooner than many think."]
+BY_HAND = [
+    '<body><div id="header"><a href=/>Home</a> <a href=/n>News</a></div><div class="content"><h1>Budget talks</h1><p>{0}</p><p>{1}</p></div><div id="footer">&copy; 2024 Town News</div></body>',
+    '<body><ul class="menu"><li><a href=/a>One</a><li><a href=/b>Two</a></ul><main><h2>Budget talks</h2><p>{0}<p>{2}<p>{3}</main><aside class="related"><a href=/x>More on this</a></aside></body>',
+    '<div class="cookie-banner"><p>We use cookies.</p><button>OK</button></div><div class="story"><p>{1}</p><div class="ad">Buy now.</div><p>{3}</p></div><div class="comments"><div class="comment"><p>First!</p></div><div class="comment"><p>I agree with this.</p></div></div>',
+    '<section class="post"><h1>Budget talks</h1>{0}<br><br>{1}</section><form class="newsletter"><label>Mail</label><input><button>Sign up</button></form><footer>Imprint | Contact</footer>',
+    '<nav><a href=1>Start</a></nav><div id="main"><blockquote>{0}</blockquote><ul><li>{1}</li><li>{3}</li></ul></div><div class="sidebar"><ul><li><a href=2>Popular story</a></li><li><a href=3>Another story</a></li></ul></div>',
+]
+TITLES = [["Budget talks", 0, 1], ["Budget talks", 0, 2, 3], [1, 3], ["Budget talks", 0, 1], [0, 1, 3]]
+
+
+def test_pages_without_article(spark):
+    field = html.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    right = total = 0
+    for page, wanted in zip(BY_HAND, TITLES):
+        found = html.blocks(page.format(*PROSE))
+        main = {PROSE[x] if isinstance(x, int) else x for x in wanted}
+        labels = field.label(found)
+        assert {b.text for b in found} >= main
+        right += sum((b.text in main) == bool(y) for b, y in zip(found, labels))
+        total += len(found)
+    assert right >= 0.9 * total, f"{right} of {total}"

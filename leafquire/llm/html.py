@@ -208,6 +208,7 @@ def blocks(page: str) -> list[Block]:
 
 
 _slots: dict[str, int] = {}
+_node_slots: dict[tuple[str, frozenset[str]], frozenset[int]] = {}
 
 
 def _slot(feature: str) -> int:
@@ -231,8 +232,13 @@ class Ancestors:
         self.counts: dict[int, int] = {}
         self.weights, self.a, self.b = weights, 0.0, 0.0
 
-    def _slots_of(self, node: Node) -> set[int]:
-        return {_slot(f"tag={node.tag}"), *(_slot(f"name={x}") for x in node.names)}
+    def _slots_of(self, node: Node) -> frozenset[int]:
+        found = _node_slots.get((node.tag, node.names))
+        if found is None:
+            found = frozenset({_slot(f"tag={node.tag}"), *(_slot(f"name={x}") for x in node.names)})
+            if len(_node_slots) < 20_000:
+                _node_slots[node.tag, node.names] = found
+        return found
 
     def move(self, node: Node) -> None:
         path, new = self.path, []
@@ -284,6 +290,7 @@ class Field:
     unary: np.ndarray  # features x 2
     step: np.ndarray  # label before x label
     start: np.ndarray
+    lists: tuple[list[float], list[float]] | None = None  # ``unary`` once more, made where it is first used
 
     def decode(self, active: list[list[int]]) -> list[int]:
         """The best sequence of labels for blocks with these features."""
@@ -294,8 +301,10 @@ class Field:
 
     def label(self, page: list[Block]) -> list[int]:
         """The best sequence of labels for a page; ancestors' weights are summed once, not for each block."""
-        a, b = self.unary.T.tolist()
-        above, scores = Ancestors((a, b)), []
+        if self.lists is None:
+            self.lists = tuple(self.unary.T.tolist())
+        a, b = self.lists
+        above, scores = Ancestors(self.lists), []
         for i, block in enumerate(page):
             above.move(block.node)
             own = own_features(page, i)

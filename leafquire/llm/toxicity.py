@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Hashable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -14,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafquire.llm.shared import materialize, table
+from leafquire.llm.shared import about, materialize, table
 
 THRESHOLD = 0.3
 #: Weights are learned from about this many labelled rows, picked by a hash of their id.
 SAMPLE = 12_000
 PREFIXES = range(3, 8)
-#: A learned pattern occurs in this share of toxic texts, this many times as often as in
-#: others, and the two shares differ by so many standard errors.
+#: A learned pattern occurs in this share of toxic texts, with this many times as many words a
+#: text as in others, and the two rates differ by so many standard errors.
 SUPPORT, LIFT, ERRORS = 0.01, 5.0, 6.0
 #: How far negation, reporting and a target reach, in words.
 NEAR = 4
@@ -40,9 +42,110 @@ SEEDS = {
 }
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CLAUSE_ENDS = re.compile(r"[.!?;:\n|…。！？]")
-_QUOTES = re.compile(r"[\"“”„«»]")
+_TOKENS = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 #: What a clause can say, in the order of the final weights.
 KINDS = ("plain", "aimed", "negated", "reported", "threat")
+ATTACKS = ("insult", "threat")
+#: The grammar: one transducer a row, composed in this order. Where it acts on its signal,
+#: the mark that it puts on attacks without one, and how many words it reaches (None: to the clause's end).
+RULES = (
+    ("after", "negation", "negated", NEAR),
+    ("after", "report", "reported", None),
+    ("between", "quote", "reported", None),
+    ("beside", "target", "aimed", NEAR),
+)
+#: What a marked attack counts as; a threat without a target says nothing.
+SAID = {"insult": "plain", "insult/aimed": "aimed", "threat/aimed": "threat", **{f"{a}/{m}": m for a in ATTACKS for m in ("negated", "reported")}}
+
+
+@dataclass
+class Transducer:
+    """States and weighted arcs: ``arcs[state][symbol]`` lists ``(symbol out, weight, next state)``.
+
+    A path reads a clause's symbols from ``start`` to one of ``finals``; of all paths the
+    one with the greatest weight counts. A symbol without arcs ends a path.
+    """
+
+    start: Hashable
+    arcs: dict[Hashable, dict[str, list[tuple[str, float, Hashable]]]]
+    finals: set[Hashable]
+
+    @classmethod
+    def explore(cls, start: Hashable, symbols: Iterable[str], step: Callable, final: Callable = lambda state: True) -> Transducer:
+        """The machine whose arcs ``step(state, symbol)`` lists, with all states that ``start`` reaches."""
+        arcs, todo = {}, [start]
+        while todo:
+            state = todo.pop()
+            if state not in arcs:
+                arcs[state] = {x: out for x in symbols if (out := step(state, x))}
+                todo += [to for out in arcs[state].values() for _, _, to in out]
+        return cls(start, arcs, {s for s in arcs if final(s)})
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this machine writes is what the other one reads."""
+        symbols = {x for arcs in self.arcs.values() for x in arcs}
+
+        def step(state, x):
+            a, b = state
+            return [(z, v + w, (to, on)) for y, v, to in self.arcs[a].get(x, ()) for z, w, on in other.arcs[b].get(y, ())]
+
+        return Transducer.explore((self.start, other.start), symbols, step, lambda s: s[0] in self.finals and s[1] in other.finals)
+
+    def best(self, symbols: list[str]) -> list[str]:
+        """What the path of greatest weight writes; ties go to the first arc."""
+        paths = {self.start: (0.0, None)}
+        for x in symbols:
+            new: dict = {}
+            for state, (weight, path) in paths.items():
+                for y, w, to in self.arcs[state].get(x, ()):
+                    if to not in new or weight + w > new[to][0]:
+                        new[to] = weight + w, (y, path)
+            paths = new
+        path = max((p for s, p in paths.items() if s in self.finals), key=lambda p: p[0])[1]
+        out = []
+        while path:
+            out.append(path[0])
+            path = path[1]
+        return out[::-1]
+
+
+def transducer(where: str, signal: str, mark: str, reach: int | None) -> Transducer:
+    """The machine of one row of ``RULES``."""
+    symbols = ["word", *SEEDS, "quote", *(f"{a}/{m}" for a in ATTACKS for _, _, m, _ in RULES)]
+    marked = lambda x: f"{x}/{mark}" if x in ATTACKS else x
+    counts = lambda x: int(x != "quote")  # noqa: E731  quotes are no words
+
+    def after(left, x):
+        if x == signal:
+            return [(x, 0.0, reach or -1)]
+        return [(marked(x) if left else x, 0.0, left if left < 0 else max(0, left - counts(x)))]
+
+    def between(inside, x):
+        return [(marked(x) if inside else x, 0.0, not inside if x == signal else inside)]
+
+    def beside(state, x):
+        """Words since the last signal, and words in which one must come for the attacks that were marked before it."""
+        since, due = state
+        if x == signal:
+            return [(x, 0.0, (0, 0))]
+        if due and counts(x) and due == 1:
+            return []
+        then = (min(reach, since + counts(x)), due and due - counts(x))
+        if x not in ATTACKS:
+            return [(x, 0.0, then)]
+        if since < reach:
+            return [(marked(x), 1.0, then)]
+        return [(x, 0.0, then), (marked(x), 1.0, (then[0], then[1] or reach))]
+
+    if where == "beside":
+        return Transducer.explore((reach, 0), symbols, beside, lambda s: not s[1])
+    return Transducer.explore(0 if where == "after" else False, symbols, {"after": after, "between": between}[where])
+
+
+@lru_cache
+def grammar_machine() -> Transducer:
+    """All rows of ``RULES``, composed."""
+    return reduce(Transducer.then, (transducer(*row) for row in RULES))
 
 
 @dataclass
@@ -54,14 +157,15 @@ class Grammar:
 
 
 class Transducers:
-    """The grammar's machines, composed: lexicon, then negation, reporting and target.
+    """The lexicon, which turns words into weighted symbols, before the composed grammar.
 
     The lexicon runs over the whole text as one automaton. Only clauses in which it
-    finds an insult or a threat go through the others, word by word.
+    finds an insult or a threat go through the composition.
     """
 
     def __init__(self, grammar: Grammar):
         self.theta = grammar.theta
+        self.machine = grammar_machine()
         self.words = {w: kind for kind, ws in SEEDS.items() if kind not in ("insult",) for w in ws.split()}
         self.whole = {p: w for p, w in grammar.patterns.items() if not p.endswith("*")}
         self.open = {p[:-1]: w for p, w in grammar.patterns.items() if p.endswith("*")}
@@ -78,49 +182,20 @@ class Transducers:
                 best = max(best, self.open.get(word[:n], 0.0))
         return best
 
-    def clause(self, text: str) -> dict[str, float]:
-        """What a clause says, by kind, with its weight.
+    def symbol(self, token: str) -> tuple[str, float]:
+        """What the lexicon writes for a token, and an attack's weight."""
+        if not token[0].isalpha():
+            return "quote", 0.0
+        weight, kind = self.insult(token), self.words.get(token, "word")
+        return ("insult", weight) if weight else (kind, float(kind in ATTACKS))
 
-        States: words left of a negation's reach, whether a report or a quote is open, and
-        words since the last target. A target after an insult reaches back as far.
-        """
+    def clause(self, text: str) -> dict[str, float]:
+        """What a clause says, by kind, with its weight."""
         said = dict.fromkeys(KINDS, 0.0)
-        quotes = [m.start() for m in _QUOTES.finditer(text)]
-        negated, reported, since, at_quote = 0, False, NEAR + 1, 0
-        waiting: list[list] = []  # plain insults and threats that a target may still follow: [kind, weight, words ago]
-        for m in _LETTERS.finditer(text):
-            word = m[0]
-            while at_quote < len(quotes) and quotes[at_quote] < m.start():
-                at_quote += 1
-            quoted = at_quote % 2 == 1
-            negated, since = max(0, negated - 1), since + 1
-            for w in waiting:
-                w[2] += 1
-            while waiting and waiting[0][2] > NEAR:
-                kind, weight, _ = waiting.pop(0)
-                said["plain"] += weight if kind == "insult" else 0.0
-            kind = self.words.get(word)
-            weight = self.insult(word)
-            if weight or kind == "threat":
-                if negated:
-                    said["negated"] += weight or 1.0
-                elif reported or quoted:
-                    said["reported"] += weight or 1.0
-                elif since <= NEAR:
-                    said["aimed" if weight else "threat"] += weight or 1.0
-                else:
-                    waiting.append(["insult" if weight else "threat", weight or 1.0, 0])
-            elif kind == "negation":
-                negated = NEAR + 1
-            elif kind == "report":
-                reported = True
-            elif kind == "target":
-                since = 0
-                for k, w, _ in waiting:
-                    said["aimed" if k == "insult" else "threat"] += w
-                waiting = []
-        for kind, weight, _ in waiting:
-            said["plain"] += weight if kind == "insult" else 0.0
+        tokens = [self.symbol(m[0]) for m in _TOKENS.finditer(text)]
+        for (_, weight), out in zip(tokens, self.machine.best([x for x, _ in tokens])):
+            if out in SAID:
+                said[SAID[out]] += weight
         return said
 
     def matched(self, text: str) -> list[tuple[int, int, dict[str, float]]]:
@@ -162,15 +237,14 @@ def held_out(key):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
-    """``(text, toxic, weight)`` of at most about ``sample`` labelled rows outside the held-out part.
+    """``(text, toxic, weight)`` of about ``sample`` labelled rows outside the held-out part, never over twice that.
 
     Copies and near copies share a weight of one: rows whose least word hash is equal
     count as one group.
     """
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     named = named.groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
-    limit = math.ceil(min(1.0, sample / max(1, named.count())) * (1 << 20))
-    few = named.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 20)) < limit)
+    few = named.where(about(sample / max(1, named.count()), F.col(key))).limit(2 * sample)
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few), key).dropDuplicates([key])
     least = F.array_min(F.transform(F.split("text", r"\s+"), lambda w: F.xxhash64(w)))
     rows = materialize(rows.select("text", "toxic", least.alias("least")))
@@ -181,45 +255,46 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 def learn_patterns(rows: DataFrame) -> dict[str, float]:
     """Words and beginnings of words that mark toxic texts, with weights in (0, 2].
 
-    Counts of texts per word and per beginning are summed in Spark; of beginnings of the
+    A pattern is counted by the different words of a text that have it: a text that is
+    toxic holds several, others one by chance. Counts are summed in Spark; of beginnings of the
     same support only the longest is kept, and of others the shortest that marks as well.
     """
 
     def count(batches):
-        tally: Counter = Counter()
+        tally: dict[tuple[str, int], list[float]] = {}  # texts, and different words in them
 
         def emit():
             names = list({k for k, _ in tally})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([tally[k, 1] for k in names], pa.float64()), pa.array([tally[k, 0] for k in names], pa.float64())],
-                names=["pattern", "a", "b"],
-            )
+            of = lambda label, i: pa.array([tally.get((k, label), (0.0, 0.0))[i] for k in names], pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), of(1, 0), of(1, 1), of(0, 1)], names=["pattern", "texts", "a", "b"])
 
         for batch in batches:
             for text, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight"))):
-                found = set()
+                found: Counter = Counter()
                 for word in set(_LETTERS.findall(text.lower())):
-                    found.add(word)
-                    found.update(word[:n] + "*" for n in PREFIXES if n < len(word))
-                for p in found:
-                    tally[p, int(toxic > 0)] += weight
+                    found[word] += 1
+                    found.update([word[:n] + "*" for n in PREFIXES if n < len(word)])
+                for p, n in found.items():
+                    one = tally.setdefault((p, int(toxic > 0)), [0.0, 0.0])
+                    one[0] += weight
+                    one[1] += weight * n
                 if len(tally) > COUNTED:
                     yield from emit()
-                    tally = Counter()
+                    tally = {}
         yield from emit()
 
     totals = {r.toxic > 0: r.n for r in rows.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     toxic, clean = totals.get(True, 0.0), totals.get(False, 0.0)
     if toxic < 1:
         return {}
-    counts = rows.mapInArrow(count, "pattern string, a double, b double").groupBy("pattern").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = rows.mapInArrow(count, "pattern string, texts double, a double, b double").groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("texts", "a", "b")])
     lift = ((F.col("a") + 0.1) / (toxic + 1)) / ((F.col("b") + 0.1) / (clean + 1))
-    share = (F.col("a") + F.col("b")) / (toxic + clean)
-    spread = F.sqrt(share * (1 - share) * (1 / toxic + 1 / max(clean, 1.0)))
+    rate = (F.col("a") + F.col("b")) / (toxic + clean)
+    spread = F.sqrt(rate * (1 / toxic + 1 / max(clean, 1.0)))
     sure = F.col("a") / toxic - F.col("b") / max(clean, 1.0) >= ERRORS * spread
     # At least SUPPORT of the toxic texts hold each of them, so they are few.
-    least = max(3.0, SUPPORT * toxic)
-    found = {r.pattern: (r.a, r.lift) for r in counts.withColumn("lift", lift).where((F.col("a") >= least) & (F.col("lift") >= LIFT) & sure).collect()}
+    least = max(2.0, SUPPORT * toxic)
+    found = {r.pattern: (r.a, r.lift) for r in counts.withColumn("lift", lift).where((F.col("texts") >= least) & (F.col("lift") >= LIFT) & sure).collect()}
     kept = {}
     for p, (a, lift) in found.items():
         stem = p.rstrip("*")

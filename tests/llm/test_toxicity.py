@@ -66,3 +66,34 @@ def test_nulls_empty_and_clashes(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     grammar = toxicity.train(none, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(none, grammar).count() == 0
+
+
+def test_composition_is_order_of_reading():
+    """A composed machine writes what its parts write one after the other."""
+    a, b = (toxicity.transducer(*row) for row in toxicity.RULES[:2])
+    both = a.then(b)
+    for symbols in (["negation", "insult", "word", "threat"], ["report", "insult", "negation", "insult"], ["insult", "quote", "threat", "quote"]):
+        assert both.best(symbols) == b.best(a.best(symbols))
+    assert toxicity.transducer("between", "quote", "reported", None).best(["insult", "quote", "insult", "quote", "threat"]) == ["insult", "quote", "insult/reported", "quote", "threat"]
+    beside = toxicity.transducer("beside", "target", "aimed", 2)
+    assert beside.best(["insult", "word", "target"]) == ["insult/aimed", "word", "target"]
+    assert beside.best(["insult", "word", "word", "target"]) == ["insult", "word", "word", "target"]
+    assert beside.best(["target", "word", "insult", "insult"]) == ["target", "word", "insult/aimed", "insult"]
+
+
+def test_a_new_rule_is_a_new_row(monkeypatch):
+    rules = (*toxicity.RULES[:3], ("after", "question", "asked", 2), toxicity.RULES[3])
+    monkeypatch.setattr(toxicity, "RULES", rules)
+    monkeypatch.setitem(toxicity.SEEDS, "question", "why")
+    machine = toxicity.transducer(*rules[0])
+    for row in rules[1:]:
+        machine = machine.then(toxicity.transducer(*row))
+    assert machine.best(["question", "insult", "target"]) == ["question", "insult/asked", "target"]
+
+
+def test_few_labels(spark):
+    """Held-out rows of a table with some fifty toxic labels; small classes of words are found by their beginnings."""
+    sf = "/root/testdata/sf0.01"
+    rows = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted and r.toxic for r in rows) >= 0.7 * sum(r.toxic for r in rows)
+    assert sum(r.predicted and not r.toxic for r in rows) <= 0.05 * sum(not r.toxic for r in rows)

@@ -51,12 +51,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def measure(df: DataFrame, key: str, text: str, weight: str | None, seed: str, ranges: int) -> DataFrame:
-    """Add ``size``, the sampling key ``mix_key`` and its range ``mix_range``: a map, no shuffle."""
+    """Add ``size``, the sampling key ``mix_key`` and its range ``mix_range``: a map, no shuffle.
+
+    The chance behind a sampling key depends on the row's key and text, so rows that share
+    a key, or have none, do not share a range.
+    """
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(1e-6)) if weight else quality(F.col(text))
     k = F.col("mix_key")
     return (
         df.withColumn("size", word_count(F.col(text)))
-        .withColumn("mix_key", -F.log(uniform(seed, F.col(key))) / w)
+        .withColumn("mix_key", -F.log(uniform(seed, F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))) / w)
         .withColumn("mix_range", F.floor(k / (1 + k) * ranges).cast("int"))  # monotone in the key
     )
 
@@ -107,16 +111,17 @@ def mix(
 
     A target holds whole epochs of its source plus a rest. All documents are taken once
     for each epoch; the rest goes to documents in the order of their keys ``-ln(u) / w``,
-    where ``u`` depends on key and seed alone, so reruns agree. Keys are summed by ranges
+    where ``u`` depends on key, text and seed alone, so reruns agree. Keys are summed by ranges
     (at most sources x ``ranges`` sums); only the range with a source's budget line is
     sorted, so a source with a third of all rows is not one task. The document on the
     line gives the words that still fit if ``split``, else all of them if at least half
     of them fit. Null texts have size 0 and take 0; a null source is a source; rows with
-    equal keys are ordered by size. Other columns stay, those with the new names or with
+    equal sampling keys are ordered by size. Other columns stay, those with the new names or with
     names that begin with ``mix_`` are replaced. An empty table gives no rows.
     """
     own = {"source_size", "target", "taken", "mix_source", "mix_part", "mix_key", "mix_range", "epochs", "rest", "line"} - {key, text, source, weight}
-    measured = measure(df.drop(*own), key, text, weight, seed, ranges)
+    # Written once with the texts, which are measured once; both later steps read it.
+    measured = materialize(measure(df.drop(*own), key, text, weight, seed, ranges))
     lines = materialize(budget_lines(measured, source, weights, share, most))
     return decide(measured, lines, key, source, split)
 

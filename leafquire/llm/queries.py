@@ -87,14 +87,14 @@ s(key, k, b, j) AS (
   FROM (SELECT key, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS n FROM s WHERE j < 40)),
 p AS (
   SELECT c.*, s.b AS shard, CASE WHEN s.j = 40 THEN 40 ELSE s.b END AS grown,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 64 AS part
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS part
   FROM c JOIN s ON c.doc_id IS NOT DISTINCT FROM s.key AND s.j >= 40)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
   (row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
 FROM p""",
     "op10_mixing": rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0)) || chr(1) || 'leafquire-mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0)) || chr(1) || md5(coalesce(text, '')) || chr(1) || 'leafquire-mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
     / (1.0 - 0.9 * least(1.0, 4.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>!_=~^\{{}}[]@', ''))) / greatest(length(coalesce(text, '')), 1))) AS k
   FROM documents),
 s AS (

@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from leafquire.llm.shared import fresh, table
 
 SHARDS = 40
-#: Ranks inside a shard are counted in this many parts, so no task holds a whole shard.
-PARTS = 64
+#: Rows of a shard are ordered by a hash of their key, in this many ranges of it, so no task
+#: holds a whole shard. Slots do not depend on the number.
+PARTS = 1024
+#: A row that repeats more often than this is dealt to several tasks.
+REPEATS = 1000
 #: Fixed values of the published jump hash: the multiplier of its 64-bit generator.
 MULTIPLIER = 2862933555777941757
 
@@ -60,37 +63,38 @@ def assign(df: DataFrame, key: str, shards: int = SHARDS, into: str = "shard", g
     )
 
 
-def _part(parts: int) -> Column:
-    digest = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % parts).cast("int")
+def _order(key: str) -> Column:
+    """32 bits of a hash of the key: rows of a shard stand in this order."""
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
 def ledger(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, parts: int = PARTS) -> DataFrame:
     """One row per input row: key, size, text_crc32, shard, grown_shard and slot.
 
     ``size`` is the text's UTF-8 bytes plus 16 (null: 16), ``slot`` numbers the rows of
-    a shard from 0 without gaps. Equal rows are counted before they are dealt, so a key
-    that repeats never fills one task; they take neighbouring slots. Ties cannot
+    a shard from 0 without gaps, in the order of a hash of the key. Equal rows are counted
+    before they are dealt, so a key that repeats never fills one task; they take
+    neighbouring slots, and many of them are written by many tasks. Ties cannot
     matter: rows that agree in key, size and checksum are interchangeable. Extra
     columns are not read; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     thin = df.select(F.col(key).alias("key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("crc"))
     groups = thin.groupBy("key", "size", "crc").agg(F.count("*").alias("n"))
-    groups = assign(groups, "key", shards).withColumn("part", _part(parts))
+    groups = assign(groups, "key", shards).withColumn("hash", _order("key")).withColumn("part", F.floor(F.col("hash") * parts / 2**32).cast("int"))
     # At most shards x parts rows, whatever the input: one small table of offsets.
     sums = groups.groupBy("shard", "part").agg(F.sum("n").alias("rows"))
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("shard", "part").orderBy("key", "size", "crc").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        groups.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(F.broadcast(sums), ["shard", "part"])
-        .select(
-            F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "grown_shard",
-            F.explode(F.sequence(F.col("base") + F.col("ahead"), F.col("base") + F.col("ahead") + F.col("n") - 1)).alias("slot"),
-        )
-    )
+    inside = W.partitionBy("shard", "part").orderBy("hash", "key", "size", "crc").rowsBetween(W.unboundedPreceding, -1)
+    placed = groups.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(sums), ["shard", "part"])
+    placed = placed.select("key", "size", "crc", "shard", "grown_shard", "n", (F.col("base") + F.col("ahead")).alias("first"))
+    few = placed.where(F.col("n") <= REPEATS)
+    many = placed.where(F.col("n") > REPEATS).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long"))))
+    many = many.withColumn("first", F.col("first") + F.col("at")).withColumn("n", F.least(F.lit(REPEATS), F.col("n") - F.col("at"))).drop("at").repartition("first")
+    slots = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
+    return few.unionByName(many).select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "grown_shard", slots.alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS) -> None:

@@ -33,26 +33,30 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8 or more."""
-    judged = minhash.near_duplicates(docs)
-    gone = materialize(judged.where(~F.col("kept")).select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti")
-    # Rows that repeat a key are one document; only they need to meet.
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = materialize(twice)
-    if not twice.limit(1).count():
-        return left.select(*docs.columns)
-    once = left.join(twice, "doc_id", "left_anti")
-    return once.select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One document of each group that five-word shingles link at 0.8 or more.
+
+    Five words are the rule for stages; the query ``op2_minhash`` has a contract with four.
+    Rows without an id or without words stay; rows that share an id are judged each by
+    its own text, and of those that also share the text one stays.
+    """
+    return minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole."""
+    """Documents as often as the mix takes them, whole.
+
+    A null source is a source. Texts without words are taken 0 times. Rows with equal
+    sampling keys are ordered by size, then id. An empty table stays empty.
+    """
     return mixing.repeat(mixing.mix(docs, split=False)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their count."""
+    """Token ids of every document, with their count, in place of its text.
+
+    A null or empty text has no ids and the count 0. Repeated rows are encoded each; an
+    empty table stays empty. A column of ``docs`` named like a new one keeps its name.
+    """
     ids, n = fresh(docs, "ids", "n_tokens")
     return bpe.encode(docs, ids=ids).withColumn(n, F.size(ids).cast("long")).drop("text")
 

@@ -131,7 +131,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 def text_print(text) -> Column:
     """A fingerprint of a whole text (a column): 128 bits; null counts as empty."""
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def sketch(df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
@@ -141,7 +141,7 @@ def sketch(df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame
     set (null for none), ``regs`` the registers and ``bands`` the band keys.
     """
     schema = T.StructType([
-        T.StructField("key", df.schema[key].dataType), T.StructField("print", T.StringType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
+        T.StructField("key", df.schema[key].dataType), T.StructField("print", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
         T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
     ])
 
@@ -281,7 +281,8 @@ def _sets(docs: DataFrame, named: DataFrame, reps: DataFrame, key: str, text: st
             out = [shingles(t.as_buffer() if t.is_valid else b"", size).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "set"])
 
-    wanted = reps.join(named, "node", "left_semi").select("node", F.col("key").alias("_key"), F.col("print").alias("_print"))
+    # Written first: its true size decides whether the texts must be shuffled to it.
+    wanted = materialize(reps.select("node", F.col("key").alias("_key"), F.col("print").alias("_print")).join(named, "node", "left_semi"))
     texts = docs.select(F.col(key).alias("_key"), text_print(F.col(text)).alias("_print"), F.col(text).cast("binary").alias("text"))
     texts = texts.join(wanted, ["_key", "_print"]).select("node", "text")
     return materialize(texts.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]))

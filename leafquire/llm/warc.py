@@ -79,15 +79,17 @@ def record(row_key: str, url: str, date: str = DATE) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST_REVISIT) -> None:
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST_REVISIT, compression: str = "none") -> None:
     """Write one record for each row. Each task writes one archive file.
 
+    With ``compression="gzip"`` an archive is read by one task; plain ones are split.
+
     The text writer's separator is the two line breaks that end a WARC record, so its
     files are archives byte for byte, in any file system that Spark can write to.
     """
     slim = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(body).alias("html"))
     records = describe(slim, least=least).select(record("page_id", "url").alias("value"))
-    records.write.mode("overwrite").option("lineSep", END).text(path)
+    records.write.mode("overwrite").option("lineSep", END).option("compression", compression).text(path)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -237,7 +239,7 @@ def page_of(urn: Column) -> Column:
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
-    write_archives(table(spark, sf_dir, "pages"), path)
+    write_archives(table(spark, sf_dir, "pages"), path, compression="gzip")
     back = read_archives(spark, path).withColumn("page_id", page_of(F.col("record_id"))).withColumn("refers_to", page_of(F.col("refers_to")))
     back = materialize(back.select(
         "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"),

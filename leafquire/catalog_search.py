@@ -171,7 +171,7 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chu
 @query(_HYBRID + "SELECT query_id, rank::INTEGER AS rank, section_id, chunk_id AS matched_chunk_id, round(score, 6) AS score, keyword_only FROM res JOIN ko USING (query_id) WHERE rank <= 5")
 def hybrid_results(spark, sf):
     """Hybrid search; a passage without a vector is answered by keywords alone, and says so."""
-    found = search.hybrid_search(S.queries(spark, sf), S.chunks(spark, sf), None, None, S.vectors(spark, sf))
+    found = search.hybrid_search(S.hybrid_queries(spark, sf), S.chunks(spark, sf), None, None, S.vectors(spark, sf))
     return found.withColumn("score", _sixth("score"))
 
 
@@ -183,7 +183,7 @@ FROM ex JOIN ko USING (query_id) GROUP BY query_id, keyword_only""")
 def result_texts(spark, sf):
     """What is shown for each query: the answer's sections with path, source and snippet."""
     tables = {"chunks": S.chunks(spark, sf), "sections": S.sections(spark, sf)}
-    shown = context.result_text(jobs.answer(S.queries(spark, sf), tables, S.vectors(spark, sf)))
+    shown = context.result_text(jobs.answer(S.hybrid_queries(spark, sf), tables, S.vectors(spark, sf)))
     return shown.select("query_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

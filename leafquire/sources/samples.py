@@ -38,15 +38,16 @@ def sections(spark, sf_dir: str) -> DataFrame:
 
 
 def queries(spark, sf_dir: str) -> DataFrame:
-    """Each whole benchmark passage as a query; every third looks in English only, every fifth in one source.
-
-    Passages that share a number with one of ``vector_queries`` have its vector.
-    """
-    b = table(spark, sf_dir, "benchmark").select(
+    """Each whole benchmark passage as a query; every third looks in English only, every fifth in one source."""
+    return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"),
         F.when(F.col("item_id") % 5 == 0, "src1").alias("doc_id"), F.when(F.col("item_id") % 3 == 0, "en").alias("content_type"),
     )
-    return b.join(vector_queries(spark, sf_dir).select("query_id", "embedding"), "query_id", "left")
+
+
+def hybrid_queries(spark, sf_dir: str) -> DataFrame:
+    """``queries``; those that share a number with one of ``vector_queries`` have its vector."""
+    return queries(spark, sf_dir).join(vector_queries(spark, sf_dir).select("query_id", "embedding"), "query_id", "left")
 
 
 def vectors(spark, sf_dir: str) -> DataFrame:

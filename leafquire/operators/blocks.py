@@ -34,7 +34,8 @@ def gate_tables(tables: DataFrame) -> DataFrame:
     nor hold over half of their text in one cell.
     """
     rows = F.filter(F.transform("rows", lambda r: F.transform(r, X.clean_cell)), lambda r: F.exists(r, lambda c: c != ""))
-    out = tables.withColumn("rows", rows).where(F.size("rows") >= 2)
+    # Behind explode the cells are cleaned once, not anew in each condition pushed down to the scan.
+    out = tables.withColumn("rows", F.explode(F.array(rows))).where(F.size("rows") >= 2)
     cells = F.flatten("rows")
     joined = F.array_join(cells, " ")
     total = F.aggregate(cells, F.lit(0), lambda s, c: s + F.length(c))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
+from leafquire.sources.stage import staged
 
 JOINED_LINES = 4
 BACK, FORWARD = 1, 3
@@ -112,7 +113,15 @@ def _windows(entries: DataFrame, profiles: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(joined: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(joined, target)])
+    """The ratio of each pair; a cheaper upper bound in its place where that is already too low."""
+    out, match = [], difflib.SequenceMatcher()
+    for a, b in zip(joined, target):
+        if b != match.b:
+            match.set_seq2(b)
+        match.set_seq1(a)
+        bound = match.quick_ratio()
+        out.append(match.ratio() if bound >= P.FUZZY_MIN else bound)
+    return pd.Series(out, dtype=float)
 
 
 def pin_headings(entries: DataFrame, lines: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -124,7 +133,8 @@ def pin_headings(entries: DataFrame, lines: DataFrame, profiles: DataFrame) -> D
     0.72 or more on the earliest such page; the rest to the stated page's top ('none').
     """
     wanted = _windows(entries, profiles).select("doc_id", "ord", "targets", F.explode("pages").alias("page_pdf"))
-    pairs = wanted.join(_joined_keys(lines, profiles), ["doc_id", "page_pdf"]).withColumn("target", F.explode("targets"))
+    keys = staged(_joined_keys(lines, profiles))
+    pairs = wanted.join(keys, ["doc_id", "page_pdf"]).withColumn("target", F.explode("targets"))
     fits = F.col("joined").startswith(F.col("target"))
     score = 2 * F.length("target") / (F.length("joined") + F.length("target"))
     # A longer run counts only if every shorter one is itself the beginning of a target.
@@ -134,9 +144,12 @@ def pin_headings(entries: DataFrame, lines: DataFrame, profiles: DataFrame) -> D
     hits = pairs.where(fits).withColumn("exact", F.col("joined") == F.col("target")).withColumn("score", score)
     entry = W.partitionBy("doc_id", "ord")
     best = entry.orderBy("page_pdf", F.col("exact").desc(), F.when(F.col("exact"), 0.0).otherwise(F.col("score")).desc(), "n", "extra")
-    sure = hits.withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "ord", "page_pdf", "y0", F.when(F.col("exact"), "exact").otherwise("prefix").alias("method"))
+    sure = staged(hits.withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "ord", "page_pdf", "y0", F.when(F.col("exact"), "exact").otherwise("prefix").alias("method")))
     left = wanted.join(sure.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti")
-    near = left.join(_joined_keys(lines, profiles), ["doc_id", "page_pdf"]).withColumn("target", F.explode("targets")).withColumn("score", _ratio("joined", "target")).where(F.col("score") >= P.FUZZY_MIN)
+    # At most the shorter one of a pair can match whole, which rules out most pairs by their lengths.
+    most = 2 * F.least(F.length("joined"), F.length("target")) / (F.length("joined") + F.length("target"))
+    near = left.join(keys, ["doc_id", "page_pdf"]).withColumn("target", F.explode("targets")).where(most >= P.FUZZY_MIN)
+    near = near.withColumn("score", _ratio("joined", "target")).where(F.col("score") >= P.FUZZY_MIN)
     order = entry.orderBy("page_pdf", F.col("score").desc(), "n", "extra")
     fuzzy = near.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "ord", "page_pdf", "y0", F.lit("fuzzy").alias("method"))
     found = sure.unionByName(fuzzy)

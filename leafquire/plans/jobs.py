@@ -25,7 +25,8 @@ def build(lines: DataFrame, profiles: DataFrame, raw_tables: DataFrame, entries:
 def assemble(lines: DataFrame, profiles: DataFrame, raw_tables: DataFrame, headings: DataFrame) -> dict[str, DataFrame]:
     """The build from pinned headings on."""
     body = layout.body_lines(lines)
-    tables = blocks.residual_lines(blocks.table_captions(blocks.gate_tables(raw_tables), body), body)
+    gated = staged(blocks.gate_tables(raw_tables))
+    tables = blocks.residual_lines(blocks.table_captions(gated, body), body)
     ordered = layout.section_spans(headings, profiles)
     toc = profiles.select("doc_id", F.explode("toc_pdf_pages").alias("page_pdf"), F.lit(True).alias("toc"))
     placed = layout.assign(body, ordered).join(toc, ["doc_id", "page_pdf"], "left").where("place > 0 OR toc IS NULL").drop("toc")

@@ -9,11 +9,15 @@ from leafquire.llm.html import op5_html
 from leafquire.llm.minhash import op2_minhash
 from leafquire.llm.mixing import op10_mixing
 from leafquire.llm.quality import op8_quality
+from leafquire.llm.runs import op13_runs
 from leafquire.llm.sharding import op9_sharding
 from leafquire.llm.toxicity import op3_toxicity
 from leafquire.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat, op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing, op13_runs)
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -6,6 +6,7 @@ from leafquire.llm.bpe import op7_bpe
 from leafquire.llm.chat import op1_chat
 from leafquire.llm.embeddings import op4_embeddings
 from leafquire.llm.html import op5_html
+from leafquire.llm.language import op12_language
 from leafquire.llm.minhash import op2_minhash
 from leafquire.llm.mixing import op10_mixing
 from leafquire.llm.quality import op8_quality
@@ -16,7 +17,7 @@ from leafquire.llm.warc import op6_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat, op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing, op13_runs)
+    for f in (op1_chat, op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing, op12_language, op13_runs)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

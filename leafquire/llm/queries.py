@@ -9,6 +9,7 @@ from leafquire.llm.html import op5_html
 from leafquire.llm.language import op12_language
 from leafquire.llm.minhash import op2_minhash
 from leafquire.llm.mixing import op10_mixing
+from leafquire.llm.phrases import op11_phrases
 from leafquire.llm.quality import op8_quality
 from leafquire.llm.runs import op13_runs
 from leafquire.llm.sharding import op9_sharding
@@ -17,7 +18,7 @@ from leafquire.llm.warc import op6_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat, op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing, op12_language, op13_runs)
+    for f in (op1_chat, op2_minhash, op3_toxicity, op4_embeddings, op5_html, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_mixing, op11_phrases, op12_language, op13_runs)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -121,4 +122,30 @@ q AS (
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, n AS source_size, target, (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken
 FROM q""",
+    "op11_phrases": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (
+  SELECT lang, m, phrase, count(*) AS f
+  FROM (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3]) AS m))
+  GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE m > 1 AND f >= 10),
+k AS (SELECT lang, phrase, ws, f, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.f AS a, k.k, l.f AS l, r.f AS r, (1000000::HUGEINT * k.f * k.f) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ')
+  JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (
+  SELECT lang, phrase, max(f) AS f
+  FROM (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, f FROM c WHERE m = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n.n, score::BIGINT AS score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase
+WHERE x.f IS NULL OR 100 * x.f < 50 * a
+QUALIFY rank <= 2000""",
 }

@@ -217,10 +217,26 @@ def _together(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 GROUP = ["bucket", "i", "j"]
 
 
+def _tiled(members: DataFrame) -> DataFrame:
+    """The rows of each tile (i, j) of a bucket: the strays of part i beside the members of part j.
+
+    There are as many parts of strays as the strays need, and of members as those need,
+    so a bucket with few strays sends its members about once.
+    """
+    parts = lambda n, shingles: F.greatest(F.lit(1), F.ceil(F.col(n) / TILE), F.ceil(F.col(shingles) / TILE_SHINGLES)).cast("int")
+    rows, columns = parts("strays", "stray_shingles"), parts("size", "shingles")
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    slim = ["bucket", "band", "node", "comp", "n", "regs"]
+    strays = members.where(~F.col("main")).select(*slim, F.lit(0).alias("side"), part(rows).alias("i"), every(columns).alias("j"))
+    others = members.select(*slim, F.lit(1).alias("side"), part(columns).alias("j"), every(rows).alias("i")).select(*slim, "side", "i", "j")
+    return strays.unionByName(others)
+
+
 def _possible(members: DataFrame, percent: int) -> DataFrame:
     """Which members of open buckets must meet: ``(bucket, i, j, node, comp, partners)``.
 
-    ``members(bucket, band, node, comp, n, regs, main, size, shingles)``: rows with ``main``
+    ``members(bucket, band, node, comp, n, regs, main, size, shingles, strays, stray_shingles)``: rows with ``main``
     belong to the bucket's largest component. Every other member is held against every member,
     tile by tile, by registers alone; a pair counts in the first bucket that it shares.
     A row names the partners that the estimate allows a node, so there is one row for
@@ -260,13 +276,7 @@ def _possible(members: DataFrame, percent: int) -> DataFrame:
                 [pa.array(out["bucket"], pa.int64()), pa.array(out["i"], pa.int32()), pa.array(out["j"], pa.int32()), pa.array(out["node"], pa.int64()),
                  pa.array(out["comp"], pa.int64()), pa.array(out["partners"], pa.list_(pa.int64()))], names=list(out))
 
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    part = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    every = F.explode(F.sequence(F.lit(0), tiles - 1))
-    slim = ["bucket", "band", "node", "comp", "n", "regs"]
-    strays = members.where(~F.col("main")).select(*slim, F.lit(0).alias("side"), part.alias("i"), every.alias("j"))
-    others = members.select(*slim, F.lit(1).alias("side"), part.alias("j"), every.alias("i")).select(*slim, "side", "i", "j")
-    tiled = strays.unionByName(others).repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
+    tiled = _tiled(members).repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
     return tiled.mapInArrow(run, fields)
 
 
@@ -343,18 +353,19 @@ def judged(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Dat
     reps = materialize(whole.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "key", "print", "n", "regs", "bands"))
     entries = reps.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
-    buckets = materialize(entries.drop("n").join(heads, "bucket"))
+    buckets = materialize(entries.join(heads, "bucket"))
     stars = buckets.where(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     first = confirm(materialize(estimated(best, reps, percent)), reps, docs, key, text, size, percent)
     parts = components(first)
     labelled = materialize(
-        buckets.join(parts, "node", "left").select("bucket", "band", "node", "size", "shingles", F.coalesce("component", "node").alias("comp"))
+        buckets.join(parts, "node", "left").select("bucket", "band", "node", "n", "size", "shingles", F.coalesce("component", "node").alias("comp"))
     )
-    sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("members"))
-    mains = sizes.groupBy("bucket").agg(F.max(F.struct("members", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    members = labelled.join(mains.select("bucket", "main"), "bucket").withColumn("main", F.col("main") == F.col("comp"))
-    members = members.join(reps.select("node", "n", "regs"), "node")
+    sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("members", "comp", "mass")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    members = labelled.join(mains.select("bucket", "m"), "bucket").withColumn("main", F.col("m.comp") == F.col("comp"))
+    members = members.withColumn("strays", F.col("size") - F.col("m.members")).withColumn("stray_shingles", F.col("shingles") - F.col("m.mass")).drop("m")
+    members = members.join(reps.select("node", "regs"), "node")
     second = _confirm_in_tiles(_possible(members, percent), reps, docs, key, text, size, percent)
     parts = components(first.unionByName(second))
     # A group is named by the smallest key of all its classes; most classes are groups of their own.

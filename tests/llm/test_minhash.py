@@ -112,3 +112,17 @@ def test_one_of_each(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, a), (1, b), (4, "short"), (5, ""), (6, ""), (0, a), (0, a), (9, "alone here")])
     assert minhash.one_of_each(df.where("false")).count() == 0
+
+
+def test_few_strays_send_a_bucket_once(spark):
+    """Tiles follow the number of strays; each stray still meets each member in exactly one tile."""
+    for n, strays in ((20_000, 1), (5_000, 3_000)):
+        members = spark.range(n).selectExpr("7L AS bucket", "0 AS band", "id AS node", f"CASE WHEN id < {strays} THEN id ELSE -1L END AS comp", "50L AS n", "X'00' AS regs")
+        members = members.selectExpr("*", "comp = -1 AS main", f"{n}L AS size", f"{50 * n}L AS shingles", f"{strays}L AS strays", f"{50 * strays}L AS stray_shingles")
+        tiled = minhash._tiled(members)
+        if strays == 1:
+            assert tiled.count() <= 2 * n
+        left, right = tiled.where("side = 0").select("i", "j", "node"), tiled.where("side = 1").select("i", "j", F.col("node").alias("other"))
+        met = left.join(right, ["i", "j"]).agg(F.count("*"), F.countDistinct("node", "other")).first()
+        assert tuple(met) == (n * strays, n * strays)
+        assert tiled.groupBy("i", "j", "side").count().agg(F.max("count")).first()[0] <= 1.3 * minhash.TILE

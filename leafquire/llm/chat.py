@@ -29,8 +29,37 @@ TOOLS = {
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, and no escapes but the needed ones."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces, and no escapes but the needed ones; a ValueError for numbers that JSON lacks."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _refuse(constant: str):
+    raise ValueError(f"{constant} is not JSON")
+
+
+def read_arguments(text: str | None, schema: str | None) -> tuple[list[str], str | None]:
+    """The errors of a call's arguments, and their canonical JSON (null where there is none).
+
+    Null arguments are the value null. What is no JSON, is nested deeper than the parser
+    goes, holds a number outside the range of doubles, or half of a surrogate pair, has no
+    canonical form; each is an error of its call alone.
+    """
+    try:
+        value = json.loads("null" if text is None else text, parse_constant=_refuse)
+    except RecursionError:
+        return ["$: nested too deep"], None
+    except ValueError:
+        return ["$: not JSON"], None
+    try:
+        written = canonical(value)
+        written.encode()
+        return ["$: no schema"] if schema is None else violations(value, json.loads(schema)), written
+    except RecursionError:
+        return ["$: nested too deep"], None
+    except UnicodeEncodeError:
+        return ["$: lone surrogate"], None
+    except ValueError:
+        return ["$: not finite"], None
 
 
 def violations(value, schema: dict, path: str = "$") -> list[str]:
@@ -68,17 +97,9 @@ def schemas(spark, tools: dict = TOOLS) -> DataFrame:
 
 @F.pandas_udf(T.StructType([T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("arguments", T.StringType())]))
 def _checked(arguments: pd.Series, schema: pd.Series) -> pd.DataFrame:
-    errors, texts = [], []
-    for a, s in zip(arguments, schema):
-        try:
-            value = json.loads(a if isinstance(a, str) else "null")
-        except ValueError:
-            errors.append(["$: not JSON"])
-            texts.append(None)
-            continue
-        errors.append(["$: no schema"] if not isinstance(s, str) else violations(value, json.loads(s)))
-        texts.append(canonical(value))
-    return pd.DataFrame({"errors": errors, "arguments": texts})
+    text = lambda x: x if isinstance(x, str) else None  # noqa: E731  pandas may hold null as nan
+    out = [read_arguments(text(a), text(s)) for a, s in zip(arguments, schema)]
+    return pd.DataFrame({"errors": [e for e, _ in out], "arguments": pd.Series([t for _, t in out], dtype=object)})
 
 
 @F.pandas_udf(T.StringType())
@@ -137,34 +158,54 @@ def order_calls(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
-    """One row for each call and for each result without a call.
+    """One row for each call, for each result without a call, and for each repeat of either.
 
     ``calls(conv_id, call_id, parent_id, turn, name, arguments)`` meet
     ``results(conv_id, call_id, turn, content)`` by identifier. Of repeated ids the one
-    with the smallest turn counts, then the smallest content. Columns: ``conv_id, call_id, turn, name, depth,
+    with the smallest turn counts, then the smallest content; every other one is a row of
+    its own with the error ``$: repeated call`` or ``$: repeated result``, null depth and
+    position, and a message of itself alone. Columns: ``conv_id, call_id, turn, name, depth,
     position, has_result, valid, errors, message``; ``message`` is the canonical JSON of
-    call and result. Arguments that are no JSON or have no schema are not valid. A
-    result without a call has a null name, position and validity. Rows without
-    conversation or id are left out, as nothing can be linked with them; other columns
-    are not read.
+    call and result. Arguments that ``read_arguments`` finds fault with are not valid. A
+    result without a call has a null name, position and validity; so has a repeated
+    result, with its error. Rows without conversation or id are left out, as nothing can
+    be linked with them; other columns are not read.
     """
     keys = ["conv_id", "call_id"]
-    whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    one = lambda df, *cols: df.where(whole).groupBy(*keys).agg(F.min(F.struct(*cols)).alias("x")).select(*keys, "x.*")
-    calls = one(calls, "turn", "parent_id", "name", "arguments")
-    results = one(results, "turn", "content").withColumnRenamed("turn", "result_turn").withColumn("has_result", F.lit(True))
+    calls, calls_again = _first_of_each(calls, keys, ["turn", "parent_id", "name", "arguments"])
+    results, results_again = _first_of_each(results, keys, ["turn", "content"])
     ordered = order_calls(materialize(calls))
-    both = ordered.withColumn("called", F.lit(True)).join(results, keys, "full_outer").join(tools, "name", "left")
+    nothing = F.lit(None)
+    both = ordered.withColumn("called", F.lit(True)).join(results.withColumnRenamed("turn", "result_turn").withColumn("has_result", F.lit(True)), keys, "full_outer")
+    both = both.withColumn("repeat", nothing.cast("string"))
+    again = calls_again.withColumn("called", F.lit(True)).withColumn("repeat", F.lit("$: repeated call"))
+    both = both.unionByName(again, allowMissingColumns=True)
+    again = results_again.withColumnRenamed("turn", "result_turn").withColumn("has_result", F.lit(True)).withColumn("repeat", F.lit("$: repeated result"))
+    both = both.unionByName(again, allowMissingColumns=True).join(tools, "name", "left")
     both = both.withColumn("checked", _checked("arguments", "schema"))
-    called = F.col("called").isNotNull()
+    called, repeat = F.col("called").isNotNull(), F.col("repeat")
+    errors = F.when(called, F.col("checked.errors"))
     return both.select(
         "conv_id", "call_id", F.coalesce("turn", "result_turn").alias("turn"), "name", "depth", "position",
         F.coalesce("has_result", F.lit(False)).alias("has_result"),
-        F.when(called, F.size(F.col("checked.errors")) == 0).alias("valid"), F.when(called, F.col("checked.errors")).alias("errors"),
+        F.when(called, (F.size(errors) == 0) & repeat.isNull()).alias("valid"),
+        F.when(repeat.isNull(), errors).otherwise(F.concat(F.coalesce(errors, F.array().cast("array<string>")), F.array(repeat))).alias("errors"),
         _message(F.col("conv_id").cast("long"), "call_id", "name", "checked.arguments", "content").alias("message"),
     )
 
 
+def _first_of_each(df: DataFrame, keys: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The least row of each key, and all others, one by one; equal rows are counted before they are shuffled."""
+    whole = df.select(*keys, *fields).where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    row = F.struct(*fields)
+    counted = whole.groupBy(*keys, *fields).agg(F.count("*").alias("n"))
+    several = materialize(whole.groupBy(*keys).agg(F.min(row).alias("x"), F.count("*").alias("n")))
+    others = counted.join(several.where("n > 1").select(*keys, "x"), keys)
+    extra = F.col("n") - F.when(row.eqNullSafe(F.col("x")), 1).otherwise(0)
+    others = others.withColumn("k", F.explode(F.when(extra > 0, F.sequence(F.lit(1).cast("long"), extra)).otherwise(F.array().cast("array<bigint>"))))
+    return several.select(*keys, "x.*"), others.select(*keys, *fields)
+
+
 def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in a table of turns.
 

@@ -18,8 +18,8 @@ def test_link_and_order(spark):
         (1, "x", "y", 2, "t", "{}", 0), (1, "y", "x", 3, "t", "{}", 0), (1, "lost", "gone", 4, "t", "[1]", 0), (2, "a", None, 1, "no", "{", 0),
         (2, "a", None, 1, "no", "{", 0), (None, "q", None, 1, "t", "{}", 0), (3, None, None, 1, "t", "{}", 0), (4, "n", None, 0, None, None, 0),
     ]
-    results = [(1, "a", 2, "first"), (1, "a", 3, "second"), (1, "orphan", 7, None), (2, "a", 4, None), (None, "a", 1, "x")]
-    got = run(spark, calls, results)
+    results = [(1, "a", 2, "first"), (1, "orphan", 7, None), (2, "a", 4, None), (None, "a", 1, "x")]
+    got = run(spark, calls[:7] + calls[8:], results)
     assert set(got) == {(1, k) for k in ("a", "b", "c", "x", "y", "lost", "orphan")} | {(2, "a"), (4, "n")}
     order = sorted((v.position, k[1]) for k, v in got.items() if k[0] == 1 and v.position is not None)
     assert order == [(0, "a"), (1, "lost"), (2, "b"), (3, "c")]
@@ -60,6 +60,38 @@ def test_schema_keywords():
     assert chat.violations({"a": 9}, schema) == ["$.a: out of range"]
 
 
+def test_arguments_that_have_no_canonical_form(spark):
+    bad = {
+        "deep": "[" * 100_000 + "]" * 100_000, "half": '{"a":"\\ud800"}', "key": '{"\\udfff":1}', "large": '{"a":1e999}', "small": '{"a":-1e999}',
+        "nan": '{"a":NaN}', "inf": '{"a":Infinity}', "digits": '{"a":' + "9" * 5000 + "}", "long": '{"a":"' + "x" * 300_000 + '"}', "pair": '{"a":"\\ud83d\\ude00"}',
+    }
+    got = run(spark, [(1, k, None, 1, "t", v, 0) for k, v in bad.items()], [(1, k, 2, "r") for k in bad])
+    errors = {k: got[1, k].errors for k in bad}
+    assert errors == {
+        "deep": ["$: nested too deep"], "half": ["$: lone surrogate"], "key": ["$: lone surrogate"], "large": ["$: not finite"], "small": ["$: not finite"],
+        "nan": ["$: not JSON"], "inf": ["$: not JSON"], "digits": ["$: not JSON"], "long": [], "pair": [],
+    }
+    for k in bad:
+        assert got[1, k].valid == (not errors[k])
+        assert json.loads(got[1, k].message, parse_constant=chat._refuse)["result"] == "r"
+    assert json.loads(got[1, "pair"].message)["arguments"] == {"a": "😀"}
+
+
+def test_repeats_are_rows_of_their_own(spark):
+    calls = [(1, "a", None, 1, "t", "{}", 0)] * 3 + [(1, "a", None, 2, "t", "[", 0), (1, "b", "a", 3, "t", "{}", 0)]
+    results = [(1, "a", 5, "x"), (1, "a", 5, "x"), (1, "a", 6, "y"), (1, "z", 7, None), (1, "z", 7, None)]
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string, turn long, name string, arguments string, depth int")
+    r = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")
+    got = chat.link(c, r, chat.schemas(spark, {"t": {"type": "object"}})).collect()
+    seen = sorted((x.call_id, x.turn, x.has_result, str(x.valid), "; ".join(x.errors or []), x.position is not None) for x in got)
+    call, result = "$: repeated call", "$: repeated result"
+    assert seen == sorted([
+        ("a", 1, True, "True", "", True), ("a", 1, False, "False", call, False), ("a", 1, False, "False", call, False),
+        ("a", 2, False, "False", f"$: not JSON; {call}", False), ("b", 3, False, "True", "", True),
+        ("a", 5, True, "None", result, False), ("a", 6, True, "None", result, False), ("z", 7, True, "None", "", False), ("z", 7, True, "None", result, False),
+    ])
+
+
 def test_empty(spark):
     assert run(spark, [], []) == {}
     assert chat.op1_chat(spark, "/root/testdata/sf0.001").where("message IS NULL").count() == 0

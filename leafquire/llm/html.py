@@ -41,7 +41,7 @@ BREAKS_OUT = CLOSES_P | set("b big body br center code dd dt em embed head i img
 HOLDS = set("div table ul ol article section body blockquote main aside dl".split())
 SAME_CLOSES = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>?""", re.S)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -181,8 +181,8 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if name == "iframe" and not end:
                 frames = False  # none of the following ones is closed either
-            elif empty:
-                continue
+            elif empty and open_.top.foreign:
+                continue  # only inside a drawing or a formula a slash closes them
             else:
                 at = end.end() if end else len(page)
                 continue

@@ -134,3 +134,28 @@ def test_pages_without_article(spark):
         right += sum((b.text in main) == bool(y) for b, y in zip(found, labels))
         total += len(found)
     assert right >= 0.9 * total, f"{right} of {total}"
+
+
+def test_comments_end_as_html_says():
+    assert texts("<p>a</p><!--><p>main text</p>") == ["a", "main text"]
+    assert texts("<!---><p>main</p>") == ["main"]
+    assert texts("<!-- x --!><p>main</p><!-- - -- -> > --><p>b<!----><p>c<!--->-->d") == ["main", "b", "c-->d"]
+    assert texts("<p>a<!-- never closed <p>b") == ["a"]
+
+
+def test_a_slash_does_not_close_raw_text():
+    for raw in ('<script src="a.js"/>var x=1;</script>', "<script src=http://a/>var x=1;</script>", "<style/>.a{}</style>", "<title/>hello</title>", "<textarea />q</textarea>"):
+        assert texts(f"<p>a</p>{raw}<p>b</p>") == ["a", "b"], raw
+    assert texts("<svg><style/><title/></svg><p>b</p>") == ["b"]
+
+
+def test_page_by_hand(spark):
+    """Expected text written out, not taken from the parser."""
+    field = html.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), limit=120)
+    words = " ".join(random.Random(99).choices(["river", "stone", "walks", "evening", "light", "hands"], k=60))
+    page = (
+        "<html><head><title/>A title</title><script src=/x/>var a = '<p>no</p>';</script></head><body><nav class=menu><a href=1>Home</a> <a href=2>News</a></nav>"
+        f"<article><h1>River stone</h1><!--><p>{words}</p><!-- note --!><p>caf&eacute; &amp;\n {words}</p><style/>p {{}}</style></article><footer class=footer>Imprint</footer></body></html>"
+    )
+    got = html.extract(spark.createDataFrame([(1, page)], "page_id long, html string"), field).first().text
+    assert got == f"River stone {words} café & {words}"

@@ -35,10 +35,10 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/leafquire-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = path or work_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from leafquire.llm.shared import discard, materialize, table, work_dir
 
 MAGIC = "WARC/1.0\r\n"
+#: What all versions begin with; digits and a line end follow.
+MARK = "WARC/1."
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of at least this many bytes are revisited when they repeat.
@@ -93,14 +95,14 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place in the archives where the magic stands: ``path, file, block, at, piece, size``.
+    """Every place in the archives where a magic may begin: ``path, file, block, at, piece, size``.
 
-    The text reader splits files into tasks and lines at the magic, wherever it stands.
-    A piece is what follows one magic up to the next; in file order, the running sum of
-    the pieces' bytes gives each one's offset. ``size`` is the bytes that follow the
-    magic. Text before a file's first magic is left out.
+    The text reader splits files into tasks and lines at ``MARK``, wherever it stands.
+    A piece is what follows one mark up to the next, byte for byte; in file order, the
+    running sum of the pieces' bytes gives each one's offset. ``size`` is the bytes that
+    follow the mark. What precedes a file's first mark is left out.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(
+    raw = spark.read.option("lineSep", MARK).text(path).select(
         F.col("_metadata.file_path").alias("path"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("piece"),
     )
@@ -110,18 +112,18 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 def chains(pieces: DataFrame) -> DataFrame:
     """``file, block, at, start, next`` of each candidate: where its own length says the successor starts.
 
-    ``pieces`` has ``file, block, at, size`` and ``declared``: the bytes from the magic
+    ``pieces`` has ``file, block, at, size`` and ``declared``: the bytes from the mark
     to the record's end that its header states, null if there is no whole header. Offsets
     add up in two steps, inside each block and over the blocks of a file.
     """
-    unit = F.col("size") + len(MAGIC)
+    unit = F.col("size") + len(MARK)
     inside = W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     blocks = pieces.groupBy("file", "block").agg(F.sum(unit).alias("bytes"), F.min("at").alias("first"))
     over = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("base", F.coalesce(F.sum("bytes").over(over), F.lit(0)))
     placed = pieces.withColumn("within", F.coalesce(F.sum(unit).over(inside), F.lit(0))).join(blocks.select("file", "block", "base"), ["file", "block"])
-    # The piece before the first magic is empty; its own separator is not in the file.
-    start = F.col("base") + F.col("within") - len(MAGIC)
+    # The piece before the first mark is empty; its own separator is not in the file.
+    start = F.col("base") + F.col("within") - len(MARK)
     return placed.select("file", "block", "at", start.alias("start"), (start + F.col("declared")).alias("next"))
 
 
@@ -186,49 +188,67 @@ def _header(name: str) -> Column:
     return F.when(value != "", value)
 
 
+def _stated() -> Column:
+    """The record's ``Content-Length``; null if there is none, or none that is a number of bytes."""
+    length = _header("Content-Length")
+    return F.when(length.rlike("^[0-9]{1,18}$"), length.try_cast("long"))
+
+
 def declared(pieces: DataFrame) -> DataFrame:
-    """Add ``declared``: the bytes from the magic to the record's end that its header states, null without a whole header."""
+    """Add ``declared``: the bytes from the mark to the record's end that its header states.
+
+    Null without a version behind the mark, a whole header or a usable length: such a
+    place has no successor.
+    """
     rows = pieces.withColumn("head", _head(F.col("piece")))
-    ended = F.octet_length("piece") > F.octet_length("head")
-    length = _header("Content-Length")
-    stated = F.when(ended & length.rlike("^[0-9]{1,18}$"), length.cast("long"))
-    return rows.withColumn("declared", len(MAGIC) + F.octet_length("head") + 4 + stated + len(END)).drop("head")
+    whole = (F.octet_length("piece") > F.octet_length("head")) & F.substring("piece", 1, 5).rlike("^[0-9]{1,3}\r\n")
+    return rows.withColumn("declared", F.when(whole, len(MARK) + F.octet_length("head") + 4 + _stated() + len(END))).drop("head")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``path, record_type, record_id, target_uri, payload_digest, refers_to, payload``.
-
-    Magic inside a payload makes a candidate like any other, but nothing reaches it from
-    the start of its file. The pieces from one reached record to the next are that
-    record, put together again; they alone are shuffled, whole records stay where they
-    are read. The archives are read once: the pieces are written with their places, so
-    a later step cannot meet them split in another way. Files are assumed to begin with
-    a record; an empty file has none.
+    """``path, record_type, record_id, target_uri, payload_digest, refers_to, payload, error``.
+
+    Records of all versions 1.x are read. A magic inside a payload makes a candidate like
+    any other, but nothing reaches it from the start of its file. The pieces from one
+    reached record to the next are that record, put together again; they alone are
+    shuffled, whole records stay where they are read. The archives are read once: the
+    pieces are written with their places, so a later step cannot meet them split in
+    another way. Files are assumed to begin with a record; an empty file has none.
+
+    ``payload`` is binary, the bytes as they stand: of records whose content is HTTP what
+    follows its header, of others the whole content. ``error`` is null for whole records.
+    A record without a usable length (``length``) ends its file's chain, and what follows
+    is its payload, as no later place is known to be a record; ``header``: there is no
+    empty line behind the header, so there is no payload; ``short``: the file ends
+    before the stated length.
     """
-    raw = materialize(declared(candidates(spark, path)))
+    raw = materialize(declared(candidates(spark, path)), compression="zstd")
     thin = raw.select("file", "block", "at", "size", "declared")
     marks = reached(materialize(chains(thin).where("start >= 0")))
     upto = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
     owner = materialize(marks.withColumn("owner", F.max(F.when(F.col("ok"), F.col("start"))).over(upto)).select("file", "block", "at", "start", "ok", "owner"))
     split = owner.where("NOT ok AND owner IS NOT NULL").select("file", "owner").distinct()
     parts = materialize(owner.join(split, ["file", "owner"], "left_semi"))
-    # What is no whole record: pieces to put together, pieces that nothing owns, and what precedes a file's first magic.
+    # What is no whole record: pieces to put together, pieces that nothing owns, and what precedes a file's first mark.
     other = parts.select("file", "block", "at").union(owner.where("owner IS NULL").select("file", "block", "at"))
     other = materialize(other.union(thin.where("size = 0").select("file", "block", "at")))
     alone = raw.join(other, ["file", "block", "at"], "left_anti").select("path", F.col("piece").alias("text"))
     pieces = raw.select("path", "file", "block", "at", "piece").join(parts, ["file", "block", "at"])
     joined = pieces.groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
-    joined = joined.select("path", F.array_join(F.col("parts.piece"), MAGIC).alias("text"))
-    records = alone.unionByName(joined).withColumn("head", _head(F.col("text")))
-    block = F.substring(F.col("text").cast("binary"), F.octet_length("head") + 5, F.octet_length("text"))
-    length = F.least(_header("Content-Length").cast("long"), F.lit(2**31 - 1)).cast("int")
-    # A record is one value, so it has less than 2 GB; the block begins with the answer's own header.
-    block = F.substring(block, F.lit(1), length)
-    answer = F.octet_length(F.substring_index(block.cast("string"), END, 1)) + len(END)
+    joined = joined.select("path", F.array_join(F.col("parts.piece"), MARK).alias("text"))
+    records = alone.unionByName(joined).withColumn("head", _head(F.col("text"))).withColumn("stated", _stated())
+    after = F.octet_length("text") - F.octet_length("head") - 4
+    error = F.when(after < 0, "header").when(F.col("stated").isNull(), "length").when(after < F.col("stated"), "short")
+    # A record is one value, so it has less than 2 GB.
+    length = F.least(F.coalesce("stated", F.greatest(after, F.lit(0))), F.lit(2**31 - 1)).cast("int")
+    block = F.substring(F.col("text").cast("binary"), F.octet_length("head") + 5, length)
+    # The content of an HTTP record begins with the answer's own header.
+    http = F.coalesce(F.lower(_header("Content-Type")).startswith("application/http"), F.lit(False))
+    answer = F.when(http, F.octet_length(F.substring_index(block.cast("string"), END, 1)) + len(END)).otherwise(0)
     return records.select(
         "path", _header("WARC-Type").alias("record_type"), _header("WARC-Record-ID").alias("record_id"), _header("WARC-Target-URI").alias("target_uri"),
         _header("WARC-Payload-Digest").alias("payload_digest"), _header("WARC-Refers-To").alias("refers_to"),
-        F.substring(block, answer + 1, F.octet_length(block)).cast("string").alias("payload"),
+        F.substring(block, answer + 1, F.octet_length(block)).alias("payload"), error.alias("error"),
     )
 
 
@@ -239,11 +259,11 @@ def page_of(urn: Column) -> Column:
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
-    write_archives(table(spark, sf_dir, "pages"), path, compression="gzip")
+    write_archives(table(spark, sf_dir, "pages"), path)
     back = read_archives(spark, path).withColumn("page_id", page_of(F.col("record_id"))).withColumn("refers_to", page_of(F.col("refers_to")))
     back = materialize(back.select(
         "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"),
-        F.regexp_replace("payload_digest", "^sha1:", "").alias("stated"), F.sha1(F.col("payload").cast("binary")).alias("own_sha1"),
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("stated"), F.sha1("payload").alias("own_sha1"),
     ))
     responses = back.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("of_bytes"), F.col("stated").alias("of_digest")).dropDuplicates(["refers_to", "of_digest"])
     revisit = F.col("record_type") == "revisit"

@@ -41,7 +41,8 @@ def test_round_trip(spark, tmp_path):
     assert set(got) == set(want)
     for k, _, h in rows:
         assert got[k].record_type == want[k][2]
-        assert got[k].payload == ("" if want[k][2] == "revisit" else (h or "")), k
+        assert bytes(got[k].payload).decode() == ("" if want[k][2] == "revisit" else (h or "")), k
+        assert got[k].error is None
         assert got[k].payload_digest == f"sha1:{want[k][1]}"
 
 
@@ -90,7 +91,7 @@ def test_splits_do_not_matter(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", first)
             rows = warc.read_archives(spark, str(tmp_path / "w"))  # some steps run here
             spark.conf.set("spark.sql.files.maxPartitionBytes", then)
-            seen.append(sorted((r.record_id, r.payload) for r in rows.collect()))  # and the others here
+            seen.append(sorted((r.record_id, bytes(r.payload)) for r in rows.collect()))  # and the others here
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert seen[0] == seen[1] and len(seen[0]) == len(pages())
@@ -102,3 +103,64 @@ def test_one_id_with_several_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
     got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.op6_warc(spark, sf).collect())
     assert got == [(1, 1, "response", 0), (1, 3, "response", 0), (2, 3, "revisit", 1), (3, 1, "revisit", 1)]
+
+
+def _file(tmp_path, name, *records):
+    """Records as ``(version, headers, content, stated length)``, written byte for byte."""
+    folder = tmp_path / name
+    folder.mkdir()
+    out = b""
+    for i, (version, headers, content, length) in enumerate(records):
+        out += b"WARC/" + version + b"\r\nWARC-Record-ID: <urn:page:%d>\r\n" % i + headers + (b"" if length is None else b"Content-Length: " + length + b"\r\n") + b"\r\n" + content + b"\r\n\r\n"
+    (folder / "a.warc").write_bytes(out)
+    return str(folder)
+
+
+def _read(spark, path):
+    return {warc_id(r.record_id): (bytes(r.payload), r.error) for r in warc.read_archives(spark, path).collect()}
+
+
+def warc_id(urn):
+    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+
+
+def test_bad_lengths(spark, tmp_path):
+    for i, bad in enumerate((b"abc", b"9" * 25, b"-3", b"1.5", None)):
+        path = _file(tmp_path, f"bad{i}", (b"1.0", b"", b"first", b"5"), (b"1.0", b"", b"second", bad), (b"1.0", b"", b"third", b"5"))
+        got = _read(spark, path)
+        assert set(got) == {0, 1} and got[0] == (b"first", None)
+        assert got[1][1] == "length" and got[1][0].startswith(b"second\r\n\r\nWARC/1.0\r\n") and got[1][0].endswith(b"third\r\n\r\n")
+    got = _read(spark, _file(tmp_path, "short", (b"1.0", b"", b"first", b"5"), (b"1.0", b"", b"second", b"600")))
+    assert got == {0: (b"first", None), 1: (b"second\r\n\r\n", "short")}
+    folder = tmp_path / "header"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 4\r\n")
+    assert _read(spark, str(folder)) == {7: (b"", "header")}
+
+
+def test_versions_and_bytes(spark, tmp_path):
+    raw = bytes(range(256)) * 40
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    kind = b"content-type: application/http; msgtype=response\r\n"
+    false = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 2\r\n\r\nno\r\n\r\n"
+    contents = [(b"1.1", b"", b"hello\xff\xfe\x80"), (b"1.1", b"", raw), (b"1.0", kind, http + raw), (b"1.12", b"", false + b"WARC/1.x" + false), (b"1.0", kind, http), (b"1.1", b"", b"a\r\n\r\nb")]
+    path = _file(tmp_path, "mixed", *((v, h, c, str(len(c)).encode()) for v, h, c in contents))
+    for size in ("500", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = _read(spark, path)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {i: (c[len(http) :] if h else c, None) for i, (_, h, c) in enumerate(contents)}
+
+
+def test_archives_are_split(spark, tmp_path):
+    """The query's plain archives are read by many tasks each."""
+    df = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('<p>', id, '</p>'), 400) AS html").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        assert warc.candidates(spark, str(tmp_path / "w")).select("file", "block").distinct().count() > 10
+        assert warc.read_archives(spark, str(tmp_path / "w")).where("error IS NULL").count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

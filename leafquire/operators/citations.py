@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
+from leafquire.sources.stage import staged
 
 
 def extract(chunks: DataFrame, aliases, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -42,7 +43,10 @@ def lookup(asked: DataFrame, refs: DataFrame, chunks: DataFrame, sections: DataF
     """
     wanted = asked.select("ask_id", X.squash(F.col("target")).alias("target"), F.col("law").alias("want_law"))
     hits = refs.join(wanted, "target").where(F.col("want_law").isNull() | (F.col("law") == F.col("want_law"))).select("ask_id", "chunk_id").dropDuplicates()
-    all_rows = W.partitionBy("ask_id")
-    hits = hits.withColumn("n_total", F.count("*").over(all_rows)).withColumn("rank", F.row_number().over(all_rows.orderBy("chunk_id"))).where(F.col("rank") <= limit)
+    # Hits are counted where they are, and each task sends only its first ``limit`` of a target: no window holds a frequent target's hits.
+    hits = staged(hits)
+    totals = hits.groupBy("ask_id").agg(F.count("*").alias("n_total"))
+    first = hits.withColumn("rank", F.row_number().over(W.partitionBy("ask_id").orderBy("chunk_id"))).where(F.col("rank") <= limit)
+    hits = first.join(totals, "ask_id")
     about = chunks.select("chunk_id", "section_id", F.col("page_printed_start").alias("page"))
     return hits.join(about, "chunk_id").join(sections.select("section_id", "title"), "section_id", "left")

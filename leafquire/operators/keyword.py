@@ -118,10 +118,10 @@ def matches_in(every: list[list[str]], chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk_id string, doc_id string, content_type string, n int, ids array<int>, f array<int>")
 
 
-def best_in(asked: list, chunks: DataFrame, k: int, statistics: tuple[int, float] | None) -> DataFrame:
+def best_in(asked: list, find, k: int, statistics: tuple[int, float] | None, spark) -> DataFrame:
     """``(query_id, chunk_id, score)``: each task's best ``k`` chunks for a bounded block of queries.
 
-    One pass over the texts finds the phrases, and how many chunks hold each is counted
+    One pass, ``find(phrases)``, finds the phrases as ``matches_in`` does, and how many chunks hold each is counted
     over all chunks, before any filter; a second pass over these short rows sums the
     scores of all queries at once. A query's parts are added in ascending order, so
     equal chunks tie in every run. Only the best of each task are shuffled.
@@ -134,14 +134,14 @@ def best_in(asked: list, chunks: DataFrame, k: int, statistics: tuple[int, float
             if i == len(uses):
                 uses.append([])
             uses[i].append(q)
-    held = staged(matches_in([list(p) for p in numbers], chunks))
+    held = staged(find([list(p) for p in numbers]))
     n, avg = statistics or corpus(held)
     holders = held.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n_chunks"))
     idf = np.zeros(len(uses))
     for r in holders.collect():  # at most one row a phrase of the block
         idf[r.id] = max(math.log((n - r.n_chunks + 0.5) / (r.n_chunks + 0.5)), 0.0) or P.BM25_LEAST_IDF
     degree = np.array([len(u) for u in uses], np.int64)
-    model = chunks.sparkSession.sparkContext.broadcast((
+    model = spark.sparkContext.broadcast((
         [r.query_id for r in asked], [(r.doc_id, r.content_type) for r in asked], idf, degree, np.cumsum(degree) - degree, np.array([q for u in uses for q in u], np.int64), avg or 1.0))
 
     def run(batches):
@@ -228,7 +228,7 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, index: DataFrame | Non
     statistics = None if length_rows is None else corpus(length_rows)
     found = chunks.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double")
     for block in in_blocks(asked, BROADCAST_TERMS, lambda r: sum(map(len, r.phrases))):
-        found = found.unionByName(best_in(block, chunks, k, statistics))
+        found = found.unionByName(best_in(block, lambda every: matches_in(every, chunks), k, statistics, chunks.sparkSession))
     return top(found, k)
 
 

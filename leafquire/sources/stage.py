@@ -32,12 +32,17 @@ def staged(df: DataFrame) -> DataFrame:
     than the step at hand. ``release`` deletes what was written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leafquire-stage-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = kept(f"{shared_folder(spark)}/leafquire-stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(path: str) -> str:
+    """``path``, to be deleted by ``release``."""
+    _written.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Delete the stage tables of this process, once no result that reads them is needed."""
     while _written:

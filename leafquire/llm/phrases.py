@@ -6,10 +6,12 @@ scan after the one in which both phrases that it consists of (all but its last w
 but its first) are known to occur often enough, until it has met every shard once. As no
 phrase is more frequent than its parts, every frequent phrase gets its full cycle.
 
-Tasks know the phrases that have passed by bit maps of a fixed size. A bit map may let
-others through, which only adds rows: counts are kept for each shard, so that a phrase
-that meets a shard twice counts once, and a phrase that never passes stays below the
-threshold whatever of it was counted.
+Most phrases never pass, so those that others may be built on are first counted by a
+64-bit hash, and those that pass then by name, again for a cycle. The longest are counted
+by name from the start. Tasks know what has passed by bit maps of a fixed size. Hashes
+and bit maps may let others through, which only adds rows: counts by name are kept for
+each shard, so that a phrase that meets a shard twice counts once, and a phrase below the
+threshold stays there whatever of it was counted.
 """
 
 from __future__ import annotations
@@ -66,9 +68,11 @@ class Marks:
         (a, x), (b, y) = self._places(hashes)
         return (self.map[a] & x != 0) & (self.map[b] & y != 0)
 
-    def union(self, *others: Marks) -> Marks:
-        out = Marks(self.bits)
-        out.map = np.bitwise_or.reduce([self.map, *(o.map for o in others)])
+    @staticmethod
+    def union(sets: list[Marks], bits: int) -> Marks:
+        out = Marks(bits)
+        for one in sets:
+            out.map |= one.map
         return out
 
 
@@ -77,53 +81,60 @@ def _seed(lang: str) -> int:
 
 
 def _count(data: bytes, seed: int, scan: int, shards: int, longest: int, passed: dict):
-    """Phrases of one language's texts with their counts: ``(words in it, phrases, counts)``.
+    """What one scan counts in one language's texts: ``(words in it, names or None, hashes or None, counts)``.
 
     ``passed[n]`` has the phrases of n words that passed before this scan, and those of
-    them that passed within the last cycle (None: all).
+    them that passed within the last cycle.
     """
     tokens = data.translate(_FOLD).replace(_END, b" " + _END + b" ").split()
     if not tokens:
         return
     column = pa.array(tokens, pa.binary()).dictionary_encode()
     words, ids = column.dictionary, column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    del tokens
     names = words.to_pylist()
     width = len(names)
     valid = ids != (names.index(_END) if _END in names else -1)
+    counts = np.bincount(ids[valid], minlength=width)
+    hashes = of_words = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, width)
     if scan < shards:
-        counts = np.bincount(ids[valid], minlength=width)
+        yield 0, pa.array([b""]), None, counts.sum(keepdims=True)
         some = np.flatnonzero(counts)
-        yield 1, words.take(pa.array(some)), counts[some]
-    hashes = of_words = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, width)
-    phrases, group = words, ids  # group: which phrase of n - 1 words begins here, if valid
-    for n in range(2, longest + 1):
-        if n - 1 not in passed:
+        yield 1, None, hashes[some], counts[some]
+    phrases, group = words, ids  # group: which phrase of n words begins here, if valid
+    for n in range(1, longest):
+        if n not in passed:
             return
-        every, recent = passed[n - 1]
-        ok = every.has(hashes)
+        every, recent = passed[n]
+        ok, late = every.has(hashes), recent.has(hashes)
+        some = np.flatnonzero(late & (counts > 0))
+        yield n, phrases.take(pa.array(some)), None, counts[some]
         here = valid & ok[group]
         begin = np.flatnonzero(here[:-1] & here[1:])
         if not len(begin):
             return
-        key, of = np.unique(group[begin] * width + ids[begin + n - 1], return_inverse=True)
+        key, of = np.unique(group[begin] * width + ids[begin + n], return_inverse=True)
         first, last = key // width, key % width
-        now = pc.binary_join_element_wise(phrases.take(pa.array(first)), words.take(pa.array(last)), b" ")
-        if scan < n * shards:
-            counts = np.bincount(of)
-            some = np.arange(len(key))
-            if recent is not None:
-                late = recent.has(hashes)
-                active = np.zeros(len(key), bool)
-                active[of[late[group[begin]] | late[group[begin + 1]]]] = True
-                some = np.flatnonzero(active)
-            yield n, now.take(pa.array(some)), counts[some]
-        hashes, phrases = _joined(hashes[first], of_words[last]), now
+        counts = np.bincount(of)
+        news = np.zeros(len(key), bool)  # one of its parts passed within the last cycle
+        news[of[late[group[begin]] | late[group[begin + 1]]]] = True
+        some = np.flatnonzero(news)
+        if n + 1 == longest:
+            yield longest, pc.binary_join_element_wise(phrases.take(pa.array(first[some])), words.take(pa.array(last[some])), b" "), None, counts[some]
+            return
+        hashes = _joined(hashes[first], of_words[last])
+        if scan < (n + 1) * shards:
+            yield n + 1, None, hashes[some], counts[some]
+        phrases = pc.binary_join_element_wise(phrases.take(pa.array(first)), words.take(pa.array(last)), b" ")
         valid, group = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
         valid[begin], group[begin] = True, of
 
 
+COUNTED = "lang string, n int, phrase string, hash long, now long"
+
+
 def _scan(docs: DataFrame, scan: int, shards: int, longest: int, passed, block: int) -> DataFrame:
-    """``lang, n, phrase, now``: what the tasks of one scan count, not yet added up."""
+    """What the tasks of one scan count, not yet added up: named rows, and hashed ones without language and phrase."""
 
     def run(batches):
         open_blocks: dict[str, list[bytes]] = {}
@@ -132,11 +143,16 @@ def _scan(docs: DataFrame, scan: int, shards: int, longest: int, passed, block:
         def flush(lang):
             data = _END.join(open_blocks.pop(lang))
             del sizes[lang]
-            for n, phrases, counts in _count(data, _seed(lang), scan, shards, longest, passed.value):
-                for at in range(0, len(phrases), 50_000):
-                    part = phrases.slice(at, 50_000)
-                    columns = [pa.repeat(pa.scalar(lang), len(part)), pa.repeat(pa.scalar(n, pa.int32()), len(part)), part.cast(pa.string()), pa.array(counts[at : at + 50_000], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "n", "phrase", "now"])
+            for n, phrases, hashes, counts in _count(data, _seed(lang), scan, shards, longest, passed.value):
+                for at in range(0, len(counts), 100_000):
+                    size = min(100_000, len(counts) - at)
+                    named = phrases is not None
+                    columns = [
+                        pa.repeat(pa.scalar(lang), size) if named else pa.nulls(size, pa.string()), pa.repeat(pa.scalar(n, pa.int32()), size),
+                        phrases.slice(at, size).cast(pa.string()) if named else pa.nulls(size, pa.string()),
+                        pa.nulls(size, pa.int64()) if named else pa.array(hashes[at : at + size].view(np.int64)), pa.array(counts[at : at + size], pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "n", "phrase", "hash", "now"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
@@ -147,31 +163,23 @@ def _scan(docs: DataFrame, scan: int, shards: int, longest: int, passed, block:
         for lang in list(open_blocks):
             yield from flush(lang)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, n int, phrase string, now long")
+    return docs.select("lang", "text").mapInArrow(run, COUNTED)
 
 
 def _marks(fresh: DataFrame, levels: int, bits: int) -> dict[int, Marks]:
-    """A bit map of the phrases of each length; what reaches the driver has a bounded size."""
+    """A bit map of the hashes of each length; what reaches the driver has a bounded size."""
 
     def run(batches):
         maps: dict[int, Marks] = {}
         for batch in batches:
-            seeds = {lang: _seed(lang) for lang in batch.column("lang").unique().to_pylist()}
-            n = batch.column("n").to_numpy()
+            n, hashes = batch.column("n").to_numpy(), batch.column("hash").to_numpy().view(np.uint64)
             for k in np.unique(n).tolist():
-                mine = batch.filter(pa.array(n == k))
-                pairs = zip(mine.column("lang").to_pylist(), mine.column("phrase").cast(pa.binary()).to_pylist())
-                flat = np.fromiter((xxhash.xxh64_intdigest(w, seeds[lang]) for lang, phrase in pairs for w in phrase.split(b" ")), np.uint64, mine.num_rows * k)
-                words = flat.reshape(-1, k)
-                hashes = words[:, 0]
-                for i in range(1, k):
-                    hashes = _joined(hashes, words[:, i])
-                maps.setdefault(k, Marks(bits)).add(hashes)
+                maps.setdefault(k, Marks(bits)).add(hashes[n == k])
         for n, marks in maps.items():
             at = np.flatnonzero(marks.map)
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(n, pa.int32()), len(at)), pa.array(at), pa.array(marks.map[at].view(np.int64))], names=["n", "at", "bits"])
 
-    rows = fresh.select("lang", "n", "phrase").mapInArrow(run, "n int, at long, bits long").groupBy("n", "at").agg(F.bit_or("bits").alias("bits"))
+    rows = fresh.select("n", "hash").mapInArrow(run, "n int, at long, bits long").groupBy("n", "at").agg(F.bit_or("bits").alias("bits"))
     out = {n: Marks(bits) for n in range(1, levels + 1)}
     for part in rows.toArrow().to_batches():
         n, at, value = (part.column(c).to_numpy() for c in ("n", "at", "bits"))
@@ -185,15 +193,16 @@ def count_phrases(
     docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, threshold: int = THRESHOLD,
     shards: int = SHARDS, bits: int = BITS, block: int = BLOCK,
 ) -> DataFrame:
-    """``lang, n, phrase, f``: all words, and all phrases of 2 to ``longest`` words that occur ``threshold`` times.
+    """``lang, n, phrase, f``: the phrases of 1 to ``longest`` words that occur ``threshold`` times.
 
-    Texts are lower-cased in A-Z and cut into pieces at ``.,;:!?`` and line ends, pieces
-    into words at spaces and tabs; a phrase lies within a piece. A null text is empty, a
-    null language is ``und``. Repeated rows count as often as they stand there; an empty
+    A row with ``n`` 0 and an empty phrase counts all words of a language. Texts are
+    lower-cased in A-Z and cut into pieces at ``.,;:!?`` and line ends, pieces into words
+    at spaces and tabs; a phrase lies within a piece. A null text is empty, a null
+    language is ``und``. Repeated rows count as often as they stand there; an empty
     table gives no rows. Other columns are not read.
 
     Each scan is written to the shared folder, so a lost executor costs a part of one
-    scan. Tasks add up what they count before it is shuffled by (language, phrase), which
+    scan. Tasks add up what they count before it is shuffled by phrase or hash, which
     no frequent word or language makes hot.
     """
     spark = docs.sparkSession
@@ -203,54 +212,44 @@ def count_phrases(
     dealt.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")).write.partitionBy("shard").parquet(home)
     dealt = spark.read.schema(kinds).parquet(home)
 
-    per_shard = [f"c{s}" for s in range(shards)]
-    state, levels, news = None, {}, []
-    scan = 0
-    while scan < longest * shards:
+    n = F.col("n")
+    hashed, news, named, spent = None, [], [], [dealt]
+    for scan in range(longest * shards):
         since = max(0, scan - shards)
-        passed = {
-            n: (news[0][n].union(*(x[n] for x in news)), news[since][n].union(*(x[n] for x in news[since:])) if since else None)
-            for n in range(1, longest) if n <= len(news)
-        }
-        sent = spark.sparkContext.broadcast(passed)
-        rows = _scan(dealt.where(F.col("shard") == scan % shards), scan, shards, longest, sent, block)
-        rows = rows.select("*", *(F.lit(None).cast("long").alias(c) for c in per_shard), F.lit(None).cast("int").alias("passed"))
-        lowest = scan // shards + 1  # shorter phrases have had their cycle
-        if state is not None:
-            rows = rows.unionByName(state.where(F.col("n") >= lowest).withColumn("now", F.lit(None).cast("long")))
-        merged = rows.groupBy("lang", "n", "phrase").agg(F.sum("now").alias("now"), *(F.max(c).alias(c) for c in per_shard), F.min("passed").alias("passed"))
-        here = per_shard[scan % shards]
-        merged = merged.withColumn(here, F.greatest(here, "now")).drop("now")
-        total = sum((F.coalesce(F.col(c), F.lit(0)) for c in per_shard), F.lit(0))
-        merged = merged.withColumn("passed", F.coalesce("passed", F.when((F.col("n") < longest) & (total >= threshold), scan)))
-        before = state
-        state = _by_length(merged)
-        if before is not None and not any(before is x for x in levels.values()):
-            discard(before)
-        news.append(_marks(state.where((F.col("passed") == scan) & (F.col("n") >= lowest)), longest, bits))
-        sent.unpersist()
-        if (scan + 1) % shards == 0:
-            levels[lowest] = state
-        scan += 1
         # A cycle in which nothing passed ends it: no phrase is still active.
-        if scan >= shards and not any(x.map.any() for made in news[scan - shards :] for x in made.values()):
+        if scan >= shards and not any(marks.map.any() for made in news[since:] for marks in made.values()):
             break
-    done = [levels.get(n, state).where(F.col("n") == n).select("lang", "n", "phrase", total.alias("f")) for n in range(1, longest + 1)]
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part.where(F.col("f") >= threshold))
-    out = materialize(out)
-    for old in {id(x): x for x in [dealt, state, *levels.values()]}.values():
+        passed = {k: (Marks.union([x[k] for x in news], bits), Marks.union([x[k] for x in news[since:]], bits)) for k in range(1, min(longest, scan + 1))}
+        sent = spark.sparkContext.broadcast(passed)
+        rows = _scan(dealt.where(F.col("shard") == scan % shards), scan, shards, longest, sent, block).withColumn("passed", F.lit(None).cast("int"))
+        live = n > scan // shards  # shorter phrases have had their cycle
+        if hashed is not None:
+            rows = rows.unionByName(hashed.where(live).select(F.lit(None).cast("string").alias("lang"), "n", F.lit(None).cast("string").alias("phrase"), "hash", F.col("f").alias("now"), "passed"))
+        summed = rows.groupBy("lang", "n", "phrase", "hash").agg(F.sum("now").alias("f"), F.min("passed").alias("passed"))
+        by_hash = F.col("hash").isNotNull()
+        summed = summed.withColumn("passed", F.coalesce("passed", F.when(by_hash & (F.col("f") >= threshold), scan))).withColumn("named", F.when(by_hash, 0).otherwise(1))
+        path = work_dir(spark)
+        summed.write.partitionBy("named").parquet(path)
+        now = spark.read.schema(summed.schema).parquet(path)
+        hashed = now.where("named = 0")
+        named.append(now.where("named = 1").select("lang", "n", "phrase", F.lit(scan % shards).alias("shard"), "f"))
+        if scan < (longest - 1) * shards:
+            news.append(_marks(hashed.where(F.col("passed") == scan), longest - 1, bits))
+        else:
+            news.append({k: Marks(bits) for k in range(1, longest)})
+        sent.unpersist()
+        spent.append(now)
+    rows = named[0]
+    for more in named[1:]:
+        rows = rows.unionByName(more)
+    per_shard = [F.max(F.when(F.col("shard") == s, F.col("f"))) for s in range(shards)]
+    totals = rows.groupBy("lang", "n", "phrase").agg(sum((F.coalesce(c, F.lit(0)) for c in per_shard), F.lit(0)).cast("long").alias("f"))
+    out = materialize(totals.where((n == 0) | (F.col("f") >= threshold)))
+    for old in spent:
         discard(old)
     return out
 
 
-def _by_length(df: DataFrame) -> DataFrame:
-    path = work_dir(df.sparkSession)
-    df.write.partitionBy("n").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _part(words, first, length):
     return F.array_join(F.slice(words, first, length), " ")
 
@@ -265,8 +264,8 @@ def collocations(counts: DataFrame, threshold: int = THRESHOLD, top: int | None
     percent as often is dropped. Ties of the score are ordered by ``a``, then by the
     phrase's bytes. ``n`` counts the language's words. ``top`` None keeps all ranks.
     """
-    totals = counts.where("n = 1").groupBy("lang").agg(F.sum("f").alias("total"))
-    often = counts.where(F.col("f") >= threshold)
+    totals = counts.where("n = 0").select("lang", F.col("f").alias("total"))
+    often = counts.where((F.col("n") > 0) & (F.col("f") >= threshold))
     phrases = often.where("n > 1").withColumn("words", F.split("phrase", " "))
     w, n = F.col("words"), F.col("n")
     cuts = phrases.select("lang", "n", "phrase", "words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), n - 1)).alias("k"))

@@ -74,7 +74,7 @@ def test_phrases_that_pass_late(spark):
 
 def test_exact_beyond_64_bits(spark):
     a, l, r = 3_000_000_000_019, 3_000_000_000_023, 3_100_000_000_001
-    rows = [("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a)]
+    rows = [("en", 0, "", l + r), ("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a)]
     got = answer(phrases.collocations(spark.createDataFrame(rows, "lang string, n int, phrase string, f long")))
     assert got == [("en", 1, "x y", a, l, r, l + r, 10**6 * a * a // (l * r))]
 

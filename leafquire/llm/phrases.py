@@ -30,12 +30,12 @@ from leafquire.llm.shared import discard, materialize, table, work_dir
 UNKNOWN = "und"
 LONGEST = 3
 THRESHOLD = 10
-SHARDS = 3
+SHARDS = 2
 TOP = 2000
 #: Bits of a map of passed phrases (8 MB), whatever the input. Fuller maps let more rows through.
 BITS = 1 << 26
 #: Bytes of text that a task counts together.
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 
 _END = b"\xff"  # not a byte of UTF-8
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 255 if chr(c) in ".,;:!?" or 10 <= c <= 13 else c for c in range(256))

@@ -35,7 +35,7 @@ TOP = 2000
 #: Bits of a map of passed phrases (8 MB), whatever the input. Fuller maps let more rows through.
 BITS = 1 << 26
 #: Bytes of text that a task counts together.
-BLOCK = 4_000_000
+BLOCK = 3_000_000
 
 _END = b"\xff"  # not a byte of UTF-8
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 255 if chr(c) in ".,;:!?" or 10 <= c <= 13 else c for c in range(256))
@@ -155,11 +155,14 @@ def _scan(docs: DataFrame, scan: int, shards: int, longest: int, passed, block:
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "n", "phrase", "hash", "now"])
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                open_blocks.setdefault(lang, []).append(text)
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sizes[lang] >= block:
-                    yield from flush(lang)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
+                    open_blocks.setdefault(lang, []).append(text)
+                    sizes[lang] = sizes.get(lang, 0) + len(text)
+                    if sizes[lang] >= block:
+                        yield from flush(lang)
+                        pa.default_memory_pool().release_unused()
         for lang in list(open_blocks):
             yield from flush(lang)
 

@@ -24,6 +24,8 @@ MANTISSA = 10
 MARGIN = 0.16
 #: Members of an open bucket are compared in tiles of about this many, with about this many shingles in all.
 TILE, TILE_SHINGLES = 1024, 1 << 21
+#: Words of 64 bits in the map of wanted texts: at most so many rows, about 6 MB, go to all tasks.
+MARK_WORDS = 1 << 18
 #: Hashes that are combined at once; it bounds memory, not the sets.
 BLOCK = 1 << 15
 
@@ -293,7 +295,13 @@ def _sets(docs: DataFrame, named: DataFrame, reps: DataFrame, key: str, text: st
 
     # Written first: its true size decides whether the texts must be shuffled to it.
     wanted = materialize(reps.select("node", F.col("key").alias("_key"), F.col("print").alias("_print")).join(named, "node", "left_semi"))
+    # A bit map of a fixed size, sent to all tasks, keeps most other texts out of the shuffle.
+    place = F.pmod(F.shiftright("_hash", 6), F.lit(MARK_WORDS))
+    bit = "CAST(_hash & 63 AS INT)"
+    marks = wanted.select(F.xxhash64("_print").alias("_hash")).groupBy(place.alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
     texts = docs.select(F.col(key).alias("_key"), text_print(F.col(text)).alias("_print"), F.col(text).cast("binary").alias("text"))
+    texts = texts.withColumn("_hash", F.xxhash64("_print")).withColumn("_word", place).join(F.broadcast(marks), "_word")
+    texts = texts.where(f"shiftrightunsigned(_bits, {bit}) & 1 = 1").drop("_hash", "_word", "_bits")
     texts = texts.join(wanted, ["_key", "_print"]).select("node", "text")
     return materialize(texts.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
-from leafquire.operators import checks, citations, context, keyword, search, stored
+from leafquire.operators import checks, citations, clusters, context, keyword, search, stored
 from leafquire.plans import jobs
 from leafquire.registry import query
 from leafquire.sources import samples as S
@@ -129,6 +129,15 @@ def vector_search(spark, sf):
     return found.select("query_id", "chunk_id", _sixth("distance").alias("distance"), "rank")
 
 
+@query("WITH " + _VECTORS + "SELECT query_id, chunk_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM vr WHERE rank <= 100")
+def cluster_search(spark, sf):
+    """The nearest vectors again, from stored clusters."""
+    path = f"{shared_folder(spark)}/leafquire-stage-clusters-{uuid.uuid4().hex}"
+    clusters.write_clusters(S.vectors(spark, sf), kept(path))
+    found = clusters.search(S.vector_queries(spark, sf), clusters.read_clusters(spark, path))
+    return found.select("query_id", "chunk_id", _sixth("distance").alias("distance"), "rank")
+
+
 _FUSION = """,
 k100 AS (SELECT * FROM kw WHERE rank <= 100), v100 AS (SELECT * FROM vr WHERE rank <= 100),
 fu AS (

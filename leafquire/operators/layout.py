@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,23 +164,79 @@ def _heading_order():
     return W.partitionBy("doc_id").orderBy("page_pdf", "y0", "ord")
 
 
-def level_paths(headings: DataFrame, levels=range(1, 6)) -> DataFrame:
-    """Add ``level_path``: the titles of a heading's ancestors and its own.
+def grown(stack: list, level: int, title) -> list:
+    """Open headings ``(level, title)`` after one more: those of its level or below close."""
+    while stack and stack[-1][0] >= level:
+        stack.pop()
+    stack.append((level, title))
+    return stack
 
-    An ancestor on level k is the last heading of that level before, if no heading of a
-    lower level came after it. Levels outside ``levels`` are taken to the nearest end.
+
+def joined(before: list, low: int, pushed: list) -> list:
+    """Open headings after a run that by itself leaves ``pushed`` open and whose least level is ``low``.
+
+    ``(low, pushed)`` stands for a whole run of headings, and runs compose in any grouping.
     """
-    order = _heading_order()
-    rows = headings.withColumn("place", F.row_number().over(order)).withColumn("at_level", F.least(F.greatest("level", F.lit(min(levels))), F.lit(max(levels))))
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    parts = []
-    for k in levels:
-        last = F.max(F.when(F.col("at_level") == k, F.struct("place", "title"))).over(before)
-        above = F.coalesce(F.max(F.when(F.col("at_level") < k, F.col("place"))).over(before), F.lit(0))
-        rows = rows.withColumn(f"last{k}", last).withColumn(f"above{k}", above)
-        parts.append(F.when((F.col("at_level") > k) & (F.col(f"last{k}.place") > F.col(f"above{k}")), F.col(f"last{k}.title")))
-    path = F.filter(F.array(*parts, F.col("title")), lambda t: t.isNotNull())
-    return rows.withColumn("level_path", path).drop("place", "at_level", *[f"{n}{k}" for k in levels for n in ("last", "above")])
+    return [x for x in before if x[0] < low] + pushed
+
+
+def level_paths(headings: DataFrame) -> DataFrame:
+    """Add ``level_path``: the titles of a heading's ancestors and its own, whatever its level.
+
+    An ancestor is the last heading before of its level, if none of the same or a lower
+    level came after it. A null level counts as 1; null titles are left out of the path.
+    Headings are dealt by range, so a document may be many tasks: each range is summed up
+    as its least level and the headings it leaves open (at most one a level), the ranges'
+    sums are composed in order, and each range starts from what those before left open.
+    """
+    order = ["doc_id", "page_pdf", "y0", "ord"]
+    rows = headings.drop("level_path").withColumn("_level", F.coalesce("level", F.lit(1)).cast("int"))
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    start = dealt.sparkSession.sparkContext.broadcast(_open_before(dealt, order))  # at most one entry a range
+    schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("_level", "_part")] + [T.StructField("level_path", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        last, stack = None, []
+        for batch in batches:
+            paths = []
+            for part, doc, level, title in zip(*(batch.column(c).to_pylist() for c in ("_part", "doc_id", "_level", "title"))):
+                if last != (part, doc):
+                    known, opened = start.value.get(part, (doc, []))
+                    stack = list(opened) if known == doc and (last is None or last[0] != part) else []
+                    last = part, doc
+                grown(stack, level, title)
+                paths.append([t for _level, t in stack if t is not None])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), pa.array(paths, pa.list_(pa.string()))], names=schema.names)
+
+    return dealt.repartition("_part").sortWithinPartitions("_part", *order).mapInArrow(run, schema)
+
+
+def _open_before(dealt: DataFrame, order: list[str]) -> dict:
+    """For each range the document that the one before it ends in, and the headings that stand open there."""
+
+    def run(batches):
+        out: dict = {}
+        for batch in batches:
+            for part, doc, level, title in zip(*(batch.column(c).to_pylist() for c in ("_part", "doc_id", "_level", "title"))):
+                if part not in out or out[part][0] != doc:
+                    out[part] = doc, level, []
+                _doc, low, stack = out[part]
+                out[part] = doc, min(low, level), grown(stack, level, title)
+        at = list(out.items())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in at], pa.int32()), pa.array([x[0] for _, x in at], pa.string()), pa.array([x[1] for _, x in at], pa.int32()),
+             pa.array([[v for v, _ in x[2]] for _, x in at], pa.list_(pa.int32())), pa.array([[t for _, t in x[2]] for _, x in at], pa.list_(pa.string()))],
+            names=["part", "doc_id", "low", "levels", "titles"])
+
+    thin = dealt.select("_part", *order, "_level", "title").repartition("_part").sortWithinPartitions("_part", *order)
+    found = thin.mapInArrow(run, "part int, doc_id string, low int, levels array<int>, titles array<string>").orderBy("part").collect()  # one row a range
+    start, before = {}, None
+    for r in found:
+        pushed = list(zip(r.levels, r.titles))
+        if before is not None:
+            start[r.part] = before
+        before = r.doc_id, joined(before[1], r.low, pushed) if before is not None and before[0] == r.doc_id else pushed
+    return start
 
 
 def section_spans(headings: DataFrame, profiles: DataFrame, fronts: DataFrame | None = None) -> DataFrame:

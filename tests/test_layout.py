@@ -56,18 +56,51 @@ def test_paths(spark):
     assert [r.level_path for r in layout.level_paths(h).orderBy("ord").collect()] == [list(x) for x in ("A", "AB", "ABC", "AD", "E", "EF")]
 
 
-def test_paths_equal_a_stack(spark):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_paths_equal_a_stack(spark, coalesced):
+    """Any levels, and one document over many tasks."""
     rng = random.Random(8)
-    docs = {f"d{k}": [rng.randint(1, 5) for _ in range(rng.randint(1, 25))] for k in range(40)}
-    h = spark.createDataFrame([(d, i, f"t{i}", lv, 1, float(i), "exact") for d, ls in docs.items() for i, lv in enumerate(ls)], SCHEMAS["headings"])
-    got = {(r.doc_id, r.ord): r.level_path for r in layout.level_paths(h).collect()}
+    docs = {f"d{k}": [rng.randint(0, 9) for _ in range(rng.randint(1, 25))] for k in range(40)}
+    docs["d5"] = [rng.choice([0, 7, 8, 9, 40, -3]) if rng.random() < 0.02 else rng.randint(9, 60) for _ in range(3000)]
+    docs["d6"] = list(range(500)) + [None, 2]
+    h = spark.createDataFrame([(d, i, None if i == 4 else f"t{i}", lv, 1, float(i), "exact") for d, ls in docs.items() for i, lv in enumerate(ls)], SCHEMAS["headings"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        found = layout.level_paths(h.repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {(r.doc_id, r.ord): r.level_path for r in found}
+    assert len(found) == len(got) == sum(map(len, docs.values()))
     for d, ls in docs.items():
         stack = []
         for i, lv in enumerate(ls):
+            lv = 1 if lv is None else lv
             while stack and stack[-1][0] >= lv:
                 stack.pop()
-            stack.append((lv, f"t{i}"))
-            assert got[d, i] == [t for _, t in stack]
+            stack.append((lv, None if i == 4 else f"t{i}"))
+            assert got[d, i] == [t for _, t in stack if t is not None]
+
+
+def test_open_headings_compose():
+    rng = random.Random(2)
+    for _ in range(300):
+        runs = [[rng.randint(0, 6) for _ in range(rng.randint(1, 5))] for _ in range(3)]
+        sums = []
+        for r in runs:
+            stack = []
+            for i, lv in enumerate(r):
+                layout.grown(stack, lv, f"{lv}{i}")
+            sums.append((min(r), stack))
+        whole = []
+        for r in runs:
+            for i, lv in enumerate(r):
+                layout.grown(whole, lv, f"{lv}{i}")
+        (_, a), (lb, b), (lc, c) = sums
+        assert layout.joined(layout.joined(a, lb, b), lc, c) == layout.joined(a, min(lb, lc), layout.joined(b, lc, c)) == whole
+
+
+def test_paths_of_nothing(spark):
+    assert layout.level_paths(heading_table(spark, [])).columns[-1] == "level_path" and layout.level_paths(heading_table(spark, [])).count() == 0
 
 
 def test_dead_zone_and_spans(spark):

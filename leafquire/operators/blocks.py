@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
+from leafquire.operators.ranges import counted_before, dealt, packed
+from leafquire.sources.stage import staged
 
 
 def fill_merged(cells: DataFrame) -> DataFrame:
@@ -112,14 +114,14 @@ def pack_lines(lines: DataFrame, by: list[str], order: list[str], limit: int = P
     """Lines of each ``by`` in ``order``, packed into texts of about ``limit`` characters.
 
     Columns: ``by``, ``run`` from 0, ``text`` (lines joined by line breaks), and
-    ``page_start``, ``page_end``. Runs of white space alone are dropped.
+    ``page_start``, ``page_end``. Runs of white space alone are dropped. A ``by`` with many
+    lines is many tasks; only the lines of one text stand in one row.
     """
     text = X.strip(F.coalesce("text", F.lit("")))
-    grouped = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("page_pdf").alias("_page"), text.alias("_t")))).alias("parts"))
-    grouped = grouped.withColumn("groups", greedy(F.transform("parts", lambda p: F.length(p["_t"])), limit))
-    runs = grouped.select(*by, F.explode(F.arrays_zip(F.col("parts"), F.col("groups"))).alias("z")).select(*by, F.col("z.groups").alias("run"), "z.parts.*")
-    packed = runs.groupBy(*by, "run").agg(F.array_sort(F.collect_list(F.struct(*order, "_t"))).alias("parts"), F.min("_page").alias("page_start"), F.max("_page").alias("page_end"))
-    out = packed.withColumn("text", F.array_join(F.transform("parts", lambda p: p["_t"]), "\n")).where(X.strip("text") != "")
+    rows = lines.select(*by, *[c for c in order if c not in by], F.col("page_pdf").alias("_page"), text.alias("_t")).withColumn("_n", F.length("_t"))
+    runs = packed(rows, by, [*order, "_page", "_t"], "_n", limit)
+    grouped = runs.groupBy(*by, "run").agg(F.array_sort(F.collect_list(F.struct(*order, "_page", "_t"))).alias("parts"), F.min("_page").alias("page_start"), F.max("_page").alias("page_end"))
+    out = grouped.withColumn("text", F.array_join(F.transform("parts", lambda p: p["_t"]), "\n")).where(X.strip("text") != "")
     return out.select(*by, "run", "text", "page_start", "page_end")
 
 
@@ -138,11 +140,12 @@ def table_parts(tables: DataFrame, limit: int = P.TABLE_CHARS) -> DataFrame:
     out = out.withColumn("body", body).withColumn("groups", greedy(F.transform("body", F.length), limit))
     head = F.concat(F.get("lines", F.lit(0)), F.lit("\n|"), F.repeat(F.lit("---|"), width))
     split = (F.length("whole") > limit) & (F.col("kind") != "formula")
-    parts = F.transform(
-        F.sequence(F.lit(0), F.coalesce(F.array_max("groups"), F.lit(0))),
-        lambda g: F.concat(head, F.lit("\n"), F.array_join(F.transform(F.filter(F.arrays_zip("body", "groups"), lambda z: z["groups"] == g), lambda z: z["body"]), "\n")),
-    )
-    return out.withColumn("_parts", F.when(split, parts).otherwise(F.array("whole"))).select("*", F.posexplode("_parts").alias("part", "text")).drop("whole", "lines", "body", "groups", "_parts")
+    # Each part is a slice from where its group begins to where the next one does.
+    begins = F.filter(F.sequence(F.lit(0), F.size("groups") - 1), lambda i: (i == 0) | (F.get("groups", i) != F.get("groups", i - 1)))
+    out = out.withColumn("begins", F.when(F.size("groups") > 0, begins).otherwise(F.array(F.lit(0))))
+    ends = lambda i: F.coalesce(F.get("begins", i + 1), F.size("body"))
+    parts = F.transform("begins", lambda b, i: F.concat(head, F.lit("\n"), F.array_join(F.slice("body", b + 1, ends(i) - b), "\n")))
+    return out.withColumn("_parts", F.when(split, parts).otherwise(F.array("whole"))).select("*", F.posexplode("_parts").alias("part", "text")).drop("whole", "lines", "body", "groups", "begins", "_parts")
 
 
 def emit(lines: DataFrame, tables: DataFrame, limit: int = P.CHUNK_CHARS, lead_in: int = P.LEAD_IN_CHARS) -> DataFrame:
@@ -158,11 +161,10 @@ def emit(lines: DataFrame, tables: DataFrame, limit: int = P.CHUNK_CHARS, lead_i
     none = [F.lit(0.0).alias("b"), F.lit(0.0).alias("x"), F.col("table_no").cast("int").alias("n")]
     boxes = tables.withColumn("_y", F.col("bbox.y0")).withColumn("at", at(0, none)).withColumn("is_table", F.lit(1))
     marks = rows.withColumn("is_table", F.lit(0)).unionByName(boxes.select("doc_id", "place", "page_pdf", "at", "is_table"), allowMissingColumns=True)
-    order = W.partitionBy("doc_id", "place").orderBy("at")
-    marks = marks.withColumn("island", F.sum("is_table").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    marks = marks.withColumn("island", F.coalesce("island", F.lit(0)))
-    island = W.partitionBy("doc_id", "place", "island")
-    marks = marks.withColumn("chars", F.sum(F.when(F.col("is_table") == 0, F.length(X.strip(F.coalesce("text", F.lit(""))))).otherwise(0)).over(island)).withColumn("closed", F.max("is_table").over(island))
+    section, island = ["doc_id", "place"], ["doc_id", "place", "island"]
+    marks = staged(counted_before(dealt(marks, *section, "at"), section, "at", "is_table", "island").drop("_part"))
+    chars = F.sum(F.when(F.col("is_table") == 0, F.length(X.strip(F.coalesce("text", F.lit(""))))).otherwise(0))
+    marks = marks.join(marks.groupBy(*island).agg(chars.alias("chars"), F.max("is_table").alias("closed")), island)
     leads = marks.where((F.col("closed") == 1) & (F.col("chars") < lead_in))
     lead = leads.where("is_table = 0").groupBy("doc_id", "place", "island").agg(F.array_sort(F.collect_list(F.struct("at", X.strip("text").alias("t")))).alias("parts"))
     lead = lead.select("doc_id", "place", "island", F.concat(F.array_join(F.transform("parts", lambda p: p["t"]), "\n"), F.lit("\n")).alias("lead"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
+from leafquire.operators.ranges import dealt, hand_over, reaching
 from leafquire.sources.stage import staged
 
 JOINED_LINES = 4
@@ -262,17 +263,29 @@ def assign(items: DataFrame, spans: DataFrame, y: str = "y0") -> DataFrame:
     """Add ``place``: the heading that an item belongs to, 0 for front matter, or drop the item.
 
     An item belongs to the latest heading above it if it stands at least 1 below that
-    one and, on the next heading's page, at least 1 above that. One ordered pass over
-    each document; no join of unequal keys.
+    one and, on the next heading's page, at least 1 above that. Items and headings are
+    dealt by range of (document, page, height), so a document may be many tasks; each range
+    is told the last heading before it and the first after it. No join of unequal keys.
     """
-    at = F.struct(F.col("page_pdf"), F.col("_y"), F.col("_kind"))
+    place = ["doc_id", "page_pdf", "_y", "_kind"]
     marks = spans.select("doc_id", "page_pdf", F.col("y0").alias("_y"), F.lit(0).alias("_kind"), F.struct("place", "page_pdf", F.col("y0").alias("y")).alias("_mark"))
     rows = items.withColumn("_y", F.col(y)).withColumn("_kind", F.lit(1))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    order = W.partitionBy("doc_id").orderBy(at)
+    both = dealt(rows.unionByName(marks, allowMissingColumns=True), *place)
+    mark = F.when(F.col("_mark").isNotNull(), F.struct("page_pdf", "_y", "_mark.place", "_mark"))
+    sums = reaching(both.groupBy("doc_id", "_part").agg(F.min(mark)["_mark"].alias("_first"), F.max(mark)["_mark"].alias("_last")), ["doc_id"])
+    # What comes after is taken in reverse order: a frame that ends at the last row is read anew for each row.
+    ranges, back = W.partitionBy("doc_id").orderBy("_part"), W.partitionBy("doc_id").orderBy(F.col("_part").desc())
+    sums = sums.select(
+        "doc_id", "_part", F.last("_last", ignorenulls=True).over(ranges.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        F.last("_first", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)).alias("_after"),
+    )
+    by = [F.col(c) for c in ("page_pdf", "_y", "_kind", "_mark.place")]
+    order, back = W.partitionBy("_part", "doc_id").orderBy(*by), W.partitionBy("_part", "doc_id").orderBy(*[c.desc() for c in by])
     both = both.withColumn("_above", F.last("_mark", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    both = both.withColumn("_below", F.first("_mark", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
-    mine = both.where("_kind = 1")
+    both = both.withColumn("_below", F.last("_mark", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)))
+    mine = hand_over(both.where("_kind = 1"), sums, ["doc_id"])
+    mine = mine.withColumn("_above", F.coalesce("_above", "_before")).withColumn("_below", F.coalesce("_below", "_after"))
     after = F.col("_above").isNull() | (F.col("_above.page_pdf") < F.col("page_pdf")) | (F.col("_y") >= F.col("_above.y") + 1)
     before = F.col("_below").isNull() | (F.col("_below.page_pdf") > F.col("page_pdf")) | (F.col("_y") <= F.col("_below.y") - 1)
-    return mine.where(after & before).withColumn("place", F.coalesce(F.col("_above.place"), F.lit(0))).drop("_y", "_kind", "_mark", "_above", "_below")
+    kept = mine.where(after & before).withColumn("place", F.coalesce(F.col("_above.place"), F.lit(0)))
+    return kept.drop("_y", "_kind", "_mark", "_above", "_below", "_before", "_after", "_part")

@@ -16,6 +16,7 @@ from leafquire.registry import query
 from leafquire.sources import samples as S
 from leafquire.sources import tables
 from leafquire.sources.stage import shared_folder, staged
+from leafquire.sources.store import Store
 
 
 def _md5(c):
@@ -454,9 +455,12 @@ def rebuilt_subset(spark, sf):
     return spark.read.schema(rows.schema).parquet(path).groupBy("doc_id", "version").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("""
+_REUSED = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), o AS (SELECT DISTINCT t FROM d WHERE doc_id % 2 = 0)
-SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN t IN (SELECT t FROM o) THEN -1 ELSE length(t) + 11 END::DOUBLE AS first, CASE WHEN t IN (SELECT t FROM o) THEN -1 ELSE length(t) - length(replace(t, 'e', '')) + 1 END::DOUBLE AS second FROM d""")
+SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN t IN (SELECT t FROM o) THEN -1 ELSE length(t) + 11 END::DOUBLE AS first, CASE WHEN t IN (SELECT t FROM o) THEN -1 ELSE length(t) - length(replace(t, 'e', '')) + 1 END::DOUBLE AS second FROM d"""
+
+
+@query(_REUSED)
 def reused_vectors(spark, sf):
     """Vectors by digest: texts of even documents have stored ones, only new texts are embedded, each once."""
     c = S.chunks(spark, sf)
@@ -468,3 +472,42 @@ def reused_vectors(spark, sf):
 
     got = tables.vectors(c, stored, "m", call)
     return got.select("chunk_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
+
+
+@query(_REUSED)
+def grown_vectors(spark, sf):
+    """The stored vector table over two runs: even documents first, then all; the second run, made twice, stores only what is new."""
+    c = S.chunks(spark, sf)
+    c = staged(c.withColumn("text_for_embedding", X.embedding_text(F.lit("Man"), F.array(F.lit("x")), F.concat(F.lit("1\n2"), F.col("text")))))
+    store = Store(spark, _new_path(spark))
+    tables.grow_vectors(store, c.where("chunk_id % 2 = 0"), "m", lambda texts: [[-1.0, -1.0]] * len(texts))
+
+    def call(texts):
+        return [[float(len(t)), float(t.count("e") + 1)] for t in texts]
+
+    tables.grow_vectors(store, c, "m", call)
+    got = tables.grow_vectors(store, c, "m", lambda texts: [[-2.0, -2.0]] * len(texts))
+    return got.select("chunk_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
+
+
+@query("""
+WITH r AS (SELECT unnest([1, 2]) AS as_of)
+SELECT as_of, source AS doc_id, CASE WHEN as_of = 2 AND source IN ('src1', 'src2') THEN 2 ELSE 1 END AS written, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars
+FROM documents, r GROUP BY ALL""")
+def stored_versions(spark, sf):
+    """A table by documents, two of which were built anew: both versions, each read whole."""
+    rows = S.chunks(spark, sf).select("doc_id", "chunk_id", "text").withColumn("written", F.lit(1))
+    store = Store(spark, _new_path(spark))
+    store.publish({"chunks": rows}, by_document=("chunks",), buckets=16)
+    store.replace("chunks", rows.withColumn("written", F.lit(2)), rows.select("doc_id").where(F.col("doc_id").isin("src1", "src2")))
+    both = store.read("chunks", 1).withColumn("as_of", F.lit(1)).unionByName(store.read("chunks", 2).withColumn("as_of", F.lit(2)))
+    return both.groupBy("as_of", "doc_id", "written").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("WITH " + _LINES + "SELECT doc_id, page_pdf::INTEGER AS page_pdf, line_no::INTEGER AS line_no, md5(text) AS text_md5, y0, bold FROM l")
+def stored_lines(spark, sf):
+    """Lines written as JSON and read back by their schema."""
+    rows = S.lines(spark, sf)
+    path = _new_path(spark)
+    tables.write_json(rows.select(*[c for c in tables.columns("lines").names if c in rows.columns]), path)
+    return tables.read(spark, "lines", path, "json").select("doc_id", "page_pdf", "line_no", _md5("text").alias("text_md5"), "y0", "bold")

@@ -88,6 +88,18 @@ def vectors(chunks: DataFrame, stored: DataFrame, model: str, call) -> DataFrame
     return chunks.withColumn("digest", digest(model)).join(known, "digest").select("chunk_id", "embedding", "doc_id", "content_type")
 
 
+def grow_vectors(store, chunks: DataFrame, model: str, call, name: str = "embeddings") -> DataFrame:
+    """A vector for each chunk from the stored table ``name(digest, embedding)``, which grows by new texts.
+
+    Only texts without a stored vector are embedded, each once; a run that dies and is
+    repeated stores none twice.
+    """
+    spark = chunks.sparkSession
+    stored = store.read(name) if name in store.manifest() else spark.createDataFrame([], "digest string, embedding array<float>")
+    store.append_new(name, embed(new_digests(chunks, stored, model), call), "digest")
+    return chunks.withColumn("digest", digest(model)).join(store.read(name), "digest").select("chunk_id", "embedding", "doc_id", "content_type")
+
+
 def path_json(df: DataFrame) -> DataFrame:
     """Sections with ``level_path`` as JSON text."""
     return df.withColumn("level_path", F.to_json("level_path"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leafquire.catalog_search import keyword_sql
+from leafquire.catalog_search import CASES, benchmark_cases, keyword_sql
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
 from leafquire.operators import blocks, checks, forms, keyword, layout
@@ -511,3 +511,12 @@ def stored_lines(spark, sf):
     path = _new_path(spark)
     tables.write_json(rows.select(*[c for c in tables.columns("lines").names if c in rows.columns]), path)
     return tables.read(spark, "lines", path, "json").select("doc_id", "page_pdf", "line_no", _md5("text").alias("text_md5"), "y0", "bold")
+
+
+@query(CASES + "SELECT id, type, 's' || (i * 7919 % (last + 1)) || ',s' || (i * 104729 % (last + 3)) AS answers, md5(text) AS needle FROM c, ns")
+def stored_cases(spark, sf):
+    """Ground truth written as JSON lines and read back by its schema."""
+    path = _new_path(spark)
+    tables.write_json(benchmark_cases(spark, sf), path)
+    back = tables.read(spark, "ground_truth", path, "json")
+    return back.select("id", "type", F.array_join("answer_sections", ",").alias("answers"), F.md5(F.get("must_contain", F.lit(0)).cast("binary")).alias("needle"))

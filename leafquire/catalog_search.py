@@ -366,7 +366,7 @@ def section_size_report(spark, sf):
     return checks.size_report(checks.section_sizes(S.chunks(spark, sf).withColumn("char_count", F.coalesce("char_count", F.lit(0)))))
 
 
-def _cases(spark, sf):
+def benchmark_cases(spark, sf):
     """Benchmark passages as questions, dealt over all sections; the second answer of some is past the last section and so unknown."""
     last = S.table(spark, sf, "documents").agg(F.floor(F.max("doc_id") / 100)).first()[0] or 0
     b = S.table(spark, sf, "benchmark")
@@ -377,7 +377,7 @@ def _cases(spark, sf):
     )
 
 
-_PROBLEMS = """
+CASES = """
 WITH c AS (SELECT item_id AS i, item_id::VARCHAR AS id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS type, text FROM benchmark),
 ns AS (SELECT max(doc_id) // 100 AS last FROM documents),
 an AS (SELECT i, id, type, 0 AS n, 's' || (i * 7919 % (last + 1)) AS section_id FROM c, ns UNION ALL SELECT i, id, type, 1, 's' || (i * 104729 % (last + 3)) FROM c, ns),
@@ -390,15 +390,15 @@ pr AS (
 """
 
 
-@query(_PROBLEMS + "SELECT id, type, problem, md5(detail) AS detail FROM pr")
+@query(CASES + "SELECT id, type, problem, md5(detail) AS detail FROM pr")
 def ground_truth_problems(spark, sf):
-    found = checks.ground_truth_problems(_cases(spark, sf), S.sections(spark, sf), S.chunks(spark, sf))
+    found = checks.ground_truth_problems(benchmark_cases(spark, sf), S.sections(spark, sf), S.chunks(spark, sf))
     return found.withColumn("detail", F.md5(F.col("detail").cast("binary")))
 
 
-@query(_PROBLEMS + "SELECT type, count(DISTINCT id) AS n_cases, (SELECT count(*) FROM pr WHERE pr.type = c.type) AS n_problems FROM c GROUP BY type")
+@query(CASES + "SELECT type, count(DISTINCT id) AS n_cases, (SELECT count(*) FROM pr WHERE pr.type = c.type) AS n_problems FROM c GROUP BY type")
 def ground_truth_types(spark, sf):
-    cases = _cases(spark, sf)
+    cases = benchmark_cases(spark, sf)
     return checks.cases_by_type(cases, checks.ground_truth_problems(cases, S.sections(spark, sf), S.chunks(spark, sf)))
 
 

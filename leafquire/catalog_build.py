@@ -107,7 +107,8 @@ asg AS (
 @query(_ASSIGNED + "SELECT doc_id, line_no::INTEGER AS line_no, place::INTEGER AS place FROM asg")
 def lines_to_sections(spark, sf):
     spans = layout.section_spans(S.headings(spark, sf), S.profiles(spark, sf))
-    return layout.assign(layout.body_lines(S.lines(spark, sf)), spans).select("doc_id", "line_no", "place")
+    body = layout.body_lines(S.lines(spark, sf)).select("doc_id", "page_pdf", "line_no", "y0")  # what is dealt by range is written
+    return layout.assign(body, spans).select("doc_id", "line_no", "place")
 
 
 @query(_ASSIGNED.replace("WITH", "WITH RECURSIVE", 1) + r""",

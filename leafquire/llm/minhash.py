@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafquire.llm.shared import components, discard, fresh, materialize, table, whole_groups
+from leafquire.llm.shared import components, discard, materialize, table, whole_groups
 
 SHINGLE = 5
 PERCENT = 80
@@ -24,7 +24,7 @@ MANTISSA = 10
 MARGIN = 0.16
 #: Members of an open bucket are compared in tiles of about this many, with about this many shingles in all.
 TILE, TILE_SHINGLES = 1024, 1 << 21
-#: Words of 64 bits in the map of wanted texts: at most so many rows, about 6 MB, go to all tasks.
+#: Words of 64 bits in a map of wanted rows: at most so many rows, about 6 MB, go to all tasks.
 MARK_WORDS = 1 << 18
 #: Hashes that are combined at once; it bounds memory, not the sets.
 BLOCK = 1 << 15
@@ -136,6 +136,20 @@ def text_print(text) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def marked(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Add ``_marked``: true where ``wanted`` holds the row's value of ``name``, false for most other rows.
+
+    A bit map of a fixed size goes to all tasks, so unwanted rows can stay out of a shuffle
+    whatever the size of ``wanted``; rows marked in error are for an exact join to sort out.
+    ``name`` must not be null.
+    """
+    place = F.pmod(F.shiftright("_hash", 6), F.lit(MARK_WORDS))
+    bit = "CAST(_hash & 63 AS INT)"
+    marks = wanted.select(F.xxhash64(name).alias("_hash")).groupBy(place.alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
+    rows = rows.withColumn("_hash", F.xxhash64(name)).withColumn("_word", place).join(F.broadcast(marks), "_word", "left")
+    return rows.withColumn("_marked", F.expr(f"coalesce(shiftrightunsigned(_bits, {bit}) & 1 = 1, false)")).drop("_hash", "_word", "_bits")
+
+
 def sketch(df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
     """``(key, print, n, set_id, regs, bands)`` of each row: a map over whole texts.
 
@@ -295,13 +309,8 @@ def _sets(docs: DataFrame, named: DataFrame, reps: DataFrame, key: str, text: st
 
     # Written first: its true size decides whether the texts must be shuffled to it.
     wanted = materialize(reps.select("node", F.col("key").alias("_key"), F.col("print").alias("_print")).join(named, "node", "left_semi"))
-    # A bit map of a fixed size, sent to all tasks, keeps most other texts out of the shuffle.
-    place = F.pmod(F.shiftright("_hash", 6), F.lit(MARK_WORDS))
-    bit = "CAST(_hash & 63 AS INT)"
-    marks = wanted.select(F.xxhash64("_print").alias("_hash")).groupBy(place.alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
     texts = docs.select(F.col(key).alias("_key"), text_print(F.col(text)).alias("_print"), F.col(text).cast("binary").alias("text"))
-    texts = texts.withColumn("_hash", F.xxhash64("_print")).withColumn("_word", place).join(F.broadcast(marks), "_word")
-    texts = texts.where(f"shiftrightunsigned(_bits, {bit}) & 1 = 1").drop("_hash", "_word", "_bits")
+    texts = marked(texts, "_print", wanted).where("_marked").drop("_marked")
     texts = texts.join(wanted, ["_key", "_print"]).select("node", "text")
     return materialize(texts.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]))
 
@@ -416,19 +425,21 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     in both are one document, and one of them stays. Rows without a key or without words
     are in no group and all stay. All columns stay.
     """
-    (mark,) = fresh(docs, "_print")
     rows = materialize(judged(docs, key, text, size, percent).where("group IS NOT NULL").select("key", "print", "group"))
     # Singletons are most of the table: only groups and repeated rows are looked at.
     several = rows.groupBy("group").agg(F.min(F.struct("key", "print")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    grouped = materialize(rows.join(several.select("group", "first"), "group").groupBy("key", "print").agg(F.min(F.struct("key", "print") == F.col("first")).alias("stays"), F.count("*").alias("n")))
-    named = lambda df: df.select(F.col("key").alias(key), F.col("print").alias(mark))
-    marked = docs.withColumn(mark, text_print(F.col(text)))
-    left = marked.join(named(grouped.where("NOT stays")), [key, mark], "left_anti")
-    again = materialize(named(grouped.where("stays AND n > 1")))
-    if again.limit(1).count():
-        once = left.join(again, [key, mark], "left_semi").dropDuplicates([key, mark])
-        left = left.join(again, [key, mark], "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    grouped = rows.join(several.select("group", "first"), "group").groupBy("key", "print").agg(F.min(F.struct("key", "print") == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    touched = materialize(grouped.where("NOT stays OR n > 1").select(F.col("key").alias("_key"), F.col("print").alias("_print"), "stays"))
+    # The texts of all other rows pass where they are read; only marked ones are shuffled, if any.
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("_key"), text_print(F.col(text)).alias("_print"))
+    named = marked(named, "_print", touched)
+    passed, looked = named.where("NOT _marked").select("doc.*"), named.where("_marked").drop("_marked")
+    out = passed.unionByName(looked.join(touched, ["_key", "_print"], "left_anti").select("doc.*"))
+    if touched.where("stays").limit(1).count():
+        again = looked.join(touched.where("stays"), ["_key", "_print"], "left_semi").dropDuplicates(["_key", "_print"])
+        out = out.unionByName(again.select("doc.*"))
+    discard(rows)
+    return out
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

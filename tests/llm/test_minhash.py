@@ -126,3 +126,34 @@ def test_few_strays_send_a_bucket_once(spark):
         met = left.join(right, ["i", "j"]).agg(F.count("*"), F.countDistinct("node", "other")).first()
         assert tuple(met) == (n * strays, n * strays)
         assert tiled.groupBy("i", "j", "side").count().agg(F.max("count")).first()[0] <= 1.3 * minhash.TILE
+
+
+def shuffled(df):
+    """Bytes that ``df`` sends through its exchanges, before they are compressed."""
+    df.collect()
+    todo, size = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(plan.finalPhysicalPlan())
+        elif "QueryStage" in name:
+            todo.append(plan.plan())
+        elif name == "Exchange":
+            size += plan.metrics().apply("dataSize").value()
+        todo.extend(plan.children().apply(i) for i in range(plan.children().size()))
+    return size
+
+
+def test_single_texts_are_not_shuffled(spark):
+    rows = [(i, " ".join(f"{i}x{j}" for j in range(100))) for i in range(600)]
+    rows += [(600 + i, rows[i][1] + " tail") for i in range(40)] + rows[50:55]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.one_of_each(df)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(600))
+        assert 0 < shuffled(out) < 0.5 * sum(len(text) for _, text in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -157,3 +157,18 @@ def test_single_texts_are_not_shuffled(spark):
         assert 0 < shuffled(out) < 0.5 * sum(len(text) for _, text in rows)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_registers_of_no_pair_are_not_shuffled(spark, tmp_path):
+    rows = [(i, 50, np.full(minhash.REGISTERS, i, np.uint16).tobytes()) for i in range(1000)] + [(5000, 50, np.full(minhash.REGISTERS, 7, np.uint16).tobytes())]
+    spark.createDataFrame(rows, "node long, n long, regs binary").write.parquet(f"{tmp_path}/classes")
+    spark.createDataFrame([(7, 5000), (3, 4)], "a long, b long").write.parquet(f"{tmp_path}/pairs")
+    pairs, classes = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("pairs", "classes"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.estimated(pairs, classes, 80)
+        assert [(r.a, r.b) for r in out.collect()] == [(7, 5000)]
+        assert 0 < shuffled(out) < 0.1 * sum(len(regs) for _, _, regs in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty. A column of ``docs`` named like a new one keeps its name.
     """
     ids, n = fresh(docs, "ids", "n_tokens")
-    return bpe.encode(docs, ids=ids).withColumn(n, F.size(ids).cast("long")).drop("text")
+    return bpe.encode(docs, ids=ids, keep_text=False).withColumn(n, F.size(ids).cast("long"))
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from leafquire.llm.shared import fresh, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Characters of text that are merged together, and words remembered with their ids.
+#: Bytes of text that are merged and passed on together, and words remembered with their ids.
 #: Both bound memory only; every word of every text is encoded.
 TEXT_BLOCK = 500_000
 REMEMBERED = 100_000
@@ -196,14 +196,15 @@ class Encoder:
         return out
 
 
-def _blocks(texts: list[str | None]):
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= TEXT_BLOCK:
-            yield texts[start : i + 1]
-            start, size = i + 1, 0
-    yield texts[start:]
+def _blocks(batch: pa.RecordBatch, text: str):
+    """A batch's rows in slices of at most ``TEXT_BLOCK`` bytes of text; a longer text is one of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + TEXT_BLOCK, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 @lru_cache(maxsize=2)
@@ -212,6 +213,18 @@ def _vocabulary(file: str) -> Vocabulary:
         return Vocabulary.read(f.read())
 
 
+def encoded(batches, vocab: Vocabulary, text: str, rest: list[int], names: list[str]):
+    """The columns ``rest`` of each block of rows and the ids of its texts, under ``names``."""
+    encoder = Encoder(vocab)
+    for batch in batches:
+        for block in _blocks(batch, text):
+            parts = encoder.block(block.column(text).to_pylist())
+            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
+            column = pa.ListArray.from_arrays(pa.array(offsets), values)
+            yield pa.RecordBatch.from_arrays([*map(block.column, rest), column], names=names)
+
+
 def _share(df: DataFrame, path: str) -> str:
     """Send the tokenizer file, a fixed few MB, to all executors; its name there."""
     context = df.sparkSession.sparkContext
@@ -221,27 +234,20 @@ def _share(df: DataFrame, path: str) -> str:
     return name
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, keep_text: bool = True) -> DataFrame:
     """Add ``ids array<int>``: the whole text's token ids, special tokens of a text included.
 
-    Null and empty texts have no ids. Other columns stay; a column named ``ids`` is
-    replaced. A map over partitions; a very long text, even one without spaces, costs
-    time in proportion to its length times the logarithm of it.
+    Null and empty texts have no ids. Other columns stay, the text unless ``keep_text`` is
+    false; a column named ``ids`` is replaced. A map over partitions; a very long text, even
+    one without spaces, costs time in proportion to its length times the logarithm of it.
+    Rows leave a task in blocks of ``TEXT_BLOCK`` bytes of text, so it holds the ids of one
+    block, not of a batch.
     """
     file = _share(df, path or tokenizer_path())
     df = df.drop(ids) if ids != text else df
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)])
-
-    def run(batches):
-        encoder = Encoder(_vocabulary(file))
-        for batch in batches:
-            parts = [b for block in _blocks(batch.column(text).to_pylist()) for b in encoder.block(block)]
-            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))
-            column = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
-
-    return df.mapInArrow(run, schema)
+    rest = [i for i, c in enumerate(df.columns) if c != ids and (keep_text or c != text)]
+    schema = T.StructType([*map(df.schema.fields.__getitem__, rest), T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)])
+    return df.mapInArrow(lambda batches: encoded(batches, _vocabulary(file), text, rest, schema.names), schema)
 
 
 def _joined(column: pa.ListArray, tokens: pa.StringArray) -> pa.StringArray:
@@ -311,4 +317,4 @@ def digests(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFra
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     (ids,) = fresh(docs, "ids")
-    return digests(encode(docs, ids=ids).drop("text"), ids)
+    return digests(encode(docs, ids=ids, keep_text=False), ids)

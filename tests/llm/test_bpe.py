@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,29 @@ def test_columns_nulls_and_decoding(spark, library):
     assert digest[None].n_tokens == 0
 
 
+def test_rows_leave_a_task_in_blocks(library):
+    """One batch, as Spark sends up to 10,000 rows, must not come back as one batch with all its texts and ids."""
+    vocab = bpe.Vocabulary.read(open(bpe.tokenizer_path(), encoding="utf-8").read())
+    texts = [None, "", *(f"row {i} é {'some words ' * 60}" for i in range(3000)), "中文 " * (bpe.TEXT_BLOCK // 3), None, "end"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = list(bpe.encoded([batch.slice(0, 0), batch], vocab, "text", [0], ["doc_id", "ids"]))
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert all(b.schema.names == ["doc_id", "ids"] for b in out)
+    sizes = [sum(len((texts[i] or "").encode()) for i in b.column("doc_id").to_pylist()) for b in out]
+    assert len(out) > 4 and all(n <= bpe.TEXT_BLOCK or b.num_rows == 1 for n, b in zip(sizes, out))
+    got = [r for b in out for r in b.column("ids").to_pylist()]
+    for k in (0, 1, 2, 700, 3001, 3002, 3003, 3004):
+        assert got[k] == (library.encode(texts[k], add_special_tokens=False).ids if texts[k] else [])
+
+
+def test_columns_that_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "k long, text string, ids string")
+    assert bpe.encode(df).columns == ["k", "text", "ids"]
+    assert bpe.encode(df, keep_text=False).columns == ["k", "ids"]
+    assert bpe.encode(df, ids="text").columns == ["k", "ids", "text"]
+    assert [(r.k, len(r.text), r.ids) for r in bpe.encode(df, ids="text").orderBy("k").collect()] == [(1, 2, "x"), (2, 0, "y")]
+
+
 def test_unknown_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, [-1, 0, 10**6]), (2, None), (3, [])], "k long, ids array<int>")
     assert [r.decoded for r in bpe.decode(df).orderBy("k").collect()] == ["!", "", ""]

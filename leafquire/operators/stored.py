@@ -1,17 +1,19 @@
-"""A stored keyword index: positional postings of blocks of chunks, and search that reads them alone.
-
-A row holds up to ``WIDTH`` chunks: the terms of their texts one after the other, and for
-each different term the places where it stands. A phrase is looked for in a block only at
-the places of its rarest term, and not at all where that term is missing; its other terms
-are then compared at their places beside it. Terms have at most two letters and are kept
-as one number each, so no text is cut again, and nothing is compared as a string.
+"""A stored keyword index: the terms of blocks of chunks as numbers, and search that reads them alone.
+
+A row holds up to ``WIDTH`` chunks with ``TERMS`` terms in all: the different terms of their
+texts, and the texts themselves as numbers of these, one after the other. Where a term stands
+follows from that by one pass of counting, so places are not stored. A phrase is looked for in
+a block only at the places of its rarest term, and not at all where that term is missing; its
+other terms are then compared at their places beside it. Terms have at most two letters and are
+kept as one number each, so no text is cut again, and nothing is compared as a string.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,17 @@ from leafquire.operators.best import in_blocks
 
 #: Chunks of a block.
 WIDTH = 64
+#: Terms of a block, unless one chunk alone has more.
+TERMS = 1 << 18
+
+BLOCK = "chunk_id array<string>, doc_id array<string>, content_type array<string>, n array<int>, terms array<bigint>, times array<int>, cut binary"
+
+#: How blocks are written. A reader holds a row group at once, unpacked; by default Parquet closes one after 128 MB, and looks only every 100 rows.
+FILES = {"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 
-BLOCK = (
-    "chunk_id array<string>, doc_id array<string>, content_type array<string>, n array<int>, "
-    "codes array<bigint>, terms array<bigint>, firsts array<int>, places array<int>"
-)
+_LETTER = np.zeros(0x110000 + 1, bool)
+for _run in re.finditer(P.WORD, "".join(map(chr, range(0x10000)))):
+    _LETTER[_run.start() : _run.end()] = True
 
 
 def code(term: str) -> int:
@@ -34,49 +42,81 @@ def code(term: str) -> int:
     return ord(term[0]) << 21 | (ord(term[1]) if len(term) > 1 else 0)
 
 
-def index_blocks(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
+def cut(text: bytes) -> np.ndarray:
+    """The codes of the terms that ``X.grams`` makes of a text already in lower case."""
+    at = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    inside = _LETTER[at]
+    more = np.append(inside[1:], False)
+    alone = inside & ~more
+    alone[1:] &= ~inside[:-1]
+    first = np.flatnonzero(inside & more | alone)
+    return at[first] << 21 | np.where(more[first], np.append(at, 0)[first + 1], 0)
+
+
+def _pack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The different codes in order, how often each occurs, and all of them as numbers of these."""
+    known = pa.array(codes, pa.int64()).dictionary_encode()
+    names = known.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(names)
+    number = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    number[order] = np.arange(len(order))
+    numbers = number[known.indices.to_numpy(zero_copy_only=False)]
+    return names[order], np.bincount(numbers, minlength=len(order)), numbers.tobytes()
+
+
+def unpack(terms: np.ndarray, times: np.ndarray, packed) -> dict:
+    """What ``find_in`` reads of a block: its codes, and for each different term the places where it stands."""
+    numbers = np.frombuffer(packed, np.uint16 if len(terms) <= 1 << 16 else np.uint32)
+    return {"codes": terms[numbers], "terms": terms, "firsts": np.cumsum(times) - times, "places": np.argsort(numbers, kind="stable")}
+
+
+def index_blocks(chunks: DataFrame, width: int = WIDTH, most: int = TERMS) -> DataFrame:
     """Blocks of ``chunks(chunk_id, doc_id, content_type, text)``. Texts are cut once; no shuffle.
 
     Empty and null texts are chunks without terms. Repeated chunks are indexed each.
     """
-    rows = chunks.select("chunk_id", "doc_id", "content_type", X.grams(F.coalesce("text", F.lit(""))).alias("gs"))
+    rows = chunks.select("chunk_id", "doc_id", "content_type", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text"))
+
+    def block(about, found):
+        terms, times, packed = _pack(np.concatenate(found))
+        whole = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+        return pa.RecordBatch.from_arrays(
+            [*(pa.ListArray.from_arrays(pa.array([0, about.num_rows], pa.int32()), about.column(c)) for c in ("chunk_id", "doc_id", "content_type")),
+             whole([len(x) for x in found], pa.int32()), whole(terms, pa.int64()), whole(times, pa.int32()), pa.array([packed], pa.binary())],
+            names=["chunk_id", "doc_id", "content_type", "n", "terms", "times", "cut"])
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, width):
-                part = batch.slice(start, width)
-                gs = part.column("gs")
-                size = pc.fill_null(pc.list_value_length(gs), 0).to_numpy(zero_copy_only=False)
-                cut = gs.flatten().dictionary_encode()
-                names = np.array([code(t) for t in cut.dictionary.to_pylist()], np.int64)
-                codes = names[cut.indices.to_numpy(zero_copy_only=False)] if len(names) else np.empty(0, np.int64)
-                places = np.argsort(codes, kind="stable")
-                terms, firsts = np.unique(codes[places], return_index=True)
-                whole = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("chunk_id", "doc_id", "content_type")),
-                     whole(size, pa.int32()), whole(codes, pa.int64()), whole(terms, pa.int64()), whole(firsts, pa.int32()), whole(places, pa.int32())],
-                    names=["chunk_id", "doc_id", "content_type", "n", "codes", "terms", "firsts", "places"])
+            texts, found, held = batch.column("text"), [], 0
+            for i in range(batch.num_rows):
+                codes = cut(texts[i].as_py())
+                if found and (len(found) == width or held + len(codes) > most):
+                    yield block(batch.slice(i - len(found), len(found)), found)
+                    found, held = [], 0
+                found.append(codes)
+                held += len(codes)
+            if found:
+                yield block(batch.slice(batch.num_rows - len(found)), found)
 
     return rows.mapInArrow(run, BLOCK)
 
 
 def term_counts(blocks: DataFrame) -> DataFrame:
-    """``(term, n)``: places of each term in all blocks; each block adds up its own first."""
-    ends = F.concat(F.slice("firsts", F.lit(2), F.size("firsts")), F.array(F.size("codes")))
-    counted = blocks.select(F.explode(F.arrays_zip(F.col("terms"), F.zip_with("firsts", ends, lambda a, b: (b - a).cast("long")).alias("here"))).alias("t"))
-    return counted.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.here").alias("n"))
+    """``(term, n)``: places of each term in all blocks; each block has added up its own."""
+    counted = blocks.select(F.explode(F.arrays_zip("terms", "times")).alias("t"))
+    return counted.groupBy(F.col("t.terms").alias("term")).agg(F.sum(F.col("t.times").cast("long")).alias("n"))
 
 
 def corpus(blocks: DataFrame) -> tuple[int, float]:
     """Number of chunks and mean number of terms."""
-    row = blocks.agg(F.sum(F.size("chunk_id")).alias("n"), F.sum(F.size("codes").cast("long")).alias("terms")).first()
+    terms = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    row = blocks.agg(F.sum(F.size("n")).alias("n"), F.sum(terms).alias("terms")).first()
     return row["n"] or 0, (row["terms"] or 0) / (row["n"] or 1)
 
 
 def write_index(chunks: DataFrame, path: str, width: int = WIDTH) -> None:
     """Store ``blocks`` and ``terms`` under ``path``; a run that fails leaves no ``terms``, so no half index is read."""
-    index_blocks(chunks, width).write.mode("overwrite").parquet(f"{path}/blocks")
+    index_blocks(chunks, width).write.mode("overwrite").options(**FILES).parquet(f"{path}/blocks")
     blocks = chunks.sparkSession.read.schema(BLOCK).parquet(f"{path}/blocks")
     term_counts(blocks).write.mode("overwrite").parquet(f"{path}/terms")
 
@@ -138,8 +178,9 @@ def matches_in(every: list[list[str]], blocks: DataFrame, counts: DataFrame) ->
         plan = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].values for c in batch.schema.names}
-                block = {c: row[c].to_numpy(zero_copy_only=False) for c in ("codes", "terms", "firsts", "places", "n")}
+                row = {c: batch.column(c)[i].values for c in ("chunk_id", "doc_id", "content_type", "n", "terms", "times")}
+                n, terms, times = (row[c].to_numpy(zero_copy_only=False) for c in ("n", "terms", "times"))
+                block = unpack(terms, times, batch.column("cut")[i].as_buffer()) | {"n": n}
                 chunk, phrase, times, skipped = find_in(block, plan)
                 total = len(row["chunk_id"])
                 offsets = pa.array(np.searchsorted(chunk, np.arange(total + 1)).astype(np.int32))

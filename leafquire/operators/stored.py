@@ -138,6 +138,11 @@ def _plan(every: list[list[str]], counts: DataFrame):
     return flat, first, size, rarest
 
 
+def _ranges(lo: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each ``lo``, ``count`` of them, one range after the other."""
+    return np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 def find_in(block: dict, plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Chunk, phrase and number of times of what a block holds, and in how many cases a phrase's rarest term is missing."""
     flat, first, size, rarest = plan
@@ -148,20 +153,41 @@ def find_in(block: dict, plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
     rare = flat[first + rarest]
     at = np.minimum(np.searchsorted(terms, rare), len(terms) - 1)
     there = np.flatnonzero(terms[at] == rare)
-    lo = firsts[at[there]].astype(np.int64)
-    count = np.append(firsts, len(codes))[at[there] + 1] - lo
-    phrase = np.repeat(there, count)
-    step = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-    begin = places[np.repeat(lo, count) + step].astype(np.int64) - rarest[phrase]
+    # One term beside the rarest is compared with it as one number, so few places of a frequent term become candidates.
+    side = np.where(size == 1, 0, np.where(rarest + 1 < size, 1, -1))
+    beside = flat[first + rarest + side]
+    near = np.minimum(np.searchsorted(terms, beside), len(terms) - 1)
+    able = there[terms[near[there]] == beside[there]]
+    until = np.append(firsts[1:], len(codes)).astype(np.int64)
+    numbers = np.empty(len(codes), np.int64)
+    numbers[places] = np.repeat(np.arange(len(terms)), until - firsts)
+    phrases, begins = [], []
+    for s in (0, 1, -1):
+        mine = able[side[able] == s]
+        key = at[mine] * len(terms) + near[mine]
+        mine, key = mine[(order := np.argsort(key, kind="stable"))], key[order]
+        key, starts, count = np.unique(key, return_index=True, return_counts=True)
+        held = np.unique(at[mine])
+        place = places[_ranges(firsts[held].astype(np.int64), until[held] - firsts[held])].astype(np.int64)
+        place = place[(place + s >= 0) & (place + s < len(codes))]
+        found = numbers[place] * len(terms) + numbers[place + s]
+        slot = np.minimum(np.searchsorted(key, found), max(len(key) - 1, 0))
+        hit = np.flatnonzero(key[slot] == found) if len(key) else np.empty(0, np.int64)
+        slot, place = slot[hit], place[hit]
+        phrases.append(mine[_ranges(starts[slot], count[slot])])
+        begins.append(np.repeat(place, count[slot]) - rarest[phrases[-1]])
+    phrase, begin = np.concatenate(phrases), np.concatenate(begins)
     ends = np.cumsum(n)
     chunk = np.searchsorted(ends, begin + rarest[phrase], side="right")
     inside = (begin >= ends[chunk] - n[chunk]) & (begin + size[phrase] <= ends[chunk])
     phrase, begin, chunk = phrase[inside], begin[inside], chunk[inside]
+    good, start, size_of, left = np.ones(len(phrase), bool), first[phrase], size[phrase], np.arange(len(phrase))
     for k in range(int(size.max())):
-        more = np.flatnonzero(size[phrase] > k)
-        bad = more[codes[begin[more] + k] != flat[first[phrase[more]] + k]]
-        if len(bad):
-            phrase, begin, chunk = (np.delete(x, bad) for x in (phrase, begin, chunk))
+        left = left[size_of[left] > k]
+        same = codes[begin[left] + k] == flat[start[left] + k]
+        good[left[~same]] = False
+        left = left[same]
+    phrase, chunk = phrase[good], chunk[good]
     pairs, times = np.unique(chunk * len(size) + phrase, return_counts=True)
     return pairs // len(size), pairs % len(size), times, len(size) - len(there)
 

@@ -123,9 +123,12 @@ def unit(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
 
 
-def markdown(rows: Column, residual: Column) -> Column:
-    """A table's rows as markdown, padded to the widest, with the residual lines below."""
-    width = F.array_max(F.transform(rows, F.size))
+def markdown(rows: Column, residual: Column, width: Column | None = None) -> Column:
+    """A table's rows as markdown, padded to the widest, with the residual lines below.
+
+    For long tables ``width``, the widest row's, should be a column: else it is looked for again at each row.
+    """
+    width = F.array_max(F.transform(rows, F.size)) if width is None else width
     pad = lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
     line = lambda r: F.concat(F.lit("| "), F.array_join(pad(r), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
-from leafquire.operators.ranges import counted_before, dealt, packed
+from leafquire.operators.ranges import counted_before, dealt, numbered, packed, rows_of
 from leafquire.sources.stage import staged
 
 
@@ -74,15 +74,22 @@ def residual_lines(tables: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumn("residual", F.when(F.col("kind") == "formula", none).otherwise(F.coalesce("residual", none)))
 
 
+def lines_inside(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """``_row`` of the lines that stand inside a table, for each such table."""
+    boxes = tables.select("doc_id", "page_pdf", F.col("bbox.y0").alias("_top"), F.col("bbox.y1").alias("_bottom"))
+    return lines.join(boxes, ["doc_id", "page_pdf"]).where(F.col("y0").between(F.col("_top") - 2, F.col("_bottom") + 2)).select("_row")
+
+
 def lines_outside(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines that no table of the same section and page covers or claims as its caption.
 
-    Both sides have ``place``, the section they belong to.
+    Both sides have ``place``, the section they belong to. Lines may have ``_key`` in place of ``text``.
     """
     keys = ["doc_id", "place", "page_pdf"]
     boxes = tables.select(*keys, F.col("bbox.y0").alias("top"), F.col("bbox.y1").alias("bottom"))
     covered = [lines[k] == boxes[k] for k in keys] + [lines["y0"].between(boxes["top"] - 2, boxes["bottom"] + 2)]
-    left = lines.join(boxes, covered, "left_anti").withColumn("_key", X.squash(F.col("text")))
+    left = lines.join(boxes, covered, "left_anti")
+    left = left if "_key" in lines.columns else left.withColumn("_key", X.squash(F.col("text")))
     claimed = tables.where("caption != ''").select(*keys, X.squash(F.col("caption")).alias("_key"))
     return left.join(claimed, [*keys, "_key"], "left_anti").drop("_key")
 
@@ -132,10 +139,11 @@ def table_parts(tables: DataFrame, limit: int = P.TABLE_CHARS) -> DataFrame:
     """
     rows = F.col("rows")
     formula = F.array_join(F.transform(rows, lambda r: F.get(r, F.lit(0))), "\n")
-    whole = F.when(F.col("kind") == "formula", formula).otherwise(X.markdown(rows, F.col("residual")))
-    width = F.array_max(F.transform(rows, F.size))
+    width = F.col("_width")
+    whole = F.when(F.col("kind") == "formula", formula).otherwise(X.markdown(rows, F.col("residual"), width))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
-    out = tables.withColumn("whole", whole).withColumn("lines", F.transform(rows, line))
+    # Behind explode the width is found once, not anew for each row.
+    out = tables.withColumn("_width", F.explode(F.array(F.array_max(F.transform(rows, F.size))))).withColumn("whole", whole).withColumn("lines", F.transform(rows, line))
     body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
     out = out.withColumn("body", body).withColumn("groups", greedy(F.transform("body", F.length), limit))
     head = F.concat(F.get("lines", F.lit(0)), F.lit("\n|"), F.repeat(F.lit("---|"), width))
@@ -145,7 +153,11 @@ def table_parts(tables: DataFrame, limit: int = P.TABLE_CHARS) -> DataFrame:
     out = out.withColumn("begins", F.when(F.size("groups") > 0, begins).otherwise(F.array(F.lit(0))))
     ends = lambda i: F.coalesce(F.get("begins", i + 1), F.size("body"))
     parts = F.transform("begins", lambda b, i: F.concat(head, F.lit("\n"), F.array_join(F.slice("body", b + 1, ends(i) - b), "\n")))
-    return out.withColumn("_parts", F.when(split, parts).otherwise(F.array("whole"))).select("*", F.posexplode("_parts").alias("part", "text")).drop("whole", "lines", "body", "groups", "begins", "_parts")
+    return out.withColumn("_parts", F.when(split, parts).otherwise(F.array("whole"))).select("*", F.posexplode("_parts").alias("part", "text")).drop("_width", "whole", "lines", "body", "groups", "begins", "_parts")
+
+
+#: Texts meet in blocks of this many lines, as a power of two: a chunk's lines are mostly in one.
+BLOCK_BITS = 12
 
 
 def emit(lines: DataFrame, tables: DataFrame, limit: int = P.CHUNK_CHARS, lead_in: int = P.LEAD_IN_CHARS) -> DataFrame:
@@ -155,30 +167,70 @@ def emit(lines: DataFrame, tables: DataFrame, limit: int = P.CHUNK_CHARS, lead_i
     table that come to under ``lead_in`` characters join the next table's first part
     after its caption; longer ones, and those after the last table, are packed as text.
     """
+    body = numbered(lines.withColumn("_n", F.length(X.strip(F.coalesce("text", F.lit(""))))), "_row", compression="zstd")
+    cells = numbered(tables, "_box", compression="zstd")
+    heads, members = outline(body.drop("text"), cells.drop("rows"), body, cells, limit, lead_in)
+    return with_texts(heads, members, body)
+
+
+def outline(lines: DataFrame, tables: DataFrame, body: DataFrame, cells: DataFrame, limit: int = P.CHUNK_CHARS, lead_in: int = P.LEAD_IN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The chunks of ``emit`` before their texts are put together, and which lines make them.
+
+    ``lines`` and ``tables`` come without texts and cells, which ``body(_row, text)`` and
+    ``cells(_box, rows)`` have. Chunks of lines are named by ``_first``, the least ``_row`` in them; those of
+    tables have no such name but their ``text``. Members are ``(_row, _first, _i)``, ``_i`` being their order.
+    """
     at = lambda kind, n: F.struct("page_pdf", F.col("_y").alias("y"), F.lit(kind).alias("kind"), *n)
     own = [F.bround("y0", 1).alias("b"), F.col("x0").alias("x"), F.col("line_no").cast("int").alias("n")]
-    rows = lines.withColumn("_y", F.col("y0")).select("doc_id", "place", "page_pdf", "text", at(1, own).alias("at"))
+    rows = lines.withColumn("_y", F.col("y0")).select("doc_id", "place", "page_pdf", "_row", "_n", at(1, own).alias("at"))
     none = [F.lit(0.0).alias("b"), F.lit(0.0).alias("x"), F.col("table_no").cast("int").alias("n")]
-    boxes = tables.withColumn("_y", F.col("bbox.y0")).withColumn("at", at(0, none)).withColumn("is_table", F.lit(1))
-    marks = rows.withColumn("is_table", F.lit(0)).unionByName(boxes.select("doc_id", "place", "page_pdf", "at", "is_table"), allowMissingColumns=True)
+    boxes = tables.withColumn("_y", F.col("bbox.y0")).select("doc_id", "place", "page_pdf", "_box", "kind", "caption", "residual", at(0, none).alias("at"))
+    marks = rows.withColumn("is_table", F.lit(0)).unionByName(boxes.drop("kind", "caption", "residual").withColumn("is_table", F.lit(1)), allowMissingColumns=True)
     section, island = ["doc_id", "place"], ["doc_id", "place", "island"]
     marks = staged(counted_before(dealt(marks, *section, "at"), section, "at", "is_table", "island").drop("_part"))
-    chars = F.sum(F.when(F.col("is_table") == 0, F.length(X.strip(F.coalesce("text", F.lit(""))))).otherwise(0))
-    marks = marks.join(marks.groupBy(*island).agg(chars.alias("chars"), F.max("is_table").alias("closed")), island)
-    leads = marks.where((F.col("closed") == 1) & (F.col("chars") < lead_in))
-    lead = leads.where("is_table = 0").groupBy("doc_id", "place", "island").agg(F.array_sort(F.collect_list(F.struct("at", X.strip("text").alias("t")))).alias("parts"))
-    lead = lead.select("doc_id", "place", "island", F.concat(F.array_join(F.transform("parts", lambda p: p["t"]), "\n"), F.lit("\n")).alias("lead"))
-    loose = marks.where((F.col("is_table") == 0) & ~((F.col("closed") == 1) & (F.col("chars") < lead_in)))
-    texts = pack_lines(loose, ["doc_id", "place", "island"], ["at"], limit).select(
-        "doc_id", "place", "island", F.lit(0).alias("kind"), "run", F.lit("text").alias("content_type"), "text", "page_start", "page_end", F.lit("").alias("caption")
-    )
-    keyed = marks.where("is_table = 1").select("doc_id", "place", "at", "island")
-    parts = table_parts(boxes).join(keyed, ["doc_id", "place", "at"]).join(lead, ["doc_id", "place", "island"], "left")
+    marks = marks.join(marks.groupBy(*island).agg(F.sum(F.when(F.col("is_table") == 0, F.col("_n")).otherwise(0)).alias("chars"), F.max("is_table").alias("closed")), island)
+    short = (F.col("closed") == 1) & (F.col("chars") < lead_in)
+    leads = staged(marks.where(short & (F.col("is_table") == 0)).select(*island, "at", "_row"))
+    lead = leads.join(rows_of(body, leads).select("_row", X.strip("text").alias("t")), "_row").groupBy(*island).agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("parts"))
+    lead = lead.select(*island, F.concat(F.array_join(F.transform("parts", lambda p: p["t"]), "\n"), F.lit("\n")).alias("lead"))
+    loose = marks.where((F.col("is_table") == 0) & ~short).select(*island, "at", "_row", "_n")
+    runs = packed(loose, island, ["at", "_row"], "_n", limit)
+    chunk = W.partitionBy(*island, "run")
+    members = staged(runs.select(*island, "run", F.col("at.page_pdf").alias("page"), "_row", "_n", F.min("_row").over(chunk).alias("_first"), F.row_number().over(chunk.orderBy("at", "_row")).alias("_i")))
+    texts = members.groupBy(*island, "run").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min("_first").alias("_first"), F.sum("_n").alias("_size")).where("_size > 0")
+    texts = texts.select(*island, F.lit(0).alias("kind"), "run", F.lit("text").alias("content_type"), "page_start", "page_end", F.lit("").alias("caption"), "_first", F.lit(None).cast("string").alias("text"))
+    keyed = marks.where("is_table = 1").select("_box", "island")
+    parts = boxes.join(keyed, "_box").join(lead, island, "left").join(cells.select("_box", "rows"), "_box")
+    parts = table_parts(parts)
     caption = F.when(F.col("caption") != "", F.concat("caption", F.lit("\n"))).otherwise("")
     first = F.when(F.col("part") == 0, F.concat(caption, F.coalesce("lead", F.lit("")))).otherwise("")
     parts = parts.select(
-        "doc_id", "place", "island", F.lit(1).alias("kind"), F.col("part").alias("run"), F.col("kind").alias("content_type"),
-        F.concat(first, F.col("text")).alias("text"), F.col("page_pdf").alias("page_start"), F.col("page_pdf").alias("page_end"), "caption",
+        *island, F.lit(1).alias("kind"), F.col("part").alias("run"), F.col("kind").alias("content_type"), F.col("page_pdf").alias("page_start"), F.col("page_pdf").alias("page_end"),
+        "caption", F.lit(None).cast("long").alias("_first"), F.concat(first, F.col("text")).alias("text"),
     )
     number = F.row_number().over(W.partitionBy("doc_id", "place").orderBy("island", "kind", "run")) - 1
-    return texts.unionByName(parts).withColumn("number", number).drop("island", "kind", "run")
+    heads = texts.unionByName(parts).withColumn("number", number).drop("island", "kind", "run")
+    return staged(heads, compression="zstd"), members.select("_row", "_first", "_i")
+
+
+def with_texts(heads: DataFrame, members: DataFrame, body: DataFrame) -> DataFrame:
+    """``heads`` with the texts of their lines in ``text``, joined by line breaks.
+
+    Each text is shuffled once, to the block of lines that its chunk begins in. Texts go by their own
+    number, so lines that stand in another block than their chunk's first are looked up before.
+    """
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    text = X.strip(F.coalesce("text", F.lit(""))).alias("_t")
+    far = block("_row") != block("_first")
+    strays = staged(members.where(far))
+    strays = strays.join(rows_of(body, strays).select("_row", text), "_row").withColumn("_b", block("_first"))
+    near = members.where(~far).withColumn("_b", block("_row"))
+    own = body.select(block("_row").alias("_b"), "_row", text)
+    lines = heads.where("_first IS NOT NULL")
+    named = lines.select(block("_first").alias("_b"), (-1 - F.col("_first")).alias("_row"), "_first", F.struct(*[c for c in heads.columns if c not in ("_first", "text")]).alias("_head"))
+    every = own.unionByName(near, True).unionByName(strays, True).unionByName(named, True).repartition("_b")
+    met = every.groupBy("_b", "_row").agg(F.max("_first").alias("_first"), F.max("_i").alias("_i"), F.max("_t").alias("_t"), F.first("_head", True).alias("_head")).where("_first IS NOT NULL")
+    part = F.when(F.col("_i").isNotNull(), F.struct("_i", "_t"))  # nulls are not collected
+    met = met.groupBy("_b", "_first").agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.first("_head", True).alias("_head")).where("_head IS NOT NULL")
+    made = met.select("_head.*", F.array_join(F.transform("_parts", lambda p: p["_t"]), "\n").alias("text"))
+    return made.unionByName(heads.where("_first IS NULL").drop("_first"))

@@ -36,6 +36,12 @@ def covers(lines: DataFrame, profiles: DataFrame) -> DataFrame:
     return found.select("doc_id", number.alias("appendix_no"), "page_pdf", title.alias("appendix_title"), F.coalesce(following, F.col("last")).alias("last_printed"))
 
 
+def form_rows(lines: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``_row`` of the lines on pages in a form range: a catalog needs no others."""
+    rows = lines.select("doc_id", "page_pdf", "_row").join(profiles.select("doc_id", "page_offset", "form_ranges"), "doc_id")
+    return rows.where(in_ranges(F.col("page_pdf") - F.col("page_offset"), F.col("form_ranges"))).select("_row")
+
+
 def catalog(lines: DataFrame, profiles: DataFrame) -> DataFrame:
     """``(doc_id, appendix_no, appendix_title, form_no, name, page_start, page_end, form_order)``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
-from leafquire.operators.ranges import dealt, hand_over, reaching
+from leafquire.operators.ranges import dealt, hand_over, numbered, reaching, rows_of
 from leafquire.sources.stage import staged
 
 JOINED_LINES = 4
@@ -29,6 +29,16 @@ def body_lines(lines: DataFrame) -> DataFrame:
     return lines.where((text != "") & (y >= P.MARGIN) & (y <= height - P.MARGIN) & ~number)
 
 
+def body_rows(lines: DataFrame) -> DataFrame:
+    """``body_lines``, written once, with a number ``_row`` and the length ``_n`` of their text without space at its ends.
+
+    Later steps take a line's place and length, and its text only once it is known which they need.
+    """
+    if "_row" in lines.columns:
+        return lines
+    return numbered(body_lines(lines).withColumn("_n", F.length(X.strip(F.col("text")))), "_row", compression="zstd")
+
+
 def footer_lines(lines: DataFrame) -> DataFrame:
     """Lines with text low on a page, of all lines."""
     return lines.where((X.strip(F.coalesce("text", F.lit(""))) != "") & (F.col("y0") > P.FOOTER_SHARE * F.col("page_height")))
@@ -96,12 +106,20 @@ def _targets(entries: DataFrame) -> DataFrame:
 
 
 def _joined_keys(lines: DataFrame, profiles: DataFrame) -> DataFrame:
-    """From each typeset line the keys of it and up to three lines after it, joined: computed once."""
-    rows = body_lines(lines).withColumn("key", X.match_key(F.col("text")))
-    order = reading_order("doc_id", "page_pdf")
+    """From each typeset line the keys of it and up to three lines after it, joined: computed once.
+
+    Only the texts of these lines are shuffled.
+    """
+    body = body_rows(lines)
+    line = ["doc_id", "page_pdf", "n"]
+    rows = staged(body.withColumn("n", F.row_number().over(reading_order("doc_id", "page_pdf"))).select(*line, "y0", "size", "bold", "_row"))
+    begins = typeset(rows, profiles).where("typeset").select(*line, "y0")
+    wanted = begins.select("doc_id", "page_pdf", F.explode(F.sequence(F.col("n"), F.col("n") + JOINED_LINES - 1)).alias("n"))
+    rows = staged(rows.select(*line, "_row").join(wanted, line, "left_semi"))
+    rows = rows.join(rows_of(body, rows).select("_row", X.match_key(F.col("text")).alias("key")), "_row")
+    order = W.partitionBy("doc_id", "page_pdf").orderBy("n")
     after = [F.lead("key", n).over(order) for n in range(1, JOINED_LINES)]
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("keys", F.array("key", *after))
-    rows = typeset(rows, profiles).where("typeset").withColumn("keys", F.filter("keys", lambda k: k.isNotNull()))
+    rows = rows.withColumn("keys", F.array("key", *after)).select(*line, "keys").join(begins, line).withColumn("keys", F.filter("keys", lambda k: k.isNotNull()))
     runs = F.transform(F.sequence(F.lit(1), F.size("keys")), lambda k: F.array_join(F.slice("keys", F.lit(1), k), ""))
     return rows.select("doc_id", "page_pdf", "y0", "n", F.posexplode(runs).alias("extra", "joined")).where("joined != ''")
 

@@ -17,6 +17,25 @@ from pyspark.sql import Window as W
 
 from leafquire.sources.stage import staged
 
+#: Words of 64 flags up to this many go to every task; more are joined by shuffle.
+BROADCAST_FLAGS = 1_000_000
+
+
+def numbered(df: DataFrame, into: str, **options) -> DataFrame:
+    """``df``, written once, with a number ``into`` for each row that stays the same wherever it is read."""
+    return staged(df.withColumn(into, F.monotonically_increasing_id()), **options)
+
+
+def rows_of(df: DataFrame, wanted: DataFrame, number: str = "_row") -> DataFrame:
+    """The rows of ``df`` whose number stands in ``wanted``, which may repeat it.
+
+    The numbers go as one bit each to where ``df`` is read, so the other rows are never shuffled.
+    """
+    word, bit = F.shiftright(number, 6), F.col(number).bitwiseAND(63).cast("int")
+    flags = staged(wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({number} & 63))")).alias("_bits")))
+    near = F.broadcast if flags.count() <= BROADCAST_FLAGS else (lambda x: x)
+    return df.withColumn("_word", word).join(near(flags), "_word").where(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+
 
 def dealt(df: DataFrame, *order: str) -> DataFrame:
     """``df`` by range of ``order``, with the range's number ``_part``; rows equal in ``order`` share one."""

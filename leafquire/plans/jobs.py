@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafquire.functions import patterns as P
 from leafquire.functions import text as X
 from leafquire.operators import blocks, citations, forms, keyword, layout, search
+from leafquire.operators.ranges import numbered, rows_of
 from leafquire.sources.stage import staged
 
 
@@ -18,24 +19,30 @@ def build(lines: DataFrame, profiles: DataFrame, raw_tables: DataFrame, entries:
     Without ``entries`` the contents pages are read.
     """
     entries = layout.contents_entries(lines, profiles) if entries is None else entries
-    headings = staged(layout.pin_headings(entries.where("kind = 'section'"), lines, profiles))
-    return assemble(lines, profiles, raw_tables, headings)
+    body = layout.body_rows(lines)
+    headings = staged(layout.pin_headings(entries.where("kind = 'section'"), body, profiles))
+    return assemble(body, profiles, raw_tables, headings)
 
 
 def assemble(lines: DataFrame, profiles: DataFrame, raw_tables: DataFrame, headings: DataFrame) -> dict[str, DataFrame]:
     """The build from pinned headings on."""
-    body = layout.body_lines(lines)
-    gated = staged(blocks.gate_tables(raw_tables))
-    tables = blocks.residual_lines(blocks.table_captions(gated, body), body)
+    body = layout.body_rows(lines)
+    gated = numbered(blocks.gate_tables(raw_tables), "_box")
+    tables = staged(blocks.table_captions(gated.drop("rows"), body))
     ordered = layout.section_spans(headings, profiles)
     toc = profiles.select("doc_id", F.explode("toc_pdf_pages").alias("page_pdf"), F.lit(True).alias("toc"))
-    placed = layout.assign(body, ordered).join(toc, ["doc_id", "page_pdf"], "left").where("place > 0 OR toc IS NULL").drop("toc")
     middle = tables.withColumn("mid", (F.col("bbox.y0") + F.col("bbox.y1")) / 2)
     boxes = layout.assign(middle, ordered, "mid").join(toc, ["doc_id", "page_pdf"], "left").where("place > 0 OR toc IS NULL").drop("toc", "mid")
     boxes = staged(boxes)
-    made = staged(blocks.emit(blocks.lines_outside(placed, boxes), boxes))
+    # A line with more letters than any caption is none, so its text need not come along.
+    key, longest = X.squash(F.col("text")), boxes.agg(F.max(F.length(X.squash(F.col("caption"))))).first()[0] or 0
+    thin = body.select("doc_id", "page_pdf", "line_no", "y0", "x0", "_row", "_n", F.when(F.length(key) <= longest, key).alias("_key"))
+    placed = layout.assign(thin, ordered).join(toc, ["doc_id", "page_pdf"], "left").where("place > 0 OR toc IS NULL").drop("toc")
+    inside = blocks.lines_inside(body.select("doc_id", "page_pdf", "y0", "_row"), boxes)
+    residual = blocks.residual_lines(gated, rows_of(body, inside)).select("_box", "residual")
+    heads, members = blocks.outline(blocks.lines_outside(placed, boxes), boxes.join(residual, "_box"), body, gated)
     # Documents without headings have no front matter either.
-    fronts = made.where("place = 0").join(headings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
+    fronts = heads.where("place = 0").join(headings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
     spans = layout.section_spans(layout.level_paths(headings), profiles, fronts).where("kept")
     spans = staged(spans)
     about = profiles.select("doc_id", "short_title", "page_offset")
@@ -47,13 +54,14 @@ def assemble(lines: DataFrame, profiles: DataFrame, raw_tables: DataFrame, headi
         "section_id", "doc_id", "title", "level_path", F.col("page_pdf").alias("page_pdf_start"), F.col("end_page").alias("page_pdf_end"),
         printed("page_pdf").alias("page_printed_start"), printed("end_page").alias("page_printed_end"),
     )
-    chunks = made.join(every.select("doc_id", "place", "section_id", "level_path", "short_title", "page_offset"), ["doc_id", "place"]).select(
+    full = heads.join(every.select("doc_id", "place", "section_id", "level_path", "short_title", "page_offset"), ["doc_id", "place"])
+    chunks = blocks.with_texts(full, members, body).select(
         F.format_string("%s-c%02d", "section_id", "number").alias("chunk_id"), "section_id", "doc_id", "content_type", "text",
         X.embedding_text(F.col("short_title"), F.col("level_path"), F.col("text")).alias("text_for_embedding"),
         F.col("page_start").alias("page_pdf_start"), F.col("page_end").alias("page_pdf_end"), printed("page_start").alias("page_printed_start"), printed("page_end").alias("page_printed_end"),
         F.length("text").alias("char_count"), "caption",
     )
-    listed = forms.form_chunks(forms.catalog(body, profiles), profiles)
+    listed = staged(forms.form_chunks(forms.catalog(rows_of(body, forms.form_rows(body, profiles)), profiles), profiles))
     chunks = chunks.unionByName(listed)
     sections = sections.unionByName(forms.form_sections(listed).select(*sections.columns))
     refs = citations.extract(chunks.join(profiles.select("doc_id", "alias_map"), "doc_id"), F.col("alias_map"))

@@ -25,15 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     A step that several later ones read runs once, and a lost executor costs no more
-    than the step at hand. ``release`` deletes what was written.
+    than the step at hand. ``release`` deletes what was written. ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = kept(f"{shared_folder(spark)}/leafquire-stage-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
